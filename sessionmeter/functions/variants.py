@@ -10,20 +10,30 @@ from .text import strip
 _END = "\u241ferror-free\u241f"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _wrapped(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+
+
+def _complete(wrapped: Column) -> Column:
+    return F.try_variant_get(wrapped, "$[1]", "string") == _END
+
+
 def parse_json(text: Column) -> Column:
     """The JSON value of a whole text, null unless all of it is one JSON value.
 
     The parser stops after the first complete value, so the text is read as the first
     element of an array whose second element must then be the end mark.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
-    return F.when(F.try_variant_get(wrapped, "$[1]", "string") == _END,
-                  F.try_variant_get(wrapped, "$[0]", "variant"))
+    return let(_wrapped(text), lambda w: F.when(_complete(w), F.try_variant_get(w, "$[0]", "variant")))
 
 
 def is_json(text: Column) -> Column:
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
-    return F.coalesce(F.try_variant_get(wrapped, "$[1]", "string") == _END, F.lit(False))
+    return F.coalesce(_complete(_wrapped(text)), F.lit(False))
 
 
 def field(doc: Column, path: str) -> Column:
@@ -31,14 +41,27 @@ def field(doc: Column, path: str) -> Column:
     return F.try_variant_get(doc, "$." + path, "variant")
 
 
+def first_where(values: list[Column], test) -> Column:
+    return F.get(F.filter(F.array(*values), test), F.lit(0))
+
+
+def holds(value: Column) -> Column:
+    """True unless the value is absent or JSON null."""
+    return value.isNotNull() & ~F.is_variant_null(value)
+
+
 def some(value: Column) -> Column:
     """The value unless it is JSON null."""
-    return F.when(~F.is_variant_null(value), value)
+    return first_where([value], holds)
+
+
+def fields(doc: Column, *paths: str) -> list[Column]:
+    return [field(doc, p) for p in paths]
 
 
 def first_of(doc: Column, *paths: str) -> Column:
     """First of several keys which holds something other than null."""
-    return F.coalesce(*[some(field(doc, p)) for p in paths])
+    return first_where(fields(doc, *paths), holds)
 
 
 def kind(value: Column) -> Column:
@@ -59,43 +82,53 @@ def is_container(value: Column) -> Column:
 
 def container_of(doc: Column, *paths: str) -> Column:
     """First of several keys which holds an object or array."""
-    return F.coalesce(*[F.when(is_container(field(doc, p)), field(doc, p)) for p in paths])
+    return first_where(fields(doc, *paths), is_container)
 
 
 def raw_text(value: Column) -> Column:
     """The value if it is a string, even a blank one."""
-    return F.when(is_text(value), F.try_variant_get(value, "$", "string"))
+    return let(value, lambda v: F.when(is_text(v), F.try_variant_get(v, "$", "string")))
+
+
+def _plain_text(v: Column) -> Column:
+    number = F.try_variant_get(v, "$", "double")
+    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
+    return (F.when(is_text(v), F.nullif(F.try_variant_get(v, "$", "string"), F.lit("")))
+            .when(is_number(v), F.when(whole, number.cast("bigint").cast("string"))
+                  .otherwise(F.try_variant_get(v, "$", "string"))))
 
 
 def to_text(value: Column) -> Column:
     """A non-blank string, or a number as text; anything else is null."""
-    text = F.try_variant_get(value, "$", "string")
-    number = F.try_variant_get(value, "$", "double")
-    whole = F.when((number == F.floor(number)) & (F.abs(number) < 1e15), number.cast("bigint").cast("string"))
-    return (F.when(is_text(value) & (strip(text) != ""), text)
-            .when(is_number(value), F.coalesce(whole, text)))
+    return let(let(value, _plain_text), lambda text: F.when(strip(text) != "", text))
+
+
+def to_texts(*values: Column) -> Column:
+    """First of several values which has a text."""
+    return F.coalesce(*[to_text(v) for v in values])
 
 
 def text_number(text: Column) -> Column:
     """Number written as text; blank is 0, anything else that is no number is null."""
-    number = strip(text).try_cast("double")
-    plain = strip(text).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    return F.when(strip(text) == "", F.lit(0.0)).when(plain, number)
+    plain = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+    return let(strip(text), lambda t: F.when(t == "", F.lit(0.0)).when(t.rlike(plain), t.try_cast("double")))
 
 
 def to_number(value: Column) -> Column:
     """A finite number, or a string holding one; else null."""
-    return (F.when(is_number(value), F.try_variant_get(value, "$", "double"))
-            .when(is_text(value), text_number(F.try_variant_get(value, "$", "string"))))
+    return let(value, lambda v: F.when(is_number(v), F.try_variant_get(v, "$", "double"))
+               .when(is_text(v), text_number(F.try_variant_get(v, "$", "string"))))
 
 
 def instant(text: Column) -> Column:
     """Milliseconds of ISO text, or of a number written as text."""
-    iso = F.when(strip(text).rlike(r"^[+-]?\d{4}(-|$)|[/:]"), F.unix_millis(F.try_to_timestamp(strip(text))))
-    return F.coalesce(iso, F.floor(text_number(text)).cast("bigint"))
+    read = lambda t: F.coalesce(
+        F.when(t.rlike(r"^[+-]?\d{4}(-|$)|[/:]"), F.unix_millis(F.try_to_timestamp(t))),
+        F.floor(text_number(t)).cast("bigint"))
+    return let(strip(text), read)
 
 
 def to_instant(value: Column) -> Column:
     """Milliseconds from a number or a text."""
-    return (F.when(is_number(value), F.floor(F.try_variant_get(value, "$", "double")).cast("bigint"))
-            .when(is_text(value), instant(F.try_variant_get(value, "$", "string"))))
+    return let(value, lambda v: F.when(is_number(v), F.floor(F.try_variant_get(v, "$", "double")).cast("bigint"))
+               .when(is_text(v), instant(F.try_variant_get(v, "$", "string"))))
