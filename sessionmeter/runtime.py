@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # allowDuplicateKeys: a repeated JSON key keeps its last value instead of failing.
@@ -31,3 +33,21 @@ def new_session(app: str = "sessionmeter", master: str | None = None, **conf: st
     for key, value in {**SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpointed(df):
+    """Write a frame to the cluster's checkpoint folder and go on from there.
+
+    The folder comes from ``spark.checkpoint.dir``. Where it is unset a local session gets a
+    temporary one; on a cluster that is an error, since other machines could not read it.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+            folder = tempfile.mkdtemp(prefix="sessionmeter-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
