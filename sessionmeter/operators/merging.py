@@ -70,7 +70,7 @@ def with_project(session: DataFrame, remotes: DataFrame | None = None) -> DataFr
 
 def _arrivals(old: DataFrame, new: DataFrame) -> DataFrame:
     """Stored rows arrive before all others."""
-    first = old.withColumn("arrival", F.lit(0).cast("bigint")).withColumn("turn", F.lit(0))
+    first = old.withColumn("arrival", F.lit(None).cast(new.schema["arrival"].dataType)).withColumn("turn", F.lit(0))
     return first.unionByName(new.withColumn("turn", F.lit(1)))
 
 
@@ -84,7 +84,7 @@ def _merge(old: DataFrame, new: DataFrame, newest: list[str], kept: list[str]) -
 
 
 def merge_projects(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Projects after an upsert. ``new`` has a unique column ``arrival`` in order of arrival."""
+    """Projects after an upsert. ``new`` has a unique, sortable column ``arrival``."""
     return _merge(old, new, ["name"], ["root_path", "git_remote"]).select(
         "id", "name", "root_path", "git_remote", "first_seen_ts", "last_seen_ts")
 

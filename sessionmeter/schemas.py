@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 _DDL = {
     "ingest_state": "path string not null, byte_offset bigint not null, line_count bigint, mtime_ms bigint, updated_at bigint not null",
@@ -25,7 +25,16 @@ _DDL = {
     "reject": "file string not null, line bigint not null, error string not null, raw string",
 }
 
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+_TYPES = {"string": StringType(), "bigint": LongType()}
+
+
+def _struct(ddl: str) -> StructType:
+    """Read the declarations above; Spark's own reader needs a running session."""
+    columns = [column.split() for column in ddl.split(", ")]
+    return StructType([StructField(c[0], _TYPES[c[1]], nullable=len(c) == 2) for c in columns])
+
+
+SCHEMAS: dict[str, StructType] = {name: _struct(ddl) for name, ddl in _DDL.items()}
 
 # Rows that go when their parent goes, and rows that only lose the reference.
 CASCADE = {
