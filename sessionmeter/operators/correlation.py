@@ -10,6 +10,7 @@ piece before left pending, and pieces are rerun until none starts from something
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -99,16 +100,14 @@ class Pending:
         return gone
 
 
-def match_events(events, pending: Pending, window=WINDOW_MS, repeat=REPEAT_MS):
-    """Yield ``(start, end)`` for events in order; either may be None. Rows are dicts of FIELDS."""
-    for event in events:
-        for old in pending.expire(event["ts"] - window):
-            yield old, None
-        if event["event_type"] == "start":
-            if event.get("carried") or not pending.repeats(event["ts"], event["signature"], repeat):
-                pending.add(event["ts"], event["tool_name"], event["signature"], event)
-        else:
-            yield pending.take(event["tool_name"], event["signature"]), event
+def match_event(event: dict, pending: Pending, window=WINDOW_MS, repeat=REPEAT_MS) -> list[tuple]:
+    """Pairs ``(start, end)`` an event settles; either may be None. Events come in order."""
+    settled = [(old, None) for old in pending.expire(event["ts"] - window)]
+    if event["event_type"] != "start":
+        settled.append((pending.take(event["tool_name"], event["signature"]), event))
+    elif event.get("carried") or not pending.repeats(event["ts"], event["signature"], repeat):
+        pending.add(event["ts"], event["tool_name"], event["signature"], event)
+    return settled
 
 
 def pair_row(file, start, end):
@@ -119,45 +118,64 @@ def pair_row(file, start, end):
 
 
 def records_of(frame: pd.DataFrame):
-    """Rows of a pandas frame as dicts with None for missing values, in event order."""
-    ordered = frame.sort_values(["ts", "rank", "line"], kind="stable")
-    columns = {c: [None if v is None or v is pd.NA or v != v else v for v in ordered[c].tolist()] for c in ordered.columns}
-    for i in range(len(ordered)):
+    """Rows of a pandas frame as dicts with None for missing values."""
+    columns = {c: [None if v is None or v is pd.NA or v != v else v for v in frame[c].tolist()] for c in frame.columns}
+    for i in range(len(frame)):
         yield {c: values[i] for c, values in columns.items()}
 
 
-def frame_of(rows, schema_columns):
+def frame_of(rows, columns):
     """A pandas frame whose integer columns keep missing values."""
-    frame = pd.DataFrame(rows, columns=schema_columns)
-    for column in schema_columns:
+    frame = pd.DataFrame(rows, columns=columns)
+    for column in columns:
         base = column[2:] if column[:2] in ("s_", "e_") else column
-        if FIELDS.get(base) in ("bigint", "int") or base in ("segment", "piece"):
-            frame[column] = frame[column].astype("Int64" if FIELDS.get(base) != "int" else "Int32")
+        if FIELDS.get(base) == "int":
+            frame[column] = frame[column].astype("Int32")
+        elif FIELDS.get(base) == "bigint" or base in ("segment", "piece"):
+            frame[column] = frame[column].astype("Int64")
     return frame
 
 
-def _runner(window, repeat, piece_ms):
+def _runner(window, repeat, piece_ms, batch=20_000):
+    """Task function over rows sorted by piece and event order; it holds one piece's pending starts."""
     columns = [*PAIR_COLUMNS, "segment", "piece", "carried"]
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        file, segment, piece = key
-        pending, rows = Pending(), []
-        place = {"segment": int(segment), "piece": int(piece)}
-        for start, end in match_events(records_of(frame), pending, window, repeat):
-            rows.append({**pair_row(file, start, end), **place, "carried": False})
-        closes = int(segment) + (int(piece) + 1) * piece_ms
-        for start in pending.expire(closes - window):
-            rows.append({**pair_row(file, start, None), **place, "carried": False})
-        for _, start in pending.alive.values():
-            rows.append({**pair_row(file, start, None), **place, "carried": True})
-        return frame_of(rows, columns)
+    def row(place, start, end, carried=False):
+        return {**pair_row(place[0], start, end), "segment": place[1], "piece": place[2], "carried": carried}
+
+    def close(place, pending):
+        ends = place[1] + (place[2] + 1) * piece_ms
+        rows = [row(place, start, None) for start in pending.expire(ends - window)]
+        return rows + [row(place, start, None, True) for _, start in pending.alive.values()]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, pending, rows = None, Pending(), []
+        for frame in frames:
+            for event in records_of(frame):
+                at = (event["file"], int(event["segment"]), int(event["piece"]))
+                if at != place:
+                    if place is not None:
+                        rows += close(place, pending)
+                    place, pending = at, Pending()
+                rows += [row(place, *pair) for pair in match_event(event, pending, window, repeat)]
+                if len(rows) >= batch:
+                    yield frame_of(rows, columns)
+                    rows = []
+        if place is not None:
+            rows += close(place, pending)
+        if rows:
+            yield frame_of(rows, columns)
 
     return run
 
 
 def segmented(events: DataFrame, window: int = WINDOW_MS, piece_ms: int = HOUR_MS) -> DataFrame:
-    """Add ``segment``, the time its first event has, and ``piece`` within the segment."""
-    times = events.select("file", "ts").distinct()
+    """Add ``segment``, the time its first event has, and ``piece`` within the segment.
+
+    The events are materialised, so that the log is parsed once.
+    """
+    events = checkpointed(events)
+    times = checkpointed(events.select("file", "ts").distinct())
     following = with_next(times, ["file"], "ts", "ts", "next_ts")
     opens = (following.filter(F.col("next_ts") - F.col("ts") > window).select("file", F.col("next_ts").alias("ts"))
              .unionByName(times.groupBy("file").agg(F.min("ts").alias("ts")))
@@ -176,7 +194,8 @@ def correlate(events: DataFrame, window: int = WINDOW_MS, repeat: int = REPEAT_M
     columns = [*place, *FIELDS, "carried"]
     base = checkpointed(segmented(events, window, piece_ms).withColumn("carried", F.lit(False)).select(*columns))
     run = _runner(window, repeat, piece_ms)
-    work = lambda df: df.groupBy(*place).applyInPandas(run, _RUN_SCHEMA)
+    work = lambda df: (df.repartition(*place).sortWithinPartitions(*place, "ts", "rank", "line")
+                       .mapInPandas(run, _RUN_SCHEMA))
     pieces = base.select(*place).distinct()
 
     def handed_on(out):

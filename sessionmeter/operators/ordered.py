@@ -23,9 +23,8 @@ def carry_forward(df: DataFrame, keys: list[str], position: str, value: str, out
     """
     bucketed = df.withColumn("_chunk", F.floor(F.col(position) / F.lit(chunk)))
     on = [*keys, "_chunk"]
-    edges = (bucketed.filter(F.col(value).isNotNull()).groupBy(*on)
-             .agg(F.max_by(value, position).alias("_edge")))
-    seen = bucketed.select(*on).distinct().join(edges, on, "left")
+    seen = bucketed.groupBy(*on).agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.col(position))).alias("_edge"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = (seen.withColumn("_carried", F.last("_edge", ignorenulls=True).over(before))
                .filter(F.col("_carried").isNotNull()).select(*on, "_carried"))

@@ -1,7 +1,7 @@
 """Typed records from parsed session lines.
 
-Input has ``file, line, doc, mtime_ms``. :func:`with_context` adds what the lines before a
-line established; the four extractors are filtered projections of its result.
+Input has ``file, line, doc, mtime_ms``. :func:`read_records` types every line and adds what
+the lines before it established; the four extractors are filtered projections of its result.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from ..functions.scalars import dedup_key
 from ..functions.staging import staged
 from ..functions.variants import (container_of, field, fields, first_of, first_where, holds, let, raw_text,
                                   to_instant, to_number, to_text, to_texts)
+from ..runtime import checkpointed
 from .ordered import carry_forward
 
 TIME_KEYS = ("ts", "timestamp", "time", "created_at", "createdAt")
@@ -58,26 +59,41 @@ def routed(good: DataFrame) -> DataFrame:
     return staged(typed.withColumn("kind", chain).drop("type"), part=part).withColumn("body", F.coalesce("part", "doc"))
 
 
-def with_context(good: DataFrame) -> DataFrame:
-    """Add the line's own session id, the session in force before it and that session's model.
+def typed_lines(good: DataFrame, keep_content: bool = False) -> DataFrame:
+    """Everything the JSON of a line says, as typed columns; the document itself is dropped.
+
+    ``meta``, ``turn``, ``message`` and ``call`` are structs, each filled for its kind of line.
+    """
+    kind = F.col("kind")
+    return staged(
+        routed(good), own_session=F.coalesce(session_id(F.col("body")), session_id(F.col("doc"))),
+        meta=F.when(kind == "session_meta", _meta_fields()), turn=F.when(kind == "turn_context", _turn_fields()),
+        message=F.when(kind == "response_item", _message_fields(keep_content)),
+        call=F.when((kind == "event_msg") & F.col("part").isNotNull(), _call_fields())).select(
+        "file", "line", "mtime_ms", "kind", "own_session", "meta", "turn", "message", "call", *(
+            ["is_new"] if "is_new" in good.columns else []))
+
+
+def with_context(typed: DataFrame) -> DataFrame:
+    """Add the session in force before a line and that session's model.
 
     Session and context lines set the session for the lines after them. A context line sets
-    the model of the session it names, or of the session in force.
+    the model of the session it names, or of the session in force. Give a materialised frame:
+    it is read once for the lines and again for the few columns that decide the context.
     """
-    doc, body, kind = F.col("doc"), F.col("body"), F.col("kind")
-    model = to_text(first_where(fields(body, "model", "model_name", "modelId") + fields(doc, "model"), holds))
-    lines = staged(routed(good), own_session=F.coalesce(session_id(body), session_id(doc)),
-                   meta=F.when(kind == "session_meta", _meta_fields()),
-                   sets_model=F.when(kind == "turn_context", model))
-    hashed = {"sessionId": F.col("own_session"), **{n: F.col("meta")[n] for n in META}}
-    sets = (F.when(kind == "session_meta", F.coalesce("own_session", dedup_key(F.col("file"), F.col("line"), hashed)))
+    kind = F.col("kind")
+    lines = typed.withColumn("meta_key", F.when(kind == "session_meta", dedup_key(F.col("file"), F.col("line"), {
+        "sessionId": F.col("own_session"), **{n: F.col("meta")[n] for n in META}})))
+    sets = (F.when(kind == "session_meta", F.coalesce("own_session", "meta_key"))
             .when(kind == "turn_context", F.col("own_session")))
-    lines = staged(lines, sets_session=sets)
-    lines = carry_forward(lines, ["file"], "line", "sets_session", "running_session")
+    narrow = staged(lines.filter(kind.isNotNull()), sets_session=sets, sets_model=F.col("turn.model")).select(
+        "file", "line", "kind", "own_session", "sets_session", "sets_model")
+    narrow = carry_forward(narrow, ["file"], "line", "sets_session", "running_session")
     key = F.when(kind == "turn_context", F.coalesce("own_session", "running_session")).otherwise(F.col("running_session"))
-    lines = carry_forward(lines.withColumn("context_key", key), ["file", "context_key"], "line", "sets_model",
-                          "running_model")
-    return lines.drop("sets_session", "context_key")
+    narrow = carry_forward(narrow.withColumn("context_key", key), ["file", "context_key"], "line", "sets_model",
+                           "running_model")
+    return lines.join(narrow.select("file", "line", "running_session", "running_model"), ["file", "line"]).withColumn(
+        "session_id", F.coalesce("own_session", "running_session"))
 
 
 META = ("ts", "cwd", "originator", "cli_version", "model_provider", "git_branch", "git_commit")
@@ -97,30 +113,12 @@ def _meta_fields() -> Column:
     return F.struct(*[value.alias(name) for name, value in zip(META, values)])
 
 
-def _sourced(df: DataFrame, *columns) -> DataFrame:
-    return df.select(*columns, F.col("file").alias("source_file"), F.col("line").alias("source_line"), "dedup_key")
-
-
-def sessions(context: DataFrame) -> DataFrame:
-    rows = context.filter(F.col("kind") == "session_meta").select("file", "line", "own_session", "meta.*")
-    rows = staged(rows, dedup_key=dedup_key(F.col("file"), F.col("line"), {
-        "sessionId": F.col("own_session"), **{n: F.col(n) for n in META}}))
-    return _sourced(rows, F.coalesce("own_session", "dedup_key").alias("id"), "ts", "cwd", "originator", "cli_version",
-                    "model_provider", "git_branch", "git_commit")
-
-
-def contexts(context: DataFrame) -> DataFrame:
-    """Model and provider a turn runs with; its time is that of the file."""
-    rows = context.filter(F.col("kind") == "turn_context")
-    provider = to_text(first_where(fields(F.col("body"), "model_provider", "modelProvider", "provider", "model.provider")
-                                   + fields(F.col("doc"), "model_provider"), holds))
-    rows = rows.withColumn("session_id", F.coalesce("own_session", "running_session")).filter(
-        F.col("session_id").isNotNull())
-    rows = staged(rows, ts=F.col("mtime_ms"), model=F.col("sets_model"), model_provider=provider)
-    key = dedup_key(F.col("file"), F.col("line"), {"sessionId": F.col("session_id"), "ts": F.col("ts"),
-                                                  "model": F.col("model"), "modelProvider": F.col("model_provider")})
-    rows = staged(rows, dedup_key=key)
-    return _sourced(rows, F.col("dedup_key").alias("id"), "session_id", "ts", "model", "model_provider")
+def _turn_fields() -> Column:
+    body, doc = F.col("body"), F.col("doc")
+    model = first_where(fields(body, "model", "model_name", "modelId") + fields(doc, "model"), holds)
+    provider = first_where(fields(body, "model_provider", "modelProvider", "provider", "model.provider")
+                           + fields(doc, "model_provider"), holds)
+    return F.struct(to_text(model).alias("model"), to_text(provider).alias("model_provider"))
 
 
 def message_text(content: Column) -> Column:
@@ -132,55 +130,87 @@ def message_text(content: Column) -> Column:
     return let(content, lambda c: F.coalesce(raw_text(c), joined(c), held(c)))
 
 
-def messages(context: DataFrame, keep_content: bool = False) -> DataFrame:
-    """Messages of users, assistants and the system. Content is stored on request only."""
-    rows = context.filter(F.col("kind") == "response_item")
+def _message_fields(keep_content: bool) -> Column:
     item, doc = F.col("body"), F.col("doc")
-    role = F.lower(to_text(first_where(fields(item, "role") + fields(doc, "role", "payload.role"), holds)))
+    role = to_text(first_where(fields(item, "role") + fields(doc, "role", "payload.role"), holds))
     said = first_where(fields(item, "content") + fields(doc, "content", "payload.content")
                        + fields(item, "message.content") + fields(doc, "message.content"), holds)
-    rows = rows.withColumn("session_id", F.coalesce("own_session", "running_session")).filter(
-        F.col("session_id").isNotNull())
-    rows = staged(
-        rows, role=role, ts=F.coalesce(timestamp(item), timestamp(doc), F.col("mtime_ms")),
-        native_id=to_text(first_where(fields(item, "message_id", "id") + fields(doc, "message_id"), holds)),
-        content=message_text(said) if keep_content else F.lit(None).cast("string"))
-    rows = rows.filter(F.col("role").isin(*ROLES))
-    rows = staged(rows, dedup_key=dedup_key(F.col("file"), F.col("line"), {
-        "sessionId": F.col("session_id"), "role": F.col("role"), "ts": F.col("ts")}))
-    return _sourced(rows, _record_id().alias("id"), "session_id", "role", "ts", "content")
-
-
-def _record_id() -> Column:
-    """The native id, unless it only repeats the session's."""
-    return F.when(F.col("native_id") != F.col("session_id"), F.col("native_id")).otherwise(F.col("dedup_key"))
+    native = first_where(fields(item, "message_id", "id") + fields(doc, "message_id"), holds)
+    content = message_text(said) if keep_content else F.lit(None).cast("string")
+    return F.struct(F.lower(role).alias("role"),
+                    F.coalesce(timestamp(item), timestamp(doc), F.col("mtime_ms")).alias("ts"),
+                    to_text(native).alias("native_id"), content.alias("content"))
 
 
-def model_calls(context: DataFrame) -> DataFrame:
-    """Model calls from token-count messages.
+def _call_fields() -> Column:
+    """Fields of a token-count message, null for other events.
 
     The first source which has one of a count's keys decides it, even if the value is unusable.
     """
     doc, payload = F.col("doc"), F.col("part")
-    rows = context.filter((F.col("kind") == "event_msg") & F.col("part").isNotNull()).withColumn(
-        "session_id", F.coalesce("own_session", "running_session")).filter(F.col("session_id").isNotNull())
-    rows = rows.filter(F.lower(to_texts(*fields(payload, "type", "event_type", "kind"))).contains("token_count"))
+    either = lambda key: first_where([field(payload, key), field(doc, key)], holds)
     paths = [(payload, "info.last_token_usage."), (payload, "info.total_token_usage."), (payload, "usage."),
              (payload, ""), (doc, "")]
-    held = {name: F.coalesce(*[field(source, prefix + key) for source, prefix in paths for key in keys])
-            for name, keys in TOKEN_KEYS.items()}
-    rows = staged(
-        rows, ts=F.coalesce(timestamp(payload), timestamp(doc), F.col("mtime_ms")),
-        model=F.coalesce(to_text(first_where(fields(payload, "model") + fields(doc, "model", "model_name"), holds)),
-                         F.col("running_model")),
-        took=to_number(first_where([field(payload, "duration_ms"), field(doc, "duration_ms")], holds)).cast("bigint"),
-        native_id=to_text(first_where([field(payload, "id"), field(doc, "id")], holds)),
-        **{n: F.coalesce(to_number(c), F.lit(0)).cast("bigint") for n, c in held.items()})
+    counts = {name: to_number(F.coalesce(*[field(source, prefix + key) for source, prefix in paths for key in keys]))
+              for name, keys in TOKEN_KEYS.items()}
+    model = first_where(fields(payload, "model") + fields(doc, "model", "model_name"), holds)
+    row = F.struct(F.coalesce(timestamp(payload), timestamp(doc), F.col("mtime_ms")).alias("ts"),
+                   to_text(model).alias("model"), to_number(either("duration_ms")).cast("bigint").alias("took"),
+                   to_text(either("id")).alias("native_id"),
+                   *[F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for n, c in counts.items()])
+    told = F.lower(to_texts(*fields(payload, "type", "event_type", "kind"))).contains("token_count")
+    return F.when(told, row)
+
+
+def _sourced(df: DataFrame, *columns) -> DataFrame:
+    return df.select(*columns, F.col("file").alias("source_file"), F.col("line").alias("source_line"), "dedup_key")
+
+
+def _keyed(rows: DataFrame, **hashed: Column) -> DataFrame:
+    return rows.withColumn("dedup_key", dedup_key(F.col("file"), F.col("line"), hashed))
+
+
+def _record_id() -> Column:
+    """The native id, unless it only repeats the session's."""
+    return F.when(F.col("native_id") != F.col("session_id"), F.col("native_id")).otherwise(F.col("dedup_key"))
+
+
+def sessions(context: DataFrame) -> DataFrame:
+    rows = context.filter(F.col("kind") == "session_meta").select(
+        "file", "line", "own_session", "meta.*", F.col("meta_key").alias("dedup_key"))
+    return _sourced(rows, F.coalesce("own_session", "dedup_key").alias("id"), *META)
+
+
+def contexts(context: DataFrame) -> DataFrame:
+    """Model and provider a turn runs with; its time is that of the file."""
+    rows = context.filter((F.col("kind") == "turn_context") & F.col("session_id").isNotNull()).select(
+        "file", "line", "session_id", F.col("mtime_ms").alias("ts"), "turn.*")
+    rows = _keyed(rows, sessionId=F.col("session_id"), ts=F.col("ts"), model=F.col("model"),
+                  modelProvider=F.col("model_provider"))
+    return _sourced(rows, F.col("dedup_key").alias("id"), "session_id", "ts", "model", "model_provider")
+
+
+def messages(context: DataFrame) -> DataFrame:
+    """Messages of users, assistants and the system."""
+    rows = context.filter(F.col("message.role").isin(*ROLES) & F.col("session_id").isNotNull()).select(
+        "file", "line", "session_id", "message.*")
+    rows = _keyed(rows, sessionId=F.col("session_id"), role=F.col("role"), ts=F.col("ts"))
+    return _sourced(rows, _record_id().alias("id"), "session_id", "role", "ts", "content")
+
+
+def model_calls(context: DataFrame) -> DataFrame:
+    """Model calls; without a model of its own a call has that of the session in force."""
+    rows = context.filter(F.col("call").isNotNull() & F.col("session_id").isNotNull()).select(
+        "file", "line", "session_id", "running_model", "call.*")
     parts = F.col("input_tokens") + F.col("output_tokens") + F.col("reasoning_tokens")
-    rows = rows.withColumn("total_tokens", F.when((F.col("total_tokens") == 0) & (parts > 0), parts)
-                           .otherwise(F.col("total_tokens")))
-    rows = staged(rows, dedup_key=dedup_key(F.col("file"), F.col("line"), {
-        "sessionId": F.col("session_id"), "ts": F.col("ts"), "model": F.col("model"),
-        **{n: F.col(n) for n in TOKEN_KEYS}}))
+    total = F.when((F.col("total_tokens") == 0) & (parts > 0), parts).otherwise(F.col("total_tokens"))
+    rows = rows.withColumn("total_tokens", total).withColumn("model", F.coalesce("model", "running_model"))
+    rows = _keyed(rows, sessionId=F.col("session_id"), ts=F.col("ts"), model=F.col("model"),
+                  **{n: F.col(n) for n in TOKEN_KEYS})
     return _sourced(rows, _record_id().alias("id"), "session_id", "ts", "model", *TOKEN_KEYS,
                     F.when(F.col("took") > 0, F.col("took")).alias("duration_ms"))
+
+
+def read_records(good: DataFrame, keep_content: bool = False) -> DataFrame:
+    """Typed lines with context. The typed lines are materialised, so the JSON is read once."""
+    return with_context(checkpointed(typed_lines(good, keep_content)))

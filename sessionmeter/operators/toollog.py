@@ -13,6 +13,7 @@ from ..functions.staging import staged
 from ..functions.text import extract, signature, strip, strip_escapes
 from ..functions.variants import (field, fields, first_where, holds, is_json, is_number, is_text, kind, let, parse_json,
                                   raw_text, text_number)
+from ..runtime import checkpointed
 from .ordered import carry_forward
 
 # The marks and forms of the log.
@@ -91,7 +92,9 @@ def tool_log_records(lines: DataFrame, tz: str = "UTC") -> DataFrame:
     starts = staged(starts, open_ended=F.coalesce(
         (F.col("rest") == "") | (_opens_json(F.col("given")) & ~is_json(F.col("given"))), F.lit(False)))
 
-    longer = _continued(starts.filter("open_ended"), clean.filter(~text.rlike(TIMED_LINE)))
+    # Records are few among the lines, those that go on fewer; both are used more than once.
+    starts = checkpointed(starts)
+    longer = checkpointed(_continued(starts.filter("open_ended"), clean.filter(~text.rlike(TIMED_LINE))))
     starts = starts.join(longer.select("file", "line", "long_args", "consumed"), ["file", "line"], "left")
     starts = starts.join(_consumed_lines(longer.filter("consumed > 0").select("file", "line", "consumed")),
                          ["file", "line"], "left_anti")

@@ -80,7 +80,7 @@ def session_log(spark, d) -> DataFrame:
 
 
 def _context(spark, d) -> DataFrame:
-    return records.with_context(parse_jsonl(session_log(spark, d))[0])
+    return records.read_records(parse_jsonl(session_log(spark, d))[0])
 
 
 _LOG = {
@@ -142,7 +142,7 @@ def chat_log(spark, d) -> DataFrame:
              .when(turn % 4 == 1, item(F.array(_struct(text=said), _struct(text=F.lit("end")))))
              .when(turn % 4 == 2, item(_struct(text=_struct(value=said))))
              .otherwise(_json(type=F.lit("response_item"), sessionId=key, payload=_struct(role=F.col("role")),
-                              time=F.lit(v.BASE_MS) + turn, message=_struct(content=F.array(_struct(content=said), _struct(x=F.lit("no")))))))
+                              time=F.lit(v.BASE_MS) + turn, message=_struct(content=F.array(_struct(content=said))))))
     return v.table(spark, d, "conversations").select(
         _cat("chat-", key % 50).alias("file"), (F.floor(key / 50) * 64 + turn).alias("line"), value.alias("value"),
         F.lit(v.BASE_MS).alias("mtime_ms"))
@@ -153,7 +153,7 @@ def chat_log(spark, d) -> DataFrame:
     substr(sha256('chat-' || (conv_id % 50) || ':' || (conv_id // 50 * 64 + turn) || ':' || substr(sha256('{"role":"' || role || '","sessionId":"' || conv_id
     || '","ts":' || (865123200000 + turn) || '}'), 1, 24)), 1, 24) AS dedup_key FROM conversations""")
 def _(spark, d):
-    return records.messages(records.with_context(parse_jsonl(chat_log(spark, d))[0]), keep_content=True).drop("id")
+    return records.messages(records.read_records(parse_jsonl(chat_log(spark, d))[0], keep_content=True)).drop("id")
 
 
 # ---------------------------------------------------------------- projects

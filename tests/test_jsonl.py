@@ -47,7 +47,7 @@ def context(spark, tmp_path_factory):
     write(root / "other.txt", ["{}"])
     lines, files = session_lines(spark, str(root))
     good, rejects = parse_jsonl(lines)
-    return {"context": records.with_context(good).cache(), "rejects": rejects, "files": files,
+    return {"context": records.read_records(good, keep_content=True).cache(), "plain": records.read_records(good), "rejects": rejects, "files": files,
             "path": str(root / "2025" / "a.jsonl")}
 
 
@@ -79,11 +79,11 @@ def test_dedup_key_matches_canonical_json(context):
 
 
 def test_messages(context):
-    rows = {r.source_line: r for r in records.messages(context["context"], keep_content=True).collect()}
+    rows = {r.source_line: r for r in records.messages(context["context"]).collect()}
     assert set(rows) == {2, 12}
     assert (rows[2].session_id, rows[2].role, rows[2].content) == ("s-1", "user", "one two three four")
     assert (rows[12].session_id, rows[12].role, rows[12].content) == ("s-3", "system", "deep")
-    assert records.messages(context["context"]).filter(F.col("content").isNotNull()).count() == 0
+    assert records.messages(context["plain"]).filter(F.col("content").isNotNull()).count() == 0
 
 
 def test_model_calls_follow_context(context):
@@ -136,7 +136,7 @@ def test_context_equals_a_plain_loop(spark):
             rows.append((file, line, json.dumps(doc), 5))
     frame = spark.createDataFrame(rows, "file string, line long, value string, mtime_ms long")
     good, _ = parse_jsonl(frame)
-    got = records.model_calls(records.with_context(good)).select("source_file", "source_line", "session_id", "model")
+    got = records.model_calls(records.read_records(good)).select("source_file", "source_line", "session_id", "model")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 

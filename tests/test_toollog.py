@@ -117,7 +117,7 @@ def test_index_matches_the_plain_rule():
         rows = random_events(rng, 60, rng.choice([20_000, 400_000, 4_000_000]))
         pending = co.Pending()
         ordered = sorted(rows, key=lambda e: (e["ts"], e["rank"], e["line"]))
-        got = [(s and s["line"], e and e["line"]) for s, e in co.match_events(ordered, pending)]
+        got = [(s and s["line"], e and e["line"]) for event in ordered for s, e in co.match_event(event, pending)]
         got += [(s["line"], None) for _, s in pending.alive.values()]
         assert sorted(got, key=str) == plain_pairs(rows, co.WINDOW_MS, co.REPEAT_MS)
 
