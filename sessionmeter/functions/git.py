@@ -21,9 +21,14 @@ def normalize_git_url(url: Column) -> Column:
 
 
 def _path(url: Column) -> Column:
-    """Path of an absolute URL, null if the text is no URL."""
-    return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#\s]+"),
-                  F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1))
+    """Path of an absolute URL, null if the text is no URL.
+
+    A web address needs a host. After a scheme without '//' all is path, as in host:team/repo.
+    """
+    web = F.regexp_extract(url, r"^(?i:https?|ftp|wss?)://[^/?#\s]+([^?#]*)", 1)
+    other = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/?#]*)?([^?#]*)", 1)
+    return (F.when(url.rlike(r"^(?i:https?|ftp|wss?)://"), F.when(url.rlike(r"^(?i:https?|ftp|wss?)://[^/?#\s]"), web))
+            .when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), other))
 
 
 def repo_name(url: Column, strict: bool = False) -> Column:

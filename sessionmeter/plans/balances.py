@@ -33,14 +33,13 @@ def _days(events: DataFrame, rng: DateRange, kinds: dict[str, list[str]], tz: st
     counts = upto.groupBy(zone.alias("zone"), day_text(F.col("ts"), tz).alias("date")).agg(
         *[count_if(F.col("action").isin(*values)).alias(name) for name, values in kinds.items()])
     place = lambda period, dated: F.struct(F.lit(period).alias("period"), (
-        F.col("date") if dated else F.lit(None).cast("string")).alias("at"))
+        F.col("date") if dated else F.lit(None).cast("string")).alias("at"), *[F.col(k) for k in kinds])
     later = {"current": [place("current", True)], "previous": [place("previous", True), place("current", False)],
              "earlier": [place(p, False) for p in spans]}
     targets = F.array(place("current", True))
     for name, rows in later.items():
         targets = F.when(F.col("zone") == name, F.array(*rows)).otherwise(targets)
-    return (counts.select(F.explode(targets).alias("to"), *kinds)
-            .groupBy(F.col("to.period").alias("period"), F.col("to.at").alias("date"))
+    return (counts.select(F.inline(targets)).groupBy("period", F.col("at").alias("date"))
             .agg(*[F.sum(k).alias(k) for k in kinds]))
 
 

@@ -476,3 +476,65 @@ def _(spark, d):
 def _(spark, d):
     from ..sources.ledger import latest_ledger
     return latest_ledger(v.ingest_state(spark, d))
+
+
+# ---------------------------------------------------------------- odds and ends
+
+@query("ingest_report", """SELECT (SELECT count(DISTINCT o_orderkey % 500) FROM orders) AS files_processed,
+    (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem WHERE l_quantity NOT IN (13, 17)) + (SELECT count(*) FROM lineitem WHERE l_returnflag <> 'N')
+        AS lines_ingested, (SELECT count(*) FROM lineitem WHERE l_quantity = 13) AS errors""")
+def _(spark, d):
+    from ..plans.upkeep import ingest_report
+    lines = session_log(spark, d)
+    good, rejects = parse_jsonl(lines)
+    return ingest_report(lines.select("file").distinct(), good, rejects)
+
+
+@query("session_contexts", """SELECT conv_id || '-' || turn AS id, 865123200000 + turn * 1000 AS ts, substr(text, 1, 5) AS model, role AS model_provider
+    FROM conversations WHERE conv_id = 7 ORDER BY ts, id""")
+def _(spark, d):
+    from ..plans.sessions import session_items
+    contexts = v.table(spark, d, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("session_id"),
+        (F.lit(v.BASE_MS) + F.col("turn") * 1000).alias("ts"), F.substring("text", 1, 5).alias("model"),
+        F.col("role").alias("model_provider"))
+    return session_items("7", "contexts", v.session(spark, d), v.message(spark, d), v.model_call(spark, d),
+                         v.tool_call(spark, d), contexts)
+
+
+@query("priced_models", """SELECT p_partkey, model, CAST(CASE p_size % 6 WHEN 0 THEN 3.0 WHEN 1 THEN 3.0 WHEN 2 THEN 2.5 WHEN 5 THEN 4.0 END AS DOUBLE) AS input_price,
+    CAST(CASE p_size % 6 WHEN 0 THEN 0.5 WHEN 1 THEN 0.5 WHEN 2 THEN 2.5 WHEN 5 THEN 4.0 END AS DOUBLE) AS cache_price FROM (SELECT *, CASE p_size % 6
+    WHEN 0 THEN 'gpt-5.3-codex' WHEN 1 THEN 'x/gpt-5.3-codex' WHEN 2 THEN ' gpt-5.1-mini ' WHEN 3 THEN 'unknown' WHEN 4 THEN p_brand ELSE 'claude.1' END AS model FROM part)""")
+def _(spark, d):
+    from ..operators.pricing import with_price
+    size = F.col("p_size") % 6
+    rows = v.table(spark, d, "part").select("p_partkey", F.when(size == 0, "gpt-5.3-codex").when(size == 1, "x/gpt-5.3-codex")
+        .when(size == 2, " gpt-5.1-mini ").when(size == 3, "unknown").when(size == 4, F.col("p_brand")).otherwise("claude.1").alias("model"))
+    price = spark.createDataFrame([("gpt-5.2-codex", 3.0, 9.0, 0.5), ("openai/gpt-5-1-mini", 2.5, 9.0, None),
+                                   ("anthropic/claude.1", 4.0, 9.0, None), ("unknown", 1.0, 1.0, 1.0), ("openai/claude-1", 7.0, 7.0, 7.0)],
+                                  "model string, input_price double, output_price double, cache_price double")
+    return with_price(rows, price, rows).select("p_partkey", "model", "input_price", "cache_price")
+
+
+@query("refreshed_rollup", """SELECT date, CASE WHEN date LIKE '%-01' THEN n ELSE 0 END AS created_count FROM (SELECT strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS date,
+    CAST(sum(CASE WHEN action = 'created' THEN 1 ELSE 0 END) AS BIGINT) AS n FROM v_worktree GROUP BY 1)""")
+def _(spark, d):
+    from ..plans.upkeep import refresh_days, worktree_rollup
+    fresh = worktree_rollup(v.worktree_event(spark, d)).select("date", "created_count")
+    stale = fresh.withColumn("created_count", F.lit(0).cast("bigint"))
+    return refresh_days(stale, fresh, fresh.filter("date like '%-01'"))
+
+
+@query("json_coercion", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(k AS VARCHAR) WHEN 1 THEN ' ' || k WHEN 4 THEN k || '.5' END AS as_text,
+    CAST(CASE event_id % 6 WHEN 0 THEN k WHEN 1 THEN k WHEN 2 THEN 0 WHEN 4 THEN k + 0.5 END AS DOUBLE) AS as_number,
+    CASE event_id % 6 WHEN 0 THEN k WHEN 1 THEN k WHEN 2 THEN 0 WHEN 4 THEN k END AS as_instant FROM v_event""")
+def _(spark, d):
+    from ..functions import variants as vr
+    key = F.col("event_id") % 6
+    k = F.regexp_extract("props", "([0-9]+)", 1)
+    value = (F.when(key == 0, k).when(key == 1, F.concat(F.lit('" '), k, F.lit('"'))).when(key == 2, F.lit('"  "'))
+             .when(key == 3, F.lit("true")).when(key == 4, F.concat(k, F.lit(".5"))).otherwise(F.concat(F.lit('{"x":'), k, F.lit("}"))))
+    docs = v.table(spark, d, "events").select("event_id", vr.parse_json(value).alias("doc"))
+    doc = F.col("doc")
+    return docs.select("event_id", vr.to_text(doc).alias("as_text"), vr.to_number(doc).alias("as_number"),
+                       vr.to_instant(doc).alias("as_instant"))
