@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions.scalars import DAY_MS
 from .operators import correlation, desktoplog, merging, records
 from .operators.toollog import tool_log_events, tool_log_records
 from .ranges import DateRange
@@ -68,20 +69,24 @@ def ingest_sessions(tables: Tables, paths: list[str], now_ms: int, options: Inge
     good, bad = parse_jsonl(lines)
     typed = checkpointed(records.typed_lines(good, options.keep_content))
     context = records.with_context(typed).filter("is_new")
-    order = [F.col("ts"), F.col("source_file"), F.col("source_line")]
-
-    sessions = checkpointed(merging.with_project(records.sessions(context), remotes))
-    arrival = F.struct("ts", "source_file", "source_line")
+    # Rows arrive by time of their file, then by line.
+    updates = checkpointed(next_ledger(files, now_ms))
+    file_times = updates.select(F.col("path").alias("source_file"), "mtime_ms")
+    arrived = lambda rows: checkpointed(rows.join(file_times, "source_file"))
+    arrival = F.struct("mtime_ms", "source_file", "source_line")
+    order = [arrival]
+
+    sessions = arrived(merging.with_project(records.sessions(context), remotes))
     tables.replace("project", merging.merge_projects(tables.read("project"), merging.project_rows(sessions, arrival)))
     tables.replace("project_ref", merging.merge_refs(tables.read("project_ref"), merging.ref_rows(sessions, arrival)))
     rejects = _store(tables, "session", sessions.drop("git_remote", "project_name"), order)
     known = tables.read("session").select("id")
     for name, rows in (("message", records.messages(context)), ("model_call", records.model_calls(context)),
                        ("session_context", records.contexts(context))):
-        valid, orphans = merging.split_valid(checkpointed(rows), known)
+        valid, orphans = merging.split_valid(arrived(rows), known)
         rejects = rejects.unionByName(_store(tables, name, valid, order)).unionByName(orphans)
     tables.append("reject", rejects.unionByName(_new(bad, lines)))
-    return next_ledger(files, now_ms), typed.filter("is_new").count()
+    return updates, typed.filter("is_new").count()
 
 
 def _new(rejects: DataFrame, lines: DataFrame) -> DataFrame:
@@ -93,13 +98,29 @@ def ingest_tool_log(tables: Tables, path: str, now_ms: int, options: IngestOptio
     lines, files = tool_log_lines(tables.spark, path)
     pairs = checkpointed(correlation.correlate(tool_log_events(tool_log_records(lines, options.tz))))
     order = [F.col("source_file"), F.col("source_line")]
-    calls, events = correlation.tool_calls(pairs), correlation.tool_call_events(pairs)
+    calls, events = checkpointed(correlation.tool_calls(pairs)), checkpointed(correlation.tool_call_events(pairs))
+    _finish_calls(tables, calls)
     for name, rows in (("tool_call", calls), ("tool_call_event", events)):
-        rows = checkpointed(rows)
         tables.append(name, merging.append_new(_near(tables, name, rows), rows, ("dedup_key",), order))
     return next_ledger(files, now_ms), pairs.count()
 
 
+def _finish_calls(tables: Tables, calls: DataFrame) -> None:
+    """Give stored calls the end they lacked when an earlier run read the log.
+
+    Only the days of such calls are written anew.
+    """
+    stored = _near(tables, "tool_call", calls)
+    waiting = stored.filter(F.col("end_ts").isNull()).select("dedup_key")
+    ended = checkpointed(calls.filter(F.col("end_ts").isNotNull()).join(waiting, "dedup_key", "left_semi"))
+    if ended.isEmpty():
+        return
+    low, high = ended.agg(F.min("start_ts"), F.max("start_ts")).first()
+    days = DateRange(low // DAY_MS * DAY_MS, high // DAY_MS * DAY_MS + DAY_MS - 1)
+    rest = tables.read("tool_call", days).join(ended, "dedup_key", "left_anti")
+    tables.rewrite("tool_call", checkpointed(rest.unionByName(ended)))
+
+
 def ingest_desktop_logs(tables: Tables, paths: list[str], glob: str, now_ms: int,
                         options: IngestOptions = IngestOptions(), ledger: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Read desktop logs: stored records, worktree events and automation events."""

@@ -30,7 +30,8 @@ def new_session(app: str = "sessionmeter", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    settings = {**SETTINGS, "spark.cleaner.referenceTracking.cleanCheckpoints": "true", **conf}
+    for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -68,10 +68,22 @@ def test_ingest_then_nothing_new_then_growth(world):
     assert (more.files_processed, more.lines_ingested, more.errors) == (1, 2, 1)
     assert counts(tables, "model_call", "message", "session") == {"model_call": 5, "message": 2, "session": 2}
 
-    full = ingest(tables, sources, 1_746_200_000_003, IngestOptions(full=True)).first()
+    # A start whose end comes in a later run is stored once, and then with its end.
+    log = world["tmp"] / "tool.log"
+    log.write_text(TOOL_LOG + '2025-03-02 08:00:01.000 [info] FunctionCall: run {"cmd":"ls"}\n')
+    ingest(tables, LogSources(tool_log=str(log)), 1_746_200_000_003)
+    with open(log, "a") as out:
+        out.write('2025-03-02 08:00:02.000 [info] ToolCall: run {"status":"failed","cmd":"ls"}\n')
+    ingest(tables, LogSources(tool_log=str(log)), 1_746_200_000_004)
+    assert sorted((r.command, r.status, r.duration_ms) for r in tables.read("tool_call").collect()) == [
+        ("ls", "failed", 1000), ("pwd", "ok", 200)]
+    assert tables.read("tool_call_event").count() == 4
+
+    full = ingest(tables, sources, 1_746_200_000_005, IngestOptions(full=True)).first()
     assert full.files_processed == 4
     assert counts(tables, "model_call", "message", "session", "tool_call") == {
-        "model_call": 5, "message": 2, "session": 2, "tool_call": 1}
+        "model_call": 5, "message": 2, "session": 2, "tool_call": 2}
+    assert tables.read("model_call").agg(F.sum("total_tokens")).first()[0] == 24
 
 
 def test_read_range_and_backfill(spark, world):
@@ -124,11 +136,3 @@ def test_price_file(spark, tmp_path):
                                                                             "cache_read_input_token_cost": 0.5}}))
     rows = {r.model: (r.input_price, r.output_price, r.cache_price) for r in price_table(spark, str(path)).collect()}
     assert rows == {"m": (1e-6, 2e-6, None), "n": (1.0, 2.0, 0.5)}
-
-
-def test_deltas_are_not_lost_by_a_repeated_batch(spark, world):
-    tables = world["tables"]
-    ingest(tables, LogSources(sessions=str(world["logs"])), 5, IngestOptions(full=True))
-    first = tables.read("model_call").agg(F.sum("total_tokens")).first()[0]
-    ingest(tables, LogSources(sessions=str(world["logs"])), 6, IngestOptions(full=True))
-    assert tables.read("model_call").agg(F.sum("total_tokens")).first()[0] == first == 24
