@@ -300,14 +300,43 @@ def _pairs(spark, d):
     return correlation.correlate(tool_log_events(tool_log_records(tool_log(spark, d))))
 
 
-@query("correlated_tool_calls")
+# The matching rule event by event, with the pending starts of a file as a list.
+_PAIRED = {
+    "o": _TOOL_EVENTS,
+    "e": "SELECT *, row_number() OVER (PARTITION BY file ORDER BY ts, rank, line) AS i FROM o",
+    "r": """SELECT DISTINCT file, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(line BIGINT, ts BIGINT, sig VARCHAR, tool VARCHAR)[]) AS pending,
+            CAST(NULL AS BIGINT) AS s_line, CAST(NULL AS BIGINT) AS line, false AS kept FROM e
+        UNION ALL SELECT file, i, CASE WHEN is_start AND NOT again THEN list_append(alive, {'line': line, 'ts': ts, 'sig': signature, 'tool': tool_name})
+            WHEN is_start THEN alive ELSE list_filter(alive, lambda x: x.line IS DISTINCT FROM best) END, best, line, is_start AND NOT again
+        FROM (SELECT *, is_start AND len(list_filter(alive, lambda x: x.sig = signature AND ts - x.ts <= 1000)) > 0 AS again,
+            CASE WHEN NOT is_start THEN list_sort(list_transform(alive, lambda x, n: {
+                'points': CASE WHEN x.sig = signature THEN 2 ELSE 0 END + CASE WHEN x.tool = tool_name THEN 1 ELSE 0 END,
+                'near': CASE WHEN x.sig = signature OR x.tool = tool_name THEN x.ts ELSE 0 END, 'first': -n, 'line': x.line}), 'DESC')[1].line END AS best
+            FROM (SELECT e.*, e.event_type = 'start' AS is_start, list_filter(r.pending, lambda x: e.ts - x.ts <= 300000) AS alive
+                FROM r JOIN e ON e.file = r.file AND e.i = r.i + 1))""",
+    "pairs": """SELECT file, s_line, line AS e_line FROM r WHERE i > 0 AND line IN (SELECT line FROM e WHERE event_type <> 'start')
+        UNION ALL SELECT file, line, NULL FROM r WHERE kept AND line NOT IN (SELECT s_line FROM r WHERE s_line IS NOT NULL)""",
+    "matched": """SELECT p.file, coalesce(s.line, x.line) AS source_line, coalesce(s.tool_name, x.tool_name) AS tool_name, coalesce(s.command, x.command) AS command,
+        CASE WHEN x.line IS NULL THEN 'unknown' WHEN x.event_type = 'failure' OR coalesce(x.exit_code <> 0, false) THEN 'failed' ELSE 'ok' END AS status,
+        coalesce(s.ts, x.ts - coalesce(x.duration_ms, 0)) AS start_ts, x.ts AS end_ts, x.duration_ms AS given, x.exit_code, x.error,
+        coalesce(s.signature, x.signature) AS signature, s.ts AS s_ts, s.line AS s_line, x.line AS e_line, x.event_type
+        FROM pairs p LEFT JOIN e s ON s.line = p.s_line LEFT JOIN e x ON x.line = p.e_line""",
+}
+
+
+@query("correlated_tool_calls", """SELECT substr(sha256(file || ':' || source_line || ':' || signature || ':' || start_ts), 1, 16) AS id, tool_name, command, status,
+    start_ts, end_ts, coalesce(given, end_ts - start_ts) AS duration_ms, exit_code, error, file AS source_file, source_line,
+    substr(sha256(signature || ':' || start_ts), 1, 16) AS correlation_key FROM matched""", _PAIRED)
 def _(spark, d):
-    return correlation.tool_calls(_pairs(spark, d))
+    return correlation.tool_calls(_pairs(spark, d)).drop("session_id", "stdout_bytes", "stderr_bytes", "dedup_key")
 
 
-@query("correlated_tool_call_events")
+@query("correlated_tool_call_events", """SELECT e.tool_name, e.event_type, e.ts, e.exit_code, e.file AS source_file, e.line AS source_line,
+    substr(sha256(b.signature || ':' || coalesce(b.s_ts, e.ts)), 1, 16) AS correlation_key,
+    substr(sha256(e.file || ':' || e.line || ':' || e.event_type || ':' || e.ts || ':' || e.signature), 1, 16) AS dedup_key
+    FROM matched b JOIN e ON e.line IN (b.s_line, b.e_line)""", _PAIRED)
 def _(spark, d):
-    return correlation.tool_call_events(_pairs(spark, d))
+    return correlation.tool_call_events(_pairs(spark, d)).drop("id", "session_id", "payload")
 
 
 # ---------------------------------------------------------------- desktop log

@@ -603,7 +603,7 @@ def _(spark, d):
     return clamped_balance(days, ["branch"], "date", "delta", "active")
 
 
-SQL["balance_per_branch"] = SQL["balance_per_branch"].replace(")\nWITH RECURSIVE ", "),\n").replace("WITH ", "WITH RECURSIVE ", 1)
+SQL["balance_per_branch"] = SQL["balance_per_branch"].replace(")\nWITH RECURSIVE ", "),\n")
 
 
 @query("latest_worktree_action", """SELECT worktree_path, action, ts FROM (SELECT *, row_number() OVER (PARTITION BY worktree_path ORDER BY ts DESC, id) AS rn

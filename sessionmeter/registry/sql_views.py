@@ -99,4 +99,4 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
         if view in everything:
             add(view)
     parts = [f"{v} AS ({VIEWS[v]})" for v in named] + [f"{k} AS ({v})" for k, v in (extra or {}).items()]
-    return "WITH " + ",\n".join(parts) + "\n" + body if parts else body
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body if parts else body
