@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_MS, HOUR_MS, call_ok
-
-_LEVELS = 20  # 2**20 hours, more than a century
+from ..runtime import checkpointed
 
 
 def activity_windows(session: DataFrame, calls_by_session: DataFrame) -> DataFrame:
@@ -34,6 +33,8 @@ def window_totals(windows: DataFrame, calls: DataFrame) -> DataFrame:
     Windows are at least two hours long, so both ends fall into different hours. Calls are
     summed per millisecond first; an hour then has a bounded number of rows.
     """
+    # Each of these is looked up several times; recomputing would scan the calls again each time.
+    windows = checkpointed(windows)
     span = F.coalesce(F.col("duration_ms"), F.col("end_ts") - F.col("start_ts"))
     at_ms = calls.groupBy(F.col("start_ts").alias("at")).agg(
         F.count("*").alias("n"), F.sum(F.when(call_ok(), 1).otherwise(0)).alias("ok"),
@@ -41,8 +42,8 @@ def window_totals(windows: DataFrame, calls: DataFrame) -> DataFrame:
         F.max(F.coalesce("end_ts", "start_ts")).alias("end"))
     marks = (windows.select(F.explode(F.array("window_start", "window_end")).alias("at")).distinct()
              .withColumn("mark", F.lit(True)))
-    points = (at_ms.join(marks, "at", "full")
-              .withColumn("hour", F.floor(F.col("at") / F.lit(HOUR_MS))))
+    points = checkpointed(at_ms.join(marks, "at", "full")
+                          .withColumn("hour", F.floor(F.col("at") / F.lit(HOUR_MS))))
 
     sums = ["n", "ok", "dur", "dur_n"]
     by_hour = Window.partitionBy("hour").orderBy("at")
@@ -61,6 +62,10 @@ def window_totals(windows: DataFrame, calls: DataFrame) -> DataFrame:
         F.max("end").over(onward).alias("end_onward"), F.max("end").over(upto).alias("end_upto"))
         .filter("mark"))
 
+    # Runs of 1, 2, 4 … hours, as long as the longest window asks for.
+    longest = windows.agg(F.max(F.col("window_end") - F.col("window_start"))).first()[0] or HOUR_MS
+    levels = max(1, longest // HOUR_MS).bit_length()
+
     # One row per hour of the covered time; its size follows the calendar, not the data.
     held = points.groupBy("hour").agg(*[zero(F.sum(s)).alias(s) for s in sums], F.max("end").alias("end"),
                                       F.min(start).alias("start"))
@@ -73,11 +78,11 @@ def window_totals(windows: DataFrame, calls: DataFrame) -> DataFrame:
                                for s in sums],
                      F.min("start").over(later).alias("next_later"),
                      F.col("end").alias("top_0")))
-    for level in range(1, _LEVELS + 1):
+    for level in range(1, levels + 1):
         hours = hours.withColumn(f"top_{level}", F.greatest(
             f"top_{level - 1}", F.lead(f"top_{level - 1}", 2 ** (level - 1)).over(line)))
-    hours = hours.withColumn("tops", F.array(*[f"top_{i}" for i in range(_LEVELS + 1)])).drop(
-        *[f"top_{i}" for i in range(_LEVELS + 1)])
+    hours = checkpointed(hours.withColumn("tops", F.array(*[f"top_{i}" for i in range(levels + 1)])).drop(
+        *[f"top_{i}" for i in range(levels + 1)]))
 
     offsets = hours.select("hour", *[s + "_base" for s in sums], "next_later")
     at = inside.join(offsets, "hour")

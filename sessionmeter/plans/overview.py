@@ -22,17 +22,14 @@ def overview_kpis(session: DataFrame, model_call: DataFrame, tool_call: DataFram
         "fresh": uncached(F.col("input_tokens"), F.col("cached_input_tokens")),
         "produced": F.col("output_tokens") + F.col("reasoning_tokens"), "dur": F.col("effective_ms"),
     }
-    by_model = timed.groupBy("model").agg(
-        *[or_zero(F.sum(side(fact))).alias(f"{tag}_{name}")
-          for tag, side in (("cur", current), ("prev", previous)) for name, fact in facts.items()],
-        *[F.count(side(col)).alias(f"{tag}_{name}") for tag, side in (("cur", current), ("prev", previous))
-          for name, col in (("calls", F.lit(1)), ("dur_n", F.col("effective_ms")))])
-    priced = with_price(by_model, price, model_call)
-    for tag in ("cur", "prev"):
-        priced = priced.withColumn(f"{tag}_cost", cost(F.col(f"{tag}_fresh"), F.col(f"{tag}_cached"),
-                                                       F.col(f"{tag}_produced")))
+    by_model = timed.groupBy("model", "period").agg(
+        *[F.sum(fact).alias(name) for name, fact in facts.items()], F.count("*").alias("calls"),
+        F.count("effective_ms").alias("dur_n"))
+    priced = with_price(by_model, price, model_call).withColumn(
+        "cost", cost(F.col("fresh"), F.col("cached"), F.col("produced")))
     names = ["tokens", "input", "cached", "calls", "dur", "dur_n", "cost"]
-    usage = priced.agg(*[or_zero(F.sum(f"{tag}_{n}")).alias(f"{tag}_{n}") for tag in ("cur", "prev") for n in names])
+    usage = priced.agg(*[or_zero(F.sum(side(F.col(n)))).alias(f"{tag}_{n}")
+                         for tag, side in (("cur", current), ("prev", previous)) for n in names])
     pair = lambda make: (make("cur"), make("prev"))
     col = lambda name: pair(lambda tag: F.col(f"{tag}_{name}"))
     usage_rows = kpi_rows(usage, {
