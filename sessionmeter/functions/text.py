@@ -36,22 +36,27 @@ SAFE_MESSAGES = (r"codex_app_", r"launching app", r"sparkle", r"git\b", r"worktr
                  r"desktop notification", r"app server", r"skills?/")
 ALERT_LEVELS = ("warn", "warning", "error")
 
+
 def strip(text: Column) -> Column:
     """Remove all kinds of white space from both ends."""
     return F.btrim(text, F.lit(BLANKS))
 
+
 def is_blank(text: Column) -> Column:
     return strip(text) == ""
 
+
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
     """First match of a group, null (not '') when the pattern does not occur."""
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
+
 def strip_escapes(text: Column) -> Column:
     for pattern in ESCAPES:
         text = F.regexp_replace(text, pattern, "")
     return text
 
+
 def redact(text: Column, home: str | None = None) -> Column:
     """Hide home directories, user directories and e-mail addresses."""
     if home:
@@ -60,6 +65,7 @@ def redact(text: Column, home: str | None = None) -> Column:
         text = F.regexp_replace(text, pattern, shown)
     return text
 
+
 def may_store(level: Column, component: Column, message: Column) -> Column:
     """Keep a record unless it may quote a conversation; then only known-harmless kinds."""
     lowered = F.lower(message)
@@ -69,11 +75,13 @@ def may_store(level: Column, component: Column, message: Column) -> Column:
             | F.coalesce(level.isin(*ALERT_LEVELS), F.lit(False)))
     return ~secret & safe
 
+
 def signature(tool: Column, command: Column) -> Column:
     """Tool and command with blanks collapsed and cut at 200 characters."""
     short = F.substring(strip(F.regexp_replace(F.coalesce(command, F.lit("")), r"\s+", " ")), 1, 200)
     return F.when(tool.isNull(), short).when(short == "", tool).otherwise(F.concat(tool, F.lit("|"), short))
 
+
 def mask_email(email: Column) -> Column:
     """Struct of the domain and a hash of the local part; no '@' means all is hashed."""
     at = F.instr(email, "@")
@@ -82,14 +90,17 @@ def mask_email(email: Column) -> Column:
     return F.struct(F.when(domain != "", domain).alias("email_domain"),
                     F.when((at == 0) | (local != ""), short_hash(local, 12)).alias("email_hash"))
 
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
+
 def matches(text: Column, term: str) -> Column:
     """Substring search ignoring ASCII case, in which % and _ act as wildcards."""
     pattern = term.translate(str.maketrans(UPPER, LOWER)).replace("\\", "\\\\")
     return ascii_lower(text).like(f"%{pattern}%")
 
+
 def any_matches(term: str | None, *columns: str) -> Column:
     """True where any column matches; with no term, everywhere."""
     if not term:
@@ -99,6 +110,7 @@ def any_matches(term: str | None, *columns: str) -> Column:
         test = test | F.coalesce(matches(F.col(name), term), F.lit(False))
     return test
 
+
 def contains_ignoring_case(term: str | None, *columns: str) -> Column:
     """Plain substring search without wildcards."""
     needle = (term or "").strip().lower()

@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from sessionmeter.operators import correlation as co
 from sessionmeter.operators.toollog import tool_log_events, tool_log_records
