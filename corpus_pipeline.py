@@ -1,21 +1,69 @@
-"""From documents to training sequences: STAGES in order, each over all rows its predecessor kept."""
+"""From documents to training sequences: STAGES in order, each over all rows its predecessor kept.
+
+Every stage takes and returns the columns of documents; the last returns packed pieces. Null
+and empty texts fall at the first stage (no language); repeated rows, ties and columns beyond
+those of documents are treated as the operators' docstrings say; empty tables stay empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sessionmeter.llm import pii
+from sessionmeter.llm import languages, packing, pii, simhash, substrings
 from sessionmeter.llm.common import stored
+from sessionmeter.llm.queries import tokenizer_file
+
+#: Posterior probability below which no language is taken as recognised.
+LEAST_SCORE = 0.5
+
+
+def recognise_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without letters or without a clear language go; ``lang`` becomes the language found."""
+    columns = docs.columns
+    model = languages.train(docs.filter(~languages.held_out(F.col("doc_id"))))
+    judged = languages.predict(docs, model)
+    return judged.filter((F.col("lang_pred") != languages.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).withColumn(
+        "lang", F.col("lang_pred")).select(*columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked fingerprints the document with the smallest doc_id stays, once if it is repeated."""
+    groups = simhash.near_duplicates(docs)
+    firsts = groups.filter("component_id <=> doc_id").select(F.col("component_id").alias("first")).distinct()
+    kept = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["first"]), "left_semi")
+    return kept.dropDuplicates(["doc_id"])
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of repeated passages go; a text without any stays as written, one left without words goes."""
+    columns = docs.columns
+    cut = substrings.remove_repeats(docs)
+    return cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).withColumns({
+        "text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")),
+        "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")),
+    }).select(*columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every e-mail address, IP, card, phone number and IBAN becomes a mask; no row goes."""
-    return pii.redact(docs)
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences with their place in sequences of at most 2,048 tokens."""
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
-STAGES = [("pii", redact_personal_data)]
+STAGES = [
+    ("language", recognise_language),
+    ("near duplicates", one_of_each_group),
+    ("repeated passages", cut_repeats),
+    ("personal data", redact_personal_data),
+    ("packing", pack_sequences),
+]
 
-#: Trained models, hashes and tokenizers are beyond SQL; tests/llm compares with a plain version.
+#: A trained model, SimHash and tokenizers are beyond SQL; tests/llm compares with a plain version.
 ORACLE_SQL = None
 
 
