@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, licenses, packing, pii, simhash, substrings, urls
+from . import languages, licenses, packing, pii, sentencepieces, simhash, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -123,3 +123,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_language")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op6_sentencepiece")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digest(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
