@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, languages, licenses, packing, pii, sentencepieces, simhash, substrings, urls
+from . import embeddings, fingerprints, languages, licenses, packing, pii, sentencepieces, simhash, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -133,3 +133,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_fingerprints")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@query("op5_embeddings")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
