@@ -1,6 +1,6 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
-A rotation that makes sign codes balanced and true to the vectors is learned (ITQ: alternate
+Rotations that make sign codes balanced and true to the vectors are learned (ITQ: alternate
 between codes and the orthogonal Procrustes rotation) on at most ``SAMPLE`` vectors, those with
 the smallest hashes; everything else covers all rows. Codes are cut into substrings; each is a
 table, and vectors that share a substring (and label and dimension) meet there. Their cosines
@@ -48,7 +48,6 @@ BLOCK = 2048
 class Codes:
     """Rotations (each dimension x dimension), bits of a substring, and the number of tables."""
 
-    mean: np.ndarray
     rotations: list[np.ndarray]
     bits: int
     tables: int
@@ -58,7 +57,7 @@ class Codes:
         weights = (1 << np.arange(self.bits)).astype(np.int64)
         found = []
         for rotation in self.rotations:
-            signs = (vectors - self.mean) @ rotation > 0
+            signs = vectors @ rotation > 0
             for i in range(0, signs.shape[1] - self.bits + 1, self.bits):
                 found.append(signs[:, i:i + self.bits] @ weights)
                 if len(found) == self.tables:
@@ -67,7 +66,12 @@ class Codes:
 
 
 def learn_rotation(sample: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray:
-    """ITQ on centred unit vectors: principal axes, then the rotation nearest to its own codes."""
+    """ITQ on unit vectors: principal axes, then the rotation nearest to its own codes.
+
+    The vectors are not centred: planes through the origin part two vectors with a chance that
+    follows their angle, which the number of tables relies on. Around the mean of a dense group
+    centred codes would be arbitrary.
+    """
     size = sample.shape[1]
     axes = np.linalg.eigh(sample.T @ sample)[1][:, ::-1]
     turned = sample @ axes
@@ -108,10 +112,9 @@ def fit(valid: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     largest = valid.groupBy("label", F.size("vector")).count().agg(F.max("count")).first()[0]
     sample = valid.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).toArrow().column("vector").combine_chunks()
     unit = _unit(_matrix(sample, size))
-    mean = unit.mean(axis=0)
     bits, tables = design(largest, size, threshold, recall)
-    rotations = [learn_rotation(unit - mean, seed) for seed in range(-(-tables // (size // bits)))]
-    return Codes(mean, rotations, bits, tables)
+    rotations = [learn_rotation(unit, seed) for seed in range(-(-tables // (size // bits)))]
+    return Codes(rotations, bits, tables)
 
 
 def _compare(left, right, codes: Codes, threshold: float, same: bool) -> tuple[list[np.ndarray], ...]:
@@ -138,7 +141,7 @@ def _compare(left, right, codes: Codes, threshold: float, same: bool) -> tuple[l
 
 def _links(distinct: DataFrame, codes: Codes, threshold: float) -> DataFrame:
     """rep, n (copies linked to it through a bucket), least (smallest rep it links to there)."""
-    size = len(codes.mean)
+    size = len(codes.rotations[0])
     shared = distinct.sparkSession.sparkContext.broadcast(codes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -205,7 +205,8 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     seen = stored(found.join(told, ["anchor", *NAME]).select(
         "doc", "row", *NAME, F.floor(F.col("span") / PACK).alias("start"), (F.col("span") % PACK).alias("count"),
         "first_doc", "repeated", "branching"))
-    copies = seen.filter("repeated")
+    # Rows that repeat as a whole have the same pieces; one of each counts.
+    copies = seen.filter("repeated").repartition("doc", "row").dropDuplicates(["doc", "row", "start"])
     placed = copies.join(_paths(copies), NAME).select("*", (F.col("start") - F.col("offset")).alias("path_start"))
     # All pieces of one appearance of a path share path_start; together they cover it without a gap.
     path_spans = (placed.filter("first_doc < doc")
@@ -219,7 +220,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                   .select("doc", "row", "part.start", "part.count", "first_doc",
                           F.concat(F.hex("p1"), F.hex("p2")).alias("path")))
     pending = (seen.filter("branching and first_doc = doc").groupBy("doc", "row")
-               .agg(F.collect_list(F.col("start") * PACK + F.col("count")).alias("spans")))
+               .agg(F.collect_set(F.col("start") * PACK + F.col("count")).alias("spans")))
     windows = stored(_windows_of(keyed.select("doc", "row", "text").join(pending, ["doc", "row"]), window))
     first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).filter(
         "first_doc < last_doc").drop("last_doc")
