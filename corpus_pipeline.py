@@ -29,10 +29,7 @@ def recognise_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of linked fingerprints the document with the smallest doc_id stays, once if it is repeated."""
-    groups = simhash.near_duplicates(docs)
-    firsts = groups.filter("component_id <=> doc_id").select(F.col("component_id").alias("first")).distinct()
-    kept = docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["first"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    return simhash.one_per_group(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,15 +66,16 @@ def fingerprint(text: bytes, words_per_shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words_per_shingle: int = 4) -> DataFrame:
-    """doc_id and fingerprint (as a signed long)."""
+    """doc_id, text_key (a hash of the text, to tell rows of one doc_id apart), fingerprint (a signed long)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             prints = np.array([fingerprint(t, words_per_shingle) for t in as_bytes(batch.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))],
-                                             names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(prints.view(np.int64))],
+                                             names=["doc_id", "text_key", "fingerprint"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(work, "doc_id long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(
+        work, "doc_id long, text_key long, fingerprint long")
 
 
 def _parity_masks(t: int) -> list[int]:
@@ -182,15 +183,33 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fingerprint (long), component_id: smallest doc_id reachable by links."""
+    """doc_id, text_key, fingerprint (long), group (one value per component), component_id.
+
+    component_id is the smallest doc_id reachable by links.
+    """
     prints = stored(fingerprints(docs, words_per_shingle))
     distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     joined = components(links(distinct, radius)).withColumnRenamed("node", "fingerprint")
     placed = distinct.join(joined, "fingerprint", "left").select(
         "fingerprint", "least", F.coalesce("component", "fingerprint").alias("component"))
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = placed.join(named, "component").select("fingerprint", "component_id")
-    return prints.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    of = placed.join(named, "component").select("fingerprint", F.col("component").alias("group"), "component_id")
+    return prints.join(of, "fingerprint").select("doc_id", "text_key", "fingerprint", "group", "component_id")
+
+
+def one_per_group(docs: DataFrame, words_per_shingle: int = 4, radius: int = 4) -> DataFrame:
+    """Of each component the row with the smallest doc_id, of equal ones that with the smallest text_key.
+
+    Rows equal in doc_id and text count as one. Rows without a doc_id come last.
+    """
+    key = lambda doc, text: F.struct(doc.isNull().alias("none"), doc.alias("doc"), text.alias("text_key"))
+    firsts = near_duplicates(docs, words_per_shingle, radius).groupBy("group").agg(
+        F.min(key(F.col("doc_id"), F.col("text_key"))).alias("key")).select(
+            F.coalesce("key.doc", F.lit(0)).alias("doc"), "key.none", "key.text_key")
+    packed = docs.select(F.struct(*docs.columns).alias("held"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"),
+                         F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("text_key"))
+    names = ["doc", "none", "text_key"]
+    return packed.join(firsts, names).dropDuplicates(names).select("held.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
