@@ -60,3 +60,21 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+class Remembered:
+    """A bounded map in two generations: what was not asked for since the last turn goes."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> list:
+        """Keys to be added; the others are all in ``young`` afterwards."""
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        fresh = keys.difference(self.young)
+        known = fresh.intersection(self.old) if self.old else set()
+        self.young.update((k, self.old[k]) for k in known)
+        return list(fresh.difference(known))

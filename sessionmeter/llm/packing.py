@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, stored
+from .common import Remembered, as_bytes, slices, stored
 
 CAPACITY = 2048
 #: Effort of the search: nodes in all, completions tried at a node, steps to enumerate them.
@@ -179,24 +179,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
     return best or []
 
 
-class Remembered:
-    """A bounded map in two generations: what was not asked for since the last turn goes."""
-
-    def __init__(self, limit: int):
-        self.limit = limit
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def missing(self, keys: set[bytes]) -> list[bytes]:
-        """Keys to be added; the others are all in ``young`` afterwards."""
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-        fresh = keys - self.young.keys()
-        known = fresh & self.old.keys()
-        self.young.update((k, self.old[k]) for k in known)
-        return list(fresh - known)
-
-
 #: Parts of an ASCII text between white space as the tokenizer cuts them, after lower-casing.
 ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: Signs at the end of a word; none of them begins a part with a letter in it.

@@ -26,11 +26,11 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, slices
+from .common import Remembered, as_bytes, slices
 
 BLANK = "▁"
-#: Parts of texts, and pairs of pieces, that a worker remembers at most.
-MEMORY, PAIRS = 300_000, 300_000
+#: Parts of texts that a worker remembers in one generation, and pairs of pieces, about.
+MEMORY, PAIRS = 250_000, 300_000
 
 
 class Pieces:
@@ -63,7 +63,8 @@ class Pieces:
             self.finder.add_word(piece, len(piece))
         self.finder.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.parts: dict[bytes, tuple[int, bytes, bytes]] = {}
+        # Parts between blanks, and what is left of them where no piece can reach across.
+        self.parts, self.cores = Remembered(MEMORY), Remembered(MEMORY)
 
     def merge(self, text: str) -> list[str]:
         """Plain merging: the best-scored neighbours first, of equals the leftmost."""
@@ -117,53 +118,62 @@ class Pieces:
                 k -= 1
         return chosen
 
-    def _ids(self, text: str) -> list[int]:
-        """Ids of a part whose blanks are visible ones."""
-        ids: list[int] = []
-        start = 0
-        for i in range(1, len(text) + 1):
-            if i < len(text) and text[i - 1:i + 1] in self.joined:
-                continue
-            piece = text[start:i]
-            start = i
-            if piece in self.id and len(piece) == 1:
-                ids.append(self.id[piece])
-            elif len(piece) == 1:
-                ids += [self.bytes[b] for b in piece.encode()]
+    def _cores(self, text: str) -> list[str]:
+        """A part cut where no piece can reach across."""
+        joined, cuts = self.joined, [0]
+        cuts += [i for i in range(1, len(text)) if text[i - 1:i + 1] not in joined]
+        return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+    def _ids(self, core: str) -> list[int]:
+        if len(core) > 1:
+            return [self.id[p] for p in self.backtrack(core)]
+        return [self.id[core]] if core in self.id else [self.bytes[b] for b in core.encode()]
+
+    def _entry(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+        """Number of ids, ids in decimal, decoded text."""
+        return len(ids), " ".join(map(str, ids)).encode(), b"".join(map(self.text.__getitem__, ids))
+
+    def remember(self, texts: list[list[bytes]]) -> dict[bytes, tuple[int, bytes, bytes]]:
+        """Entries of all parts of some texts."""
+        fresh = self.parts.missing(set().union(*texts))
+        cut = [self._cores(p.decode().replace(" ", BLANK)) for p in fresh]
+        cores = self.cores.missing({c for cs in cut for c in cs})
+        known = self.cores.young
+        known.update((c, self._entry(self._ids(c))) for c in cores)
+        for part, cs in zip(fresh, cut, strict=True):
+            if len(cs) == 1:
+                self.parts.young[part] = known[cs[0]]
             else:
-                ids += [self.id[p] for p in self.backtrack(piece)]
-        return ids
-
-    def look_up(self, part: bytes) -> tuple[int, bytes, bytes]:
-        """Number of ids, ids in decimal, decoded text of a part."""
-        found = self.parts.get(part)
-        if found is None:
-            if len(self.parts) >= MEMORY:
-                self.parts.clear()
-            ids = self._ids(part.decode().replace(" ", BLANK))
-            found = self.parts[part] = len(ids), " ".join(map(str, ids)).encode(), b"".join(map(self.text.__getitem__, ids))
-        return found
+                found = [known[c] for c in cs]
+                self.parts.young[part] = (sum([f[0] for f in found]), b" ".join([f[1] for f in found]), b"".join([f[2] for f in found]))
+        return self.parts.young
 
     def _parts(self, text: bytes) -> list[bytes]:
         return self.part.findall(b" " + text.replace(BLANK.encode(), b" ")) if text else []
 
     def encode(self, text: bytes) -> tuple[int, bytes]:
         """Number of ids, and the ids in decimal with a blank between them; the end id is last."""
-        found = [self.look_up(p) for p in self._parts(text)]
-        return sum(f[0] for f in found) + 1, b" ".join([*(f[1] for f in found), str(self.eos).encode()])
+        return self.round_trips([text])[0][:2]
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of ids; the blank put in front goes, control ids are silent, broken bytes become U+FFFD."""
         text = b"".join(self.text.get(i, b"") for i in ids)
         return text[text.startswith(b" "):].decode("utf-8", "replace").encode()
 
-    def round_trip(self, text: bytes) -> tuple[int, bytes, bytes]:
+    def round_trips(self, texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
         """As ``encode``, and the decoded text; every part is decoded from its ids once."""
-        look_up = self.look_up
-        found = [look_up(p) for p in self._parts(text)]
-        decoded = b"".join([f[2] for f in found])
-        return (sum([f[0] for f in found]) + 1, b" ".join([*[f[1] for f in found], str(self.eos).encode()]),
-                decoded[decoded.startswith(b" "):])
+        parts = [self._parts(t) for t in texts]
+        known = self.remember(parts).__getitem__
+        end = str(self.eos).encode()
+        out = []
+        for ps in parts:
+            found = list(map(known, ps))
+            decoded = b"".join([f[2] for f in found])
+            out.append((sum([f[0] for f in found]) + 1, b" ".join([*[f[1] for f in found], end]), decoded[decoded.startswith(b" "):]))
+        return out
+
+    def round_trip(self, text: bytes) -> tuple[int, bytes, bytes]:
+        return self.round_trips([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -177,7 +187,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path)
         for batch in slices(batches):
-            ids = [[int(i) for i in pieces.encode(t)[1].split()] for t in as_bytes(batch.column("text"))]
+            ids = [[int(i) for i in f[1].split()] for f in pieces.round_trips(as_bytes(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(work, "doc_id long, ids array<int>")
@@ -201,7 +211,7 @@ def digest(docs: DataFrame, model_path: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path)
         for batch in slices(batches):
-            found = [pieces.round_trip(t) for t in as_bytes(batch.column("text"))]
+            found = pieces.round_trips(as_bytes(batch.column("text")))
             sha = lambda i: pa.array([hashlib.sha256(f[i]).hexdigest() for f in found], pa.string())  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), sha(1), sha(2)],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
