@@ -9,7 +9,7 @@ piece before left pending, and pieces are rerun until none starts from something
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,11 +36,16 @@ _RUN_SCHEMA = PAIR_SCHEMA + ", segment bigint, piece bigint, carried boolean"
 
 
 class Pending:
-    """Starts without an end yet, in order of time, with lookups by signature and tool."""
+    """Starts without an end yet, in order of time, with lookups by signature and tool.
+
+    Each key maps times to the ids that start then. An id leaves all its keys with itself, so
+    every step takes the same time however many starts are pending.
+    """
 
     def __init__(self):
-        self.alive: dict[int, tuple] = {}
-        self.index: dict[tuple, list[int]] = defaultdict(list)
+        self.alive: OrderedDict[int, tuple] = OrderedDict()
+        self.index: dict[tuple, OrderedDict[int, OrderedDict[int, None]]] = {}
+        self.keys_of: dict[int, tuple] = {}
         self.next_id = 0
 
     @staticmethod
@@ -52,24 +57,26 @@ class Pending:
 
     def add(self, ts, tool, signature, payload):
         self.alive[self.next_id] = (ts, payload)
-        for key in self._keys(tool, signature):
-            self.index[key].append(self.next_id)
+        self.keys_of[self.next_id] = tuple(self._keys(tool, signature))
+        for key in self.keys_of[self.next_id]:
+            self.index.setdefault(key, OrderedDict()).setdefault(ts, OrderedDict())[self.next_id] = None
         self.next_id += 1
 
+    def _remove(self, found):
+        ts, payload = self.alive.pop(found)
+        for key in self.keys_of.pop(found):
+            times = self.index[key]
+            del times[ts][found]
+            if not times[ts]:
+                del times[ts]
+            if not times:
+                del self.index[key]
+        return payload
+
     def _nearest(self, key):
         """Newest start under a key; of several at the same time the first."""
-        ids = self.index.get(key)
-        while ids and ids[-1] not in self.alive:
-            ids.pop()
-        if not ids:
-            return None
-        best, ts = ids[-1], self.alive[ids[-1]][0]
-        for other in reversed(ids[:-1]):
-            if other in self.alive:
-                if self.alive[other][0] != ts:
-                    break
-                best = other
-        return best
+        times = self.index.get(key)
+        return next(iter(times[next(reversed(times))])) if times else None
 
     def repeats(self, ts, signature, within):
         found = self._nearest(("signature", signature))
@@ -84,10 +91,10 @@ class Pending:
         for key in keys:
             found = self._nearest(key)
             if found is not None:
-                return self.alive.pop(found)[1]
+                return self._remove(found)
         if not self.alive:
             return None
-        return self.alive.pop(next(iter(self.alive)))[1]
+        return self._remove(next(iter(self.alive)))
 
     def expire(self, before):
         """Remove and return starts older than a time."""
@@ -96,7 +103,7 @@ class Pending:
             first = next(iter(self.alive))
             if self.alive[first][0] >= before:
                 break
-            gone.append(self.alive.pop(first)[1])
+            gone.append(self._remove(first))
         return gone
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from .ordered import first_per_key
 
 # A model without a published price and the one whose price it takes.
 ALIASES = {"gpt-5.3-codex": "gpt-5.2-codex"}
@@ -29,20 +28,20 @@ def candidates(model, aliases: dict[str, str] | None = None):
     return F.array(*names)
 
 
-def with_price(df: DataFrame, price: DataFrame, calls: DataFrame,
-               aliases: dict[str, str] | None = None) -> DataFrame:
+def with_price(df: DataFrame, price: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """Add the price columns for ``model``; null where no price is known.
 
-    ``df`` should be aggregated by model already. The names come from ``calls``, the table
-    behind it, so that finding them reads one column and does not repeat the aggregation.
-    Whether the found prices are broadcast is left to Spark, which knows their size.
+    ``df`` is aggregated by model already and holds no row twice. Each row tries its few
+    candidates against the price table; what it finds is brought together again in the task
+    that tried them, so the facts behind ``df`` are read once and its rows travel once.
+    The first candidate with an entry counts, even if that entry has no price.
     """
-    names = calls.select("model").distinct().filter(
-        F.col("model").isNotNull() & (strip(F.col("model")) != "") & (F.col("model") != "unknown"))
-    tried = names.select("model", F.posexplode(candidates(strip(F.col("model")), aliases)).alias("rank", "key"))
-    found = (tried.join(price.withColumnRenamed("model", "key"), "key")
-             .transform(lambda d: first_per_key(d, ["model"], [F.col("rank")]))
-             .select("model", *[F.when(F.col("input_price").isNotNull() & F.col("output_price").isNotNull(),
-                                       F.coalesce(p, "input_price") if p == "cache_price" else F.col(p)).alias(p)
-                                for p in PRICES]))
-    return df.join(found, "model", "left")
+    model = strip(F.col("model"))
+    known = F.col("model").isNotNull() & (model != "") & (F.col("model") != "unknown")
+    tried = df.select("*", F.posexplode_outer(F.when(known, F.array_compact(candidates(model, aliases)))).alias("_rank", "_key"))
+    entry = F.struct(*[F.when(F.col("input_price").isNotNull() & F.col("output_price").isNotNull(),
+                              F.coalesce(p, "input_price") if p == "cache_price" else F.col(p)).alias(p) for p in PRICES])
+    entries = price.select(F.col("model").alias("_key"), entry.alias("_entry"))
+    found = tried.join(entries, "_key", "left").groupBy(*df.columns).agg(
+        F.min_by("_entry", F.when(F.col("_entry").isNotNull(), F.col("_rank"))).alias("_entry"))
+    return found.select(*df.columns, *[F.col("_entry")[p].alias(p) for p in PRICES])

@@ -92,7 +92,7 @@ def worktree_daily(worktree_event: DataFrame, rng: DateRange, tz: str = "UTC", i
 
 
 def worktree_list(worktree_event: DataFrame, rng: DateRange = DateRange(), search: str | None = None,
-                  part: Page | None = Page()) -> DataFrame:
+                  part: Page | None = None) -> DataFrame:
     rows = rng.filter(worktree_event).filter(
         any_matches(search, "worktree_path", "repo_root", "branch", "error", "action")).select(
         "id", "ts", "action", "worktree_path", "repo_root", "branch", "status", "error")
@@ -128,7 +128,7 @@ def automation_daily(automation_event: DataFrame, rng: DateRange, tz: str = "UTC
 
 
 def automation_list(automation_event: DataFrame, rng: DateRange = DateRange(), search: str | None = None,
-                    part: Page | None = Page()) -> DataFrame:
+                    part: Page | None = None) -> DataFrame:
     rows = rng.filter(automation_event).filter(any_matches(search, "thread_id", "error", "action")).select(
         "id", "ts", "action", "thread_id", "status", "error")
     return page(rows, [F.col("ts").desc(), F.col("id")], part)

@@ -19,10 +19,10 @@ def _model_rows(model_call: DataFrame, price: DataFrame, rng: DateRange) -> Data
         mean(F.sum("effective_ms"), F.count("effective_ms")).alias("avg_duration_ms"))
     spent = cost(uncached(F.col("input_tokens"), F.col("cached_input_tokens")), F.col("cached_input_tokens"),
                  F.col("output_tokens") + F.col("reasoning_tokens"))
-    return with_price(rows, price, model_call).withColumn("estimated_cost", spent)
+    return with_price(rows, price).withColumn("estimated_cost", spent)
 
 
-def models_list(model_call: DataFrame, price: DataFrame, rng: DateRange, part: Page | None = Page()) -> DataFrame:
+def models_list(model_call: DataFrame, price: DataFrame, rng: DateRange, part: Page | None = None) -> DataFrame:
     """Usage per model, most tokens first. Cost is null where no price is known."""
     rows = _model_rows(model_call, price, rng).select(
         F.coalesce("model", F.lit("unknown")).alias("model"), "call_count", "input_tokens", "cached_input_tokens",
@@ -40,7 +40,7 @@ def models_totals(model_call: DataFrame, price: DataFrame, rng: DateRange) -> Da
                     mean(F.sum(F.col("avg_duration_ms") * F.col("call_count")), F.sum("call_count")).alias("avg_duration_ms"))
 
 
-def providers_list(session: DataFrame, model_call: DataFrame, rng: DateRange, part: Page | None = Page()) -> DataFrame:
+def providers_list(session: DataFrame, model_call: DataFrame, rng: DateRange, part: Page | None = None) -> DataFrame:
     """Usage per provider. With a range, only sessions with a call in it count.
 
     Calls are summed per session before the join, so a session appears once and needs no

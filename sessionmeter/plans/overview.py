@@ -25,7 +25,7 @@ def overview_kpis(session: DataFrame, model_call: DataFrame, tool_call: DataFram
     by_model = timed.groupBy("model", "period").agg(
         *[F.sum(fact).alias(name) for name, fact in facts.items()], F.count("*").alias("calls"),
         F.count("effective_ms").alias("dur_n"))
-    priced = with_price(by_model, price, model_call).withColumn(
+    priced = with_price(by_model, price).withColumn(
         "cost", cost(F.col("fresh"), F.col("cached"), F.col("produced")))
     names = ["tokens", "input", "cached", "calls", "dur", "dur_n", "cost"]
     usage = priced.agg(*[or_zero(F.sum(side(F.col(n)))).alias(f"{tag}_{n}")
@@ -71,7 +71,7 @@ def overview_daily(session: DataFrame, model_call: DataFrame, price: DataFrame,
     by_model = calls.groupBy(day_text(F.col("ts"), tz).alias("date"), "model").agg(
         F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
         F.sum("reasoning_tokens").alias("reasoning_tokens"), F.count("*").alias("model_calls"), *billable_sums())
-    priced = with_price(by_model, price, model_call).withColumn("cost", cost(F.col("fresh"), F.col("cached"), F.col("produced")))
+    priced = with_price(by_model, price).withColumn("cost", cost(F.col("fresh"), F.col("cached"), F.col("produced")))
     return priced.groupBy("date").agg(
         F.sum("input_tokens").alias("input_tokens"), F.sum("cached").alias("cached_input_tokens"),
         F.sum("output_tokens").alias("output_tokens"), F.sum("reasoning_tokens").alias("reasoning_tokens"),

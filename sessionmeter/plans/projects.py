@@ -72,14 +72,14 @@ def _tool_usage(session: DataFrame, tool_call: DataFrame, rng: DateRange, *keys:
 
 def projects_list(project: DataFrame, session: DataFrame, model_call: DataFrame, tool_call: DataFrame,
                   price: DataFrame, rng: DateRange = DateRange(), search: str | None = None,
-                  sort_by: str = "last_seen", descending: bool = True, part: Page | None = Page()) -> DataFrame:
+                  sort_by: str = "last_seen", descending: bool = True, part: Page | None = None) -> DataFrame:
     """Merged projects that have a session in range, with usage, cost and success rate."""
     counted = rng.filter(session).filter(F.col("project_id").isNotNull()).groupBy("project_id").agg(
         F.count("*").alias("session_count"))
     used = project.join(counted.select(F.col("project_id").alias("id")), "id", "left_semi").filter(
         contains_ignoring_case(search, "name", "root_path", "git_remote"))
     members, entities = merge_entities(used)
-    usage = with_price(_model_usage(session, model_call, rng, "project_id"), price, model_call).groupBy("project_id").agg(
+    usage = with_price(_model_usage(session, model_call, rng, "project_id"), price).groupBy("project_id").agg(
         F.sum("calls").alias("model_call_count"), F.sum("total_tokens").alias("total_tokens"),
         F.sum("input_tokens").alias("input_tokens"), F.sum("cached_input_tokens").alias("cached_input_tokens"),
         F.sum(_usage_cost()).alias("estimated_cost"))
@@ -106,7 +106,7 @@ def projects_totals(project: DataFrame, session: DataFrame, model_call: DataFram
     used = project.join(in_range.select(F.col("project_id").alias("id")), "id", "left_semi").filter(
         contains_ignoring_case(search, "name", "root_path", "git_remote"))
     _, entities = merge_entities(used)
-    usage = with_price(_model_usage(session, model_call, rng), price, model_call)
+    usage = with_price(_model_usage(session, model_call, rng), price)
     one = lambda df, name, value: df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("metric"), "value")
     spent = usage.agg(or_zero(F.sum("total_tokens")).alias("tokens"), or_zero(F.sum(_usage_cost())).alias("spent")).select(
         F.inline(F.array(F.struct(F.lit("total_tokens").alias("metric"), F.col("tokens").cast("double").alias("value")),
@@ -161,7 +161,7 @@ def project_models(group: DataFrame, session: DataFrame, model_call: DataFrame,
     """Tokens and cost per model of a project group."""
     usage = _model_usage(_in_group(session, group), model_call, rng)
     named = F.when(F.col("model") != "", F.col("model"))
-    return with_price(usage, price, model_call).select(
+    return with_price(usage, price).select(
         F.coalesce(named, F.lit("Unknown")).alias("model"), F.col("total_tokens").alias("tokens"),
         F.coalesce(_usage_cost(), F.lit(0.0)).alias("cost")).orderBy(F.col("tokens").desc(), "model")
 
@@ -177,7 +177,7 @@ def project_header(project_id: str, group: DataFrame, session: DataFrame, model_
     """The one row that heads a project's detail view."""
     tag = lambda df: df.withColumn("k", F.lit(1))
     own = _in_group(session, group)
-    usage = with_price(_model_usage(own, model_call, rng), price, model_call).agg(
+    usage = with_price(_model_usage(own, model_call, rng), price).agg(
         or_zero(F.sum("calls")).alias("model_call_count"), or_zero(F.sum("total_tokens")).alias("total_tokens"),
         or_zero(F.sum("input_tokens")).alias("input_tokens"),
         or_zero(F.sum("cached_input_tokens")).alias("cached_input_tokens"),

@@ -74,15 +74,15 @@ def _stat_columns(firsts: list[str], lasts: list[str]) -> list:
 
 
 def sessions_list(session: DataFrame, message: DataFrame, model_call: DataFrame, tool_call: DataFrame,
-                  wanted: SessionFilters = SessionFilters(), part: Page | None = Page()) -> DataFrame:
+                  wanted: SessionFilters = SessionFilters(), part: Page | None = None) -> DataFrame:
     """Sessions, newest first, with counts, tokens, mean durations, success rate and span.
 
     Child rows count whether or not they lie in the range. For a page, the sessions are
-    chosen first and the children are cut down to them; a page has 500 ids at most.
+    chosen first and the children are cut down to them; Spark chooses how, by their number.
     """
     chosen = page(matching_sessions(session, model_call, wanted), [F.col("ts").desc(), F.col("id")], part)
     if part is not None:
-        ids = F.broadcast(chosen.select(F.col("id").alias("session_id")))
+        ids = chosen.select(F.col("id").alias("session_id"))
         message, model_call, tool_call = (d.join(ids, "session_id", "left_semi")
                                           for d in (message, model_call, tool_call))
     facts = chosen.withColumnRenamed("id", "session_id")
@@ -124,7 +124,7 @@ def session_stats(session: DataFrame, message: DataFrame, model_call: DataFrame,
 
 def session_items(session_id: str, kind: str, session: DataFrame, message: DataFrame, model_call: DataFrame,
                   tool_call: DataFrame, session_context: DataFrame | None = None, rng: DateRange = DateRange(),
-                  part: Page | None = Page()) -> DataFrame:
+                  part: Page | None = None) -> DataFrame:
     """One page of a session's ``messages``, ``model_calls``, ``tool_calls`` or all of its ``contexts``."""
     mine = lambda df: rng.filter(df.filter(F.col("session_id") == session_id))
     order = [F.col("ts"), F.col("id")]
@@ -158,7 +158,7 @@ def session_medians(session: DataFrame, model_call: DataFrame, price: DataFrame,
         F.count("*").alias("calls"), F.sum("total_tokens").alias("tokens"),
         (F.max("ts") - F.min("ts")).alias("duration"))
     spent = rng.filter(model_call).groupBy("session_id", "model").agg(*billable_sums())
-    spent = (with_price(spent, price, model_call).groupBy("session_id")
+    spent = (with_price(spent, price).groupBy("session_id")
              .agg(F.sum(cost(F.col("fresh"), F.col("cached"), F.col("produced"))).alias("cost")))
     facts = (rng.filter(session).select(F.col("id").alias("session_id"), day_text(F.col("ts")).alias("date"))
              .join(usage, "session_id", "left").join(spent, "session_id", "left")

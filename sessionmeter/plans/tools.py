@@ -54,7 +54,7 @@ def matching_calls(tool_call: DataFrame, session: DataFrame | None, wanted: Tool
 
 
 def tool_calls_list(tool_call: DataFrame, session: DataFrame | None = None, wanted: ToolFilters = ToolFilters(),
-                    part: Page | None = Page()) -> DataFrame:
+                    part: Page | None = None) -> DataFrame:
     """Tool calls, newest first."""
     rows = matching_calls(tool_call, session, wanted).select(
         "id", "session_id", "tool_name", "command", "status", "start_ts", "end_ts", "duration_ms", "exit_code",

@@ -19,7 +19,7 @@ TIMES = {"session": "ts", "model_call": "ts", "tool_call": "start_ts", "message"
 EARLIEST_MS = 1_000_000_000_000
 
 
-def ingest_files(ledger: DataFrame, search: str | None = None, part: Page | None = Page()) -> DataFrame:
+def ingest_files(ledger: DataFrame, search: str | None = None, part: Page | None = None) -> DataFrame:
     """Known files, last updated first."""
     rows = ledger.filter(any_matches(search, "path")).select("path", "byte_offset", "mtime_ms", "updated_at")
     return page(rows, [F.col("updated_at").desc(), F.col("path")], part)

@@ -14,6 +14,11 @@ def _ms(moment: datetime) -> int:
     return round(moment.timestamp() * 1000)
 
 
+def _day(ms: int) -> str:
+    """UTC day as the tables name it."""
+    return (datetime(1970, 1, 1) + timedelta(milliseconds=ms)).strftime("%Y-%m-%d")
+
+
 def parse_instant(value, tz: str = "UTC") -> int | None:
     """Milliseconds from a number, a text of digits, or ISO text; None if it is none of them.
 
@@ -86,11 +91,19 @@ class DateRange:
         return test
 
     def filter(self, df: DataFrame, ts: str = "ts") -> DataFrame:
-        """Keep rows in range; both comparisons reach the Parquet scan."""
-        if self.start is not None:
-            df = df.filter(F.col(ts) >= self.start)
-        if self.end is not None:
-            df = df.filter(F.col(ts) <= self.end)
+        """Keep rows in range; both comparisons reach the Parquet scan.
+
+        Where the frame has the tables' partition column ``day`` (UTC), other days are not opened.
+        """
+        dated = "day" in df.columns and ts in ("ts", "start_ts")
+        for bound, low in ((self.start, True), (self.end, False)):
+            if bound is None:
+                continue
+            at, day = F.col(ts), F.lit(bound)
+            df = df.filter(at >= day if low else at <= day)
+            if dated:
+                text = _day(bound)
+                df = df.filter(F.col("day") >= text if low else F.col("day") <= text)
         return df
 
     def previous(self) -> "DateRange | None":
@@ -118,15 +131,13 @@ class DateRange:
 
 @dataclass(frozen=True)
 class Page:
-    """Limit and offset of a page. Out-of-bounds values fall back as stated per field."""
+    """Limit and offset of a page; a limit below 1 becomes 50, an offset below 0 becomes 0."""
 
     limit: int = 50
     offset: int = 0
-    max_limit: int = 500
 
     def __post_init__(self):
-        limit = 50 if self.limit < 1 else min(self.limit, self.max_limit)
-        object.__setattr__(self, "limit", limit)
+        object.__setattr__(self, "limit", 50 if self.limit < 1 else self.limit)
         object.__setattr__(self, "offset", max(0, self.offset))
 
     @classmethod

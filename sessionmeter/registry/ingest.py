@@ -519,13 +519,13 @@ def _(spark, d):
     return ingest_report(lines.select("file").distinct(), good, rejects)
 
 
-@query("session_contexts", """SELECT conv_id || '-' || turn AS id, 865123200000 + turn * 1000 AS ts, substr(text, 1, 5) AS model, role AS model_provider
+@query("session_contexts", """SELECT conv_id || '-' || turn AS id, 865123200000 + turn * 1000 AS ts, text AS model, role AS model_provider
     FROM conversations WHERE conv_id = 7 ORDER BY ts, id""")
 def _(spark, d):
     from ..plans.sessions import session_items
     contexts = v.table(spark, d, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("session_id"),
-        (F.lit(v.BASE_MS) + F.col("turn") * 1000).alias("ts"), F.substring("text", 1, 5).alias("model"),
+        (F.lit(v.BASE_MS) + F.col("turn") * 1000).alias("ts"), F.col("text").alias("model"),
         F.col("role").alias("model_provider"))
     return session_items("7", "contexts", v.session(spark, d), v.message(spark, d), v.model_call(spark, d),
                          v.tool_call(spark, d), contexts)
@@ -542,7 +542,7 @@ def _(spark, d):
     price = spark.createDataFrame([("gpt-5.2-codex", 3.0, 9.0, 0.5), ("openai/gpt-5-1-mini", 2.5, 9.0, None),
                                    ("anthropic/claude.1", 4.0, 9.0, None), ("unknown", 1.0, 1.0, 1.0), ("openai/claude-1", 7.0, 7.0, 7.0)],
                                   "model string, input_price double, output_price double, cache_price double")
-    return with_price(rows, price, rows).select("p_partkey", "model", "input_price", "cache_price")
+    return with_price(rows, price).select("p_partkey", "model", "input_price", "cache_price")
 
 
 @query("refreshed_rollup", """SELECT date, CASE WHEN date LIKE '%-01' THEN n ELSE 0 END AS created_count FROM (SELECT strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS date,

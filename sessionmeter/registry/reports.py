@@ -236,14 +236,14 @@ def _(spark, d):
 
 @query("session_messages", "SELECT id, ts, role, content FROM v_message WHERE session_id = '7' ORDER BY ts, id LIMIT 50")
 def _(spark, d):
-    return sessions.session_items("7", "messages", v.session(spark, d), v.message(spark, d), v.model_call(spark, d), v.tool_call(spark, d))
+    return sessions.session_items("7", "messages", v.session(spark, d), v.message(spark, d), v.model_call(spark, d), v.tool_call(spark, d), part=Page())
 
 
 @query("session_model_calls", """SELECT id, ts, model, input_tokens, cached_input_tokens, output_tokens, reasoning_tokens, total_tokens,
     coalesce(duration_ms, CASE WHEN nxt > ts THEN nxt - ts END) AS duration_ms FROM
     (SELECT *, lead(ts) OVER (ORDER BY ts, id) AS nxt FROM v_call WHERE session_id = '7') ORDER BY ts, id LIMIT 50""")
 def _(spark, d):
-    return sessions.session_items("7", "model_calls", v.session(spark, d), v.message(spark, d), v.model_call(spark, d), v.tool_call(spark, d))
+    return sessions.session_items("7", "model_calls", v.session(spark, d), v.message(spark, d), v.model_call(spark, d), v.tool_call(spark, d), part=Page())
 
 
 @query("session_tool_calls", f"""SELECT id, tool_name, command, status, start_ts, end_ts, coalesce(duration_ms, end_ts - start_ts) AS duration_ms,
@@ -624,7 +624,7 @@ def _ledger(spark, d):
 
 @query("ingest_files", "SELECT path, byte_offset, mtime_ms, updated_at FROM l WHERE path ILIKE '%/1%' ORDER BY updated_at DESC, path LIMIT 50", {"l": _LATEST})
 def _(spark, d):
-    return upkeep.ingest_files(_ledger(spark, d), search="/1")
+    return upkeep.ingest_files(_ledger(spark, d), search="/1", part=Page())
 
 
 @query("ingest_summary", "SELECT count(*) AS total_files, max(updated_at) AS last_updated_at FROM l", {"l": _LATEST})

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
 }
+# Checkpoint files go when nothing refers to them; read when the session's context starts.
+CLEANING = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -30,7 +32,7 @@ def new_session(app: str = "sessionmeter", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {**SETTINGS, "spark.cleaner.referenceTracking.cleanCheckpoints": "true", **conf}
+    settings = {**SETTINGS, **CLEANING, **conf}
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -9,13 +9,15 @@ from ..functions.staging import staged
 from ..functions.text import strip
 from ..functions.variants import parse_json
 
-RAW_LIMIT = 500  # characters of a bad line kept for the report
 
+def parse_jsonl(lines: DataFrame, raw_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(good, rejects)``. Blank lines keep their number and yield nothing.
 
-def parse_jsonl(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(good, rejects)``. Blank lines keep their number and yield nothing."""
+    A reject keeps its whole line, so that it can be replayed, unless ``raw_limit`` cuts it.
+    """
+    raw = F.col("value") if raw_limit is None else F.substring("value", 1, raw_limit)
     filled = lines.withColumn("text", strip(F.col("value"))).filter(F.col("text") != "")
     parsed = staged(filled, doc=parse_json(F.col("text"))).drop("text")
     rejects = parsed.filter(F.col("doc").isNull()).select(
-        "file", "line", F.lit("Invalid JSON").alias("error"), F.substring("value", 1, RAW_LIMIT).alias("raw"))
+        "file", "line", F.lit("Invalid JSON").alias("error"), raw.alias("raw"))
     return parsed.filter(F.col("doc").isNotNull()).drop("value"), rejects

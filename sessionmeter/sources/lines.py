@@ -8,9 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# A split table row is well below 1 kB; up to this many rows it may be broadcast.
-BROADCAST_BLOCKS = 100_000
-
 
 def discover(spark: SparkSession, roots: list[str], glob: str) -> DataFrame:
     """Files below the roots by name pattern: ``path, size, mtime_ms``. Contents are not read."""
@@ -88,8 +85,6 @@ def read_lines(spark: SparkSession, paths: list[str], glob: str | None = None, w
                         F.col("kept").alias("line_count"), "mtime_ms")
 
     places = blocks.select("uri", "block", "path", "first_id", "base", "kept", "taken")
-    if len(raw.inputFiles()) + raw.rdd.getNumPartitions() <= BROADCAST_BLOCKS:
-        places = F.broadcast(places)
     line = F.col("base") + F.col("row_id") - F.col("first_id") + 1
     lines = (raw.join(places, ["uri", "block"]).withColumn("line", line)
              .filter(F.col("line") <= F.col("kept"))

@@ -9,13 +9,14 @@ _ENTRY = "map<string, struct<input_cost_per_token: double, output_cost_per_token
 
 
 def price_table(spark: SparkSession, path: str) -> DataFrame:
-    """Rows ``model, input_price, output_price, cache_price``; entries without both main prices drop out.
+    """Rows ``model, input_price, output_price, cache_price``, one per entry.
 
-    A cache price that is missing is later taken from the input price.
+    Entries without both main prices (an image model's, say) stay: they end the search for a
+    price without finding one. A price that is null counts as missing. A missing cache price is
+    later taken from the input price.
     """
     text = spark.read.text(path, wholetext=True)
     entries = text.select(F.explode(F.from_json("value", _ENTRY)).alias("model", "p"))
     return entries.select("model", F.col("p.input_cost_per_token").alias("input_price"),
                           F.col("p.output_cost_per_token").alias("output_price"),
-                          F.col("p.cache_read_input_token_cost").alias("cache_price")).filter(
-        F.col("input_price").isNotNull() & F.col("output_price").isNotNull())
+                          F.col("p.cache_read_input_token_cost").alias("cache_price"))

@@ -46,10 +46,15 @@ class Tables:
         done = [n for n in marked if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(name)}/{n}/_SUCCESS"))]
         return sorted(int(n.split("=")[1]) for n in done)
 
-    def read(self, name: str, rng: DateRange | None = None) -> DataFrame:
-        """A table, empty if it was never written. With a range, only its days are opened."""
+    def read(self, name: str, rng: DateRange | None = None, keep_day: bool = False) -> DataFrame:
+        """A table, empty if it was never written. With a range, only its days are opened.
+
+        With ``keep_day`` fact tables have their partition column ``day``; a report's own range
+        then opens the days it needs (``DateRange.filter``).
+        """
         if self._folder(name)[1] is None:
-            return empty(self.spark, name)
+            rows = empty(self.spark, name)
+            return rows.withColumn("day", F.lit(None).cast("string")) if keep_day and name in DAY_OF else rows
         if name not in DAY_OF:
             versions = self._versions(name)
             path = f"{self._path(name)}/version={versions[-1]}" if versions else self._path(name)
@@ -61,7 +66,7 @@ class Tables:
             if rng.end is not None:
                 df = df.filter(F.col("day") <= day_text(F.lit(rng.end)))
             df = rng.filter(df, DAY_OF[name])
-        return df.drop("day")
+        return df if keep_day else df.drop("day")
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Add rows. Days are spread over files evenly, a day with very many rows over several."""

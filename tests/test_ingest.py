@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sessionmeter import DateRange
 from sessionmeter.ingest import IngestOptions, LogSources, backfill, ingest
 from sessionmeter.operators import correlation as co
+from sessionmeter.operators.pricing import with_price
+from sessionmeter.plans.overview import overview_daily
 from sessionmeter.sources.prices import price_table
 from sessionmeter.sources.tables import Tables
 from sessionmeter.streaming.correlation import correlate_stream
@@ -135,4 +137,26 @@ def test_price_file(spark, tmp_path):
                                 "half": {"input_cost_per_token": 1}, "n": {"input_cost_per_token": 1, "output_cost_per_token": 2,
                                                                             "cache_read_input_token_cost": 0.5}}))
     rows = {r.model: (r.input_price, r.output_price, r.cache_price) for r in price_table(spark, str(path)).collect()}
-    assert rows == {"m": (1e-6, 2e-6, None), "n": (1.0, 2.0, 0.5)}
+    assert rows == {"m": (1e-6, 2e-6, None), "half": (1.0, None, None), "n": (1.0, 2.0, 0.5)}
+
+
+def test_an_entry_without_prices_ends_the_search(spark):
+    price = spark.createDataFrame([("m", None, None, None), ("openai/m", 1.0, 2.0, None), ("openai/n", 3.0, 4.0, None)],
+                                  "model string, input_price double, output_price double, cache_price double")
+    used = spark.createDataFrame([("m",), ("n",), (None,), ("unknown",)], "model string")
+    rows = {r.model: (r.input_price, r.cache_price) for r in with_price(used, price).collect()}
+    assert rows == {"m": (None, None), "n": (3.0, 3.0), None: (None, None), "unknown": (None, None)}
+
+
+def test_priced_reports_read_the_facts_once_and_only_their_days(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    day = 86_400_000
+    calls = spark.range(10).select((F.col("id") * day).alias("ts"), F.lit("m").alias("model"), F.concat(F.lit("c"), "id").alias("id"))
+    tables.append("model_call", calls)
+    price = spark.createDataFrame([("m", 1.0, 2.0, None)], "model string, input_price double, output_price double, cache_price double")
+    rng = DateRange(2 * day, 4 * day - 1)
+    out = overview_daily(tables.read("session", keep_day=True), tables.read("model_call", keep_day=True), price, rng)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    scans = plan.split("FileScan parquet")[1:]  # only the calls are stored here
+    assert len(scans) == 1 and "day" in scans[0].split("PartitionFilters: [")[1].split("]")[0]
+    assert sum(r["model_calls"] for r in out.collect()) == 2

@@ -45,7 +45,7 @@ def test_last_days():
 
 
 def test_pages():
-    assert (Page(0).limit, Page(9999).limit, Page(10, -4).offset) == (50, 500, 0)
+    assert (Page(0).limit, Page(9999).limit, Page(10, -4).offset) == (50, 9999, 0)
     assert Page.number(3, 20) == Page(20, 40)
 
 
