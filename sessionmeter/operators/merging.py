@@ -51,13 +51,15 @@ def _reject(df: DataFrame, reason: str) -> DataFrame:
 def with_project(session: DataFrame, remotes: DataFrame | None = None) -> DataFrame:
     """Add project and ref: one project per remote, else per workspace folder, else per path.
 
-    ``remotes`` maps a folder to its normalised remote; finding remotes on disk is up to the caller.
+    ``remotes`` maps a folder to its normalised remote (of several, the first in order counts);
+    finding remotes on disk is up to the caller.
     """
     base = session.drop("project_id", "project_ref_id", "git_remote", "project_name")
     if remotes is None:
         base = base.withColumn("git_remote", F.lit(None).cast("string"))
     else:
-        base = base.join(remotes.select("cwd", "git_remote"), "cwd", "left")
+        one = first_per_key(remotes.select("cwd", "git_remote"), ["cwd"], [F.col("git_remote").asc_nulls_last()])
+        base = base.join(one, "cwd", "left")
     cwd, remote = F.col("cwd"), F.col("git_remote")
     base = base.withColumn("project_name", project_name(cwd, remote))
     project = (F.when(remote.isNotNull(), payload_hash({"git_remote": remote}, 16))

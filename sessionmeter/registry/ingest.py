@@ -1,4 +1,4 @@
-"""Queries over logs: lines are written from the sample tables, then read back as records."""
+"""Queries over logs: lines are made from the sample tables in memory and extracted as records."""
 
 from __future__ import annotations
 
