@@ -76,9 +76,14 @@ def may_store(level: Column, component: Column, message: Column) -> Column:
     return ~secret & safe
 
 
-def signature(tool: Column, command: Column) -> Column:
-    """Tool and command with blanks collapsed and cut at 200 characters."""
-    short = F.substring(strip(F.regexp_replace(F.coalesce(command, F.lit("")), r"\s+", " ")), 1, 200)
+def signature(tool: Column, command: Column, length: int | None = 200) -> Column:
+    """Tool and command with blanks collapsed; of the command ``length`` characters, all if None.
+
+    200 is what signatures in existing logs have; commands that begin alike that far share one.
+    """
+    short = strip(F.regexp_replace(F.coalesce(command, F.lit("")), r"\s+", " "))
+    if length is not None:
+        short = F.substring(short, 1, length)
     return F.when(tool.isNull(), short).when(short == "", tool).otherwise(F.concat(tool, F.lit("|"), short))
 
 

@@ -75,8 +75,12 @@ def _opens_json(text: Column) -> Column:
     return text.startswith("{") | text.startswith("[")
 
 
-def tool_log_records(lines: DataFrame, tz: str = "UTC") -> DataFrame:
-    """Records ``file, line, ts, mark, text, tool_name, args`` from ``file, line, value``."""
+def tool_log_records(lines: DataFrame, tz: str = "UTC", max_lines: int = MAX_LINES) -> DataFrame:
+    """Records ``file, line, ts, mark, text, tool_name, args`` from ``file, line, value``.
+
+    Arguments that go on below their record are read over ``max_lines`` lines at most (a timed
+    line ends them earlier); logs with longer ones need a larger number.
+    """
     clean = staged(lines.select("file", "line", "value"), text=strip_escapes(F.col("value"))).drop("value")
     text = F.col("text")
     mark = (F.when(text.rlike(TOOL_MARK), "tool").when(text.rlike(FUNCTION_MARK), "function")
@@ -94,7 +98,7 @@ def tool_log_records(lines: DataFrame, tz: str = "UTC") -> DataFrame:
 
     # Records are few among the lines, those that go on fewer; both are used more than once.
     starts = checkpointed(starts)
-    longer = checkpointed(_continued(starts.filter("open_ended"), clean.filter(~text.rlike(TIMED_LINE))))
+    longer = checkpointed(_continued(starts.filter("open_ended"), clean.filter(~text.rlike(TIMED_LINE)), max_lines))
     starts = starts.join(longer.select("file", "line", "long_args", "consumed"), ["file", "line"], "left")
     starts = starts.join(_consumed_lines(longer.filter("consumed > 0").select("file", "line", "consumed")),
                          ["file", "line"], "left_anti")
@@ -102,9 +106,9 @@ def tool_log_records(lines: DataFrame, tz: str = "UTC") -> DataFrame:
     return starts.select("file", "line", "ts", "mark", "text", "tool_name", F.nullif(args, F.lit("")).alias("args"))
 
 
-def _continued(starts: DataFrame, more: DataFrame) -> DataFrame:
+def _continued(starts: DataFrame, more: DataFrame, max_lines: int) -> DataFrame:
     """Arguments of records that go on: the shortest run of lines that completes the JSON."""
-    wanted = starts.select("file", "line", "rest", "given", F.explode(F.sequence(F.lit(1), F.lit(MAX_LINES))).alias("i"))
+    wanted = starts.select("file", "line", "rest", "given", F.explode(F.sequence(F.lit(1), F.lit(max_lines))).alias("i"))
     found = (wanted.withColumn("at", F.col("line") + F.col("i"))
              .join(more.select("file", F.col("line").alias("at"), F.col("text").alias("next_text")), ["file", "at"], "left")
              .groupBy("file", "line").agg(
@@ -117,8 +121,8 @@ def _continued(starts: DataFrame, more: DataFrame) -> DataFrame:
     found = staged(found, moved=(F.col("rest") == "") & _opens_json(next_line), next_line=next_line)
     used = F.col("moved").cast("int")
     found = staged(found, base=F.when(F.col("moved"), _without_parentheses(F.col("next_line"))).otherwise(F.col("given")),
-                   tail=F.slice("run", used + 1, F.lit(MAX_LINES)), used=used)
-    most = F.least(F.size("tail"), F.lit(MAX_LINES) - F.col("used"))
+                   tail=F.slice("run", used + 1, F.lit(max_lines)), used=used)
+    most = F.least(F.size("tail"), F.lit(max_lines) - F.col("used"))
     joined = lambda k: F.concat_ws("\n", F.array("base"), F.slice("tail", F.lit(1), k))
     enough = F.get(F.filter(F.sequence(F.lit(0), most), lambda k: is_json(joined(k))), F.lit(0))
     found = staged(found, k=F.when(_opens_json(F.col("base")), F.coalesce(enough, most)).otherwise(F.lit(0)))

@@ -132,3 +132,11 @@ def test_cut_logs_pair_like_whole_ones(spark, piece_ms):
     for name, events in logs.items():
         got = sorted([(r.s_line, r.e_line) for r in pairs if r.file == name], key=str)
         assert got == plain_pairs(events, co.WINDOW_MS, co.REPEAT_MS)
+
+
+def test_arguments_of_many_lines(spark):
+    body = ['{"command": "x",', *[f' "k{i}": {i},' for i in range(40)], ' "z": 1}']
+    rows = ["2025-03-02 08:00:00.000 [info] FunctionCall: edit_file", *body, "2025-03-02 08:01:00.000 [info] ToolCall: other {}"]
+    lines = spark.createDataFrame([("f", i + 1, v) for i, v in enumerate(rows)], "file string, line bigint, value string")
+    found = {r.line: r.args for r in tool_log_records(lines, max_lines=60).collect()}
+    assert found[1] == "\n".join(body) and found[len(rows)] == "{}"
