@@ -42,7 +42,7 @@ NODES, BRANCHES, STEPS = 20_000, 3, 400
 #: Pieces of one length that one task ranks.
 BLOCK = 50_000
 #: Words, and parts of words, whose ids a worker remembers in one generation, about.
-MEMORY = 400_000
+WORDS, PARTS = 100_000, 200_000
 
 
 @dataclass
@@ -211,7 +211,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words, self.parts = Remembered(MEMORY), Remembered(MEMORY)
+        self.words, self.parts = Remembered(WORDS), Remembered(PARTS)
 
     def _encode(self, part: bytes) -> bytes:
         """A part that is one word for the tokenizer goes straight to its model, in the letters that stand for bytes."""

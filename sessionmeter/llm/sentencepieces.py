@@ -30,7 +30,7 @@ from .common import Remembered, as_bytes, slices
 
 BLANK = "▁"
 #: Parts of texts that a worker remembers in one generation, and pairs of pieces, about.
-MEMORY, PAIRS = 250_000, 300_000
+MEMORY, PAIRS = 150_000, 200_000
 
 
 class Pieces:
