@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from .common import Remembered, as_bytes, slices, stored
 
 CAPACITY = 2048
-#: Effort of the search: nodes in all, completions tried at a node, steps to enumerate them.
-NODES, BRANCHES, STEPS = 20_000, 3, 400
+#: Effort of the search: nodes in all, completions tried at a node.
+NODES, BRANCHES = 20_000, 3
 #: Pieces of one length that one task ranks.
 BLOCK = 50_000
 #: Words, and parts of words, whose ids a worker remembers in one generation, about.
@@ -67,42 +67,100 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def completions(largest: int, counts: dict[int, int], lengths: list[int], capacity: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill up behind the largest piece, least waste first.
+def best_fit(counts: dict[int, int], capacity: int) -> list[Filling]:
+    """Best-fit decreasing on the histogram: a piece goes where the least room holds it.
 
-    ``lengths`` ascends. Enumerated depth first from large to small, at most STEPS nodes; the
-    first is best fit decreasing, and the search ends at a full sequence.
+    A sequence with the least room keeps it while more pieces of the length fit, so it takes
+    ``room // length`` copies at once, and sequences filled alike are one entry.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-    stack: list[tuple[int, tuple[int, ...]]] = [(capacity - largest, ())]
-    while stack and steps < STEPS:
-        room, chosen = stack.pop()
-        steps += 1
-        limit = min(room, chosen[-1] if chosen else largest)
-        i = bisect_right(lengths, limit) - 1
+    held: dict[int, list[Filling]] = {}
+    for n in sorted(counts, reverse=True):
+        left = counts[n]
+        made: list[tuple[int, Filling]] = []
+        for room in [*sorted(r for r in held if r >= n), capacity]:
+            if not left:
+                break
+            fit = room // n
+            groups = held.pop(room) if room < capacity else [Filling([], left)]  # the last: sequences opened now
+            while groups and left:
+                group = groups.pop()
+                full = min(group.times, left // fit)
+                part = left - full * fit if full < group.times else 0
+                for copies, times in ((fit, full), (part, 1)):
+                    if copies and times:
+                        made.append((room - copies * n, Filling([*group.parts, (n, copies)], times)))
+                rest = group.times - full - (part > 0)
+                left -= full * fit + part
+                if rest and group.parts:
+                    groups.append(Filling(group.parts, rest))
+            if groups:
+                held[room] = groups
+        for room, group in made:
+            held.setdefault(room, []).append(group)
+    return [group for room in sorted(held) for group in held[room]]
+
+
+def _filled(room: int, limit: int, chosen: dict[int, int], counts: dict[int, int], lengths: list[int]) -> tuple[int, dict[int, int]]:
+    """Room left and parts after taking, from ``limit`` down, as many copies of each length as fit."""
+    chosen = dict(chosen)
+    i = bisect_right(lengths, min(room, limit)) - 1
+    while i >= 0 and room:
+        n = lengths[i]
+        copies = min(counts[n] - chosen.get(n, 0), room // n)
+        if copies > 0:
+            chosen[n] = chosen.get(n, 0) + copies
+            room -= copies * n
+        i = min(i, bisect_right(lengths, room)) - 1
+    return room, chosen
+
+
+def _dominates(a: dict[int, int], b: dict[int, int]) -> bool:
+    """As many parts, each at least as long as its counterpart; the keys of both descend."""
+    if sum(a.values()) != sum(b.values()):
+        return False
+    more, less = list(a.items()), list(b.items())
+    i = j = at = past = 0
+    while i < len(more):
+        if more[i][0] < less[j][0]:
+            return False
+        step = min(more[i][1] - at, less[j][1] - past)
+        at, past = at + step, past + step
+        if at == more[i][1]:
+            i, at = i + 1, 0
+        if past == less[j][1]:
+            j, past = j + 1, 0
+    return True
+
+
+def completions(counts: dict[int, int], lengths: list[int], capacity: int) -> list[dict[int, int]]:
+    """Undominated fillings (copies by length, descending) with the largest piece, least waste first.
+
+    ``lengths`` ascends. Enumerated depth first from large to small; the first is the largest
+    that fits, and the search ends at a full sequence. Behind the third part each way is filled
+    up in one step, so every one of them is complete whatever the number of pieces.
+    """
+    largest = lengths[-1]
+    found: list[tuple[int, dict[int, int]]] = []
+    stack: list[tuple[int, int, int, dict[int, int]]] = [(capacity - largest, largest, 0, {largest: 1})]
+    while stack:
+        room, limit, depth, chosen = stack.pop()
+        i = bisect_right(lengths, min(room, limit)) - 1
         nexts = []
-        while i >= 0 and len(nexts) < (BRANCHES if len(chosen) < 3 else 1):
-            n = lengths[i]
-            used = chosen.count(n) + (n == largest)
-            if counts[n] > used:
-                nexts.append(n)
+        while depth < 3 and i >= 0 and len(nexts) < BRANCHES:
+            if counts[lengths[i]] > chosen.get(lengths[i], 0):
+                nexts.append(lengths[i])
             i -= 1
-        if not nexts:
-            found.append((room, chosen))
-            if room == 0:
+        # An exact fit dominates every other way to use this room.
+        if not nexts or nexts[0] == room:
+            found.append(_filled(room, limit, chosen, counts, lengths))
+            if found[-1][0] == 0:
                 break
             continue
-        # An exact fit dominates every other way to use this room.
-        if nexts[0] == room:
-            found.append((0, (*chosen, room)))
-            break
         for n in reversed(nexts):
-            stack.append((room - n, (*chosen, n)))
-    unique = dict.fromkeys(sorted(found, key=lambda f: (f[0], [-n for n in f[1]])))
-    kept: list[tuple[int, ...]] = []
-    for _, chosen in unique:
-        if not any(len(k) == len(chosen) and all(a >= b for a, b in zip(k, chosen, strict=True)) for k in kept):
+            stack.append((room - n, n, depth + 1, chosen | {n: chosen.get(n, 0) + 1}))
+    kept: list[dict[int, int]] = []
+    for _, chosen in sorted(found, key=lambda f: (f[0], [(-n, -c) for n, c in f[1].items()])):
+        if not any(_dominates(k, chosen) for k in kept):
             kept.append(chosen)
     return kept
 
@@ -117,8 +175,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
     counts = {n: c for n, c in counts.items() if c}
     bound = lower_bound(counts, capacity)
     nodes = 0
-    best: list[Filling] | None = None
-    best_size = float("inf")
+    best = best_fit(counts, capacity)
+    best_size = sum(f.times for f in best)
+    if best_size <= bound:
+        return best
     slack = capacity * bound - sum(n * c for n, c in counts.items())
     # A frame: its choices left to try, and the filling that led to it (to be undone).
     lengths = sorted(counts)
@@ -126,14 +186,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
     size = waste = 0
 
     def choices():
-        largest = lengths[-1]
-        found = []
-        for chosen in completions(largest, counts, lengths, capacity)[:BRANCHES]:
-            parts: dict[int, int] = {}
-            for n in (largest, *chosen):
-                parts[n] = parts.get(n, 0) + 1
-            found.append(parts)
-        return iter(found)
+        return iter(completions(counts, lengths, capacity)[:BRANCHES])
 
     def apply(parts: dict[int, int], times: int) -> None:
         nonlocal size, waste
@@ -151,9 +204,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
     while stack:
         parts = next(stack[-1], None)
         nodes += 1
-        if parts is None or nodes > NODES and best is not None:
-            if nodes > NODES and best is not None:
-                break
+        if nodes > NODES:
+            break
+        if parts is None:
             stack.pop()
             if used:
                 last = used.pop()
@@ -176,7 +229,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
             used.pop()
             continue
         stack.append(choices())
-    return best or []
+    return best
 
 
 #: Parts of an ASCII text between white space as the tokenizer cuts them, after lower-casing.

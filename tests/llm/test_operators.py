@@ -345,6 +345,46 @@ def test_bin_completion_is_optimal_on_small_cases(lengths):
     assert sum(f.times for f in fillings) == (least_bins(sorted(lengths, reverse=True), 20) if lengths else 0)
 
 
+@pytest.mark.parametrize("counts", [
+    {1: 3000}, {1: 100_000}, {1000: 100, 1: 5000}, {1025: 500, 1: 1_000_000, 700: 333}, dict.fromkeys(range(1, 400), 1_000_000)])
+def test_packing_of_very_many_short_pieces(counts):
+    fillings = packing.plan(dict(counts))
+    used = Counter()
+    for f in fillings:
+        assert f.times > 0 and sum(n * c for n, c in f.parts) <= 2048
+        for n, c in f.parts:
+            used[n] += c * f.times
+    assert used == counts
+    assert sum(f.times for f in fillings) == packing.lower_bound(counts, 2048)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=60))
+def test_best_fit_decreasing_by_piece(lengths):
+    rooms: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fits = [k for k, room in enumerate(rooms) if room >= n]
+        if fits:
+            rooms[min(fits, key=rooms.__getitem__)] -= n
+        else:
+            rooms.append(30 - n)
+    fillings = packing.best_fit(dict(Counter(lengths)), 30)
+    assert sorted(30 - sum(n * c for n, c in f.parts) for f in fillings for _ in range(f.times)) == sorted(rooms)
+
+
+def test_packing_of_thousands_of_empty_texts(spark):
+    rows = [(i, None if i % 2 else "") for i in range(5000)] + [(5000 + i, "x " * 999) for i in range(100)]
+    found = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), WORD_MODEL).collect()
+    assert Counter(r.doc_id for r in found) == Counter(d for d, _ in rows)
+    by: dict[int, list] = {}
+    for r in found:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        ends = [offset + length for offset, length in sorted(places)]
+        assert [offset for offset, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert len(by) == packing.lower_bound(Counter(r.length for r in found), 2048)
+
+
 def test_packing_ranks_in_blocks(docs, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 2)
     ranks: dict[int, list[int]] = {}
