@@ -11,8 +11,8 @@ from further rotations until a pair at the threshold meets in one with a probabi
 ``RECALL`` (bits differing independently with chance angle / pi).
 
 A pair that meets in several tables counts in the first one, which its two codes tell, so pairs
-are neither emitted nor deduplicated: each bucket yields a link count and one forest link per
-vector. Equal vectors are joined first and weigh as many as they are. Buckets over ``BLOCK``
+are neither emitted nor deduplicated: each bucket yields a link count per vector and a spanning
+forest of its links. Equal vectors are joined first and weigh as many as they are. Buckets over ``BLOCK``
 rows are cut in blocks, and every pair of blocks is a task of its own: nothing is capped.
 
 Null, empty and zero vectors, those with null or non-finite components, and those without a
@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
+from .simhash import _forest
 
 THRESHOLD = 0.93
 RECALL = 0.99
@@ -117,8 +118,8 @@ def fit(valid: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     return Codes(rotations, bits, tables)
 
 
-def _compare(left, right, codes: Codes, threshold: float, same: bool) -> tuple[list[np.ndarray], ...]:
-    """Links between two blocks: counts per row of each, and the least linked id of each."""
+def _compare(left, right, threshold: float, same: bool) -> tuple[np.ndarray, ...]:
+    """Links within a block or between two: ids, links per row, and the least id connected to it by these links."""
     unit_l, code_l, weight_l, id_l, table = left
     unit_r, code_r, weight_r, id_r, _ = right
     linked = unit_l @ unit_r.T >= threshold
@@ -129,18 +130,22 @@ def _compare(left, right, codes: Codes, threshold: float, same: bool) -> tuple[l
     a, b = a[~earlier], b[~earlier]
     count = np.zeros(len(id_l), np.int64)
     np.add.at(count, a, weight_r[b])
-    least = id_l.copy()
-    np.minimum.at(least, a, id_r[b])
+    ids = id_l
     if same:
-        return count, least
-    back, low = np.zeros(len(id_r), np.int64), id_r.copy()
-    np.add.at(back, b, weight_l[a])
-    np.minimum.at(low, b, id_l[a])
-    return count, least, back, low
+        a, b = a[a < b], b[a < b]
+    else:
+        back = np.zeros(len(id_r), np.int64)
+        np.add.at(back, b, weight_l[a])
+        ids, count, b = np.r_[id_l, id_r], np.r_[count, back], b + len(id_l)
+    # A link of every row to the least one connected with it is a spanning forest: no link found here is lost.
+    order = np.argsort(ids)
+    at = np.empty_like(order)
+    at[order] = np.arange(len(order))
+    return ids, count, ids[order[_forest(len(ids), at[a], at[b])[at]]]
 
 
 def _links(distinct: DataFrame, codes: Codes, threshold: float) -> DataFrame:
-    """rep, n (copies linked to it through a bucket), least (smallest rep it links to there)."""
+    """rep, n (copies linked to it through a bucket), least (smallest rep connected with it there)."""
     size = len(codes.rotations[0])
     shared = distinct.sparkSession.sparkContext.broadcast(codes)
 
@@ -176,13 +181,8 @@ def _links(distinct: DataFrame, codes: Codes, threshold: float) -> DataFrame:
             position = at[2]
             pick = lambda chosen: (unit[chosen], code[chosen], weight[chosen], rep[chosen], position)
             low, high = at[4], at[5]
-            if low == high:
-                count, least = _compare(pick(slice(None)), pick(slice(None)), shared.value, threshold, True)
-                ids = rep
-            else:
-                one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
-                count, least, back, under = _compare(pick(one), pick(two), shared.value, threshold, False)
-                ids, count, least = np.r_[rep[one], rep[two]], np.r_[count, back], np.r_[least, under]
+            one, two = (np.flatnonzero(block == k) for k in (low, high))
+            ids, count, least = _compare(pick(one), pick(two), threshold, low == high)
             there = count > 0
             return pa.RecordBatch.from_arrays([pa.array(ids[there]), pa.array(count[there]), pa.array(least[there])],
                                               names=["rep", "n", "least"])

@@ -256,6 +256,34 @@ def test_embeddings_hot_buckets_in_blocks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in found} == {(99, 0)}
 
 
+@pytest.mark.parametrize("block", [2048, 2])
+def test_embedding_chains_with_the_largest_id_in_the_middle(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    angles = [[0, 40, 20]] + [np.random.default_rng(k).permutation(np.arange(0, 12 * 20, 20)).tolist() for k in range(3)]
+    rows = [(100 * k + i, [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))], k) for k, ds in enumerate(angles) for i, d in enumerate(ds)]
+    label = plain_components(rows, lambda a, b: a is not b and a[2] == b[2] and np.dot(a[1], b[1]) >= 0.93)
+    links = [sum(a is not b and a[2] == b[2] and np.dot(a[1], b[1]) >= 0.93 for b in rows) for a in rows]
+    found = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), recall=1 - 1e-9).collect()}
+    assert found == {r[0]: (n, rows[c][0], rows[c][0] == r[0]) for r, n, c in zip(rows, links, label, strict=True)}
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_a_bucket_hands_on_all_that_is_connected(same):
+    angles = np.radians(np.random.default_rng(4).permutation(np.arange(0, 300, 12)))
+    unit, ids = np.stack([np.cos(angles), np.sin(angles)], 1), np.random.default_rng(5).permutation(len(angles)) + 10
+    rows = (unit, np.zeros((len(ids), 1), np.int64), np.ones(len(ids), np.int64), ids, 0)
+    half = lambda k: tuple(x[k::2] if isinstance(x, np.ndarray) else x for x in rows)
+    one, two = (rows, rows) if same else (half(0), half(1))
+    got, count, least = embeddings._compare(one, two, 0.93, same)
+    places = {n: np.flatnonzero(ids == n)[0] for n in got}
+    side = dict.fromkeys(got, 0) if same else {n: k for k, x in enumerate((one, two)) for n in x[3]}
+    linked = lambda x, y: x != y and (same or side[x] != side[y]) and unit[places[x]] @ unit[places[y]] >= 0.93
+    label = plain_components(list(got), linked)
+    assert count.tolist() == [sum(linked(x, y) for y in got) for x in got]
+    assert least.tolist() == [min(n for n, k in zip(got, label, strict=True) if k == c) for c in label]
+
+
 def test_rotation_is_orthogonal_and_balanced():
     sample = np.random.default_rng(1).standard_normal((2000, 16))
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
