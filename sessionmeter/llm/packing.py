@@ -7,11 +7,14 @@ their places by their rank within their length, which Spark computes in blocks.
 
 Bin completion: the largest remaining length opens a sequence, its undominated completions are
 enumerated (a completion is dominated if swapping one of its parts for a larger remaining one
-still fits), and each choice is used as often as the counts allow. Branch and bound goes
+still fits), and each choice is used several times at once. Branch and bound goes
 through the choices depth first, best fit first; a branch ends when the waste so far already
 needs as many sequences as the best plan known (the incumbent, at first best-fit decreasing).
-The search stops at the lower bound ceil(tokens / capacity) and its variants, or after ``NODES``
-nodes, when the incumbent, a complete plan, is used.
+The first round tries ``BRANCHES`` completions at a node, each as often as the counts allow; every
+further round twice as many, and one more halving of how often. The search stops at the lower
+bound ceil(tokens / capacity) and its variants, or after ``NODES`` nodes of all rounds, when the
+incumbent, a complete plan, is used. Behind the third part of a completion only the largest that
+fits is tried, so the end of all rounds proves nothing by itself.
 
 Null and empty texts become the end token alone. Repeated rows are packed each; a null doc_id is
 packed like any other; an empty table gives an empty one. Longer documents are cut into pieces
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Remembered, as_bytes, slices, stored
 
 CAPACITY = 2048
-#: Effort of the search: nodes in all, completions tried at a node.
+#: Effort of the search: nodes in all, completions tried at a node in the first round.
 NODES, BRANCHES = 20_000, 3
 #: Pieces of one length that one task ranks.
 BLOCK = 50_000
@@ -132,12 +135,13 @@ def _dominates(a: dict[int, int], b: dict[int, int]) -> bool:
     return True
 
 
-def completions(counts: dict[int, int], lengths: list[int], capacity: int) -> list[dict[int, int]]:
+def completions(counts: dict[int, int], lengths: list[int], capacity: int, width: int) -> tuple[list[dict[int, int]], int]:
     """Undominated fillings (copies by length, descending) with the largest piece, least waste first.
 
     ``lengths`` ascends. Enumerated depth first from large to small; the first is the largest
-    that fits, and the search ends at a full sequence. Behind the third part each way is filled
-    up in one step, so every one of them is complete whatever the number of pieces.
+    that fits, and the search ends at a full sequence. Each of the first three parts is one of
+    the ``width`` largest that fit; behind them each way is filled up in one step, so every one
+    is complete whatever the number of pieces. Also returned: the number of ways tried.
     """
     largest = lengths[-1]
     found: list[tuple[int, dict[int, int]]] = []
@@ -146,7 +150,7 @@ def completions(counts: dict[int, int], lengths: list[int], capacity: int) -> li
         room, limit, depth, chosen = stack.pop()
         i = bisect_right(lengths, min(room, limit)) - 1
         nexts = []
-        while depth < 3 and i >= 0 and len(nexts) < BRANCHES:
+        while depth < 3 and i >= 0 and len(nexts) < width:
             if counts[lengths[i]] > chosen.get(lengths[i], 0):
                 nexts.append(lengths[i])
             i -= 1
@@ -162,7 +166,7 @@ def completions(counts: dict[int, int], lengths: list[int], capacity: int) -> li
     for _, chosen in sorted(found, key=lambda f: (f[0], [(-n, -c) for n, c in f[1].items()])):
         if not any(_dominates(k, chosen) for k in kept):
             kept.append(chosen)
-    return kept
+    return kept, len(found)
 
 
 def _take(counts: dict[int, int], parts: dict[int, int]) -> int:
@@ -180,13 +184,18 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
     if best_size <= bound:
         return best
     slack = capacity * bound - sum(n * c for n, c in counts.items())
+    width, halvings = BRANCHES, 0
     # A frame: its choices left to try, and the filling that led to it (to be undone).
     lengths = sorted(counts)
     used: list[Filling] = []
     size = waste = 0
 
     def choices():
-        return iter(completions(counts, lengths, capacity)[:BRANCHES])
+        nonlocal nodes
+        found, ways = completions(counts, lengths, capacity, width)
+        nodes += (ways - 1) // BRANCHES ** 3  # wider enumerations are charged as the nodes they take the time of
+        return iter([(parts, times) for parts in found[:width] for times in sorted(
+            {max(1, _take(counts, parts) >> k) for k in range(halvings + 1)}, reverse=True)])
 
     def apply(parts: dict[int, int], times: int) -> None:
         nonlocal size, waste
@@ -200,36 +209,39 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
         size += times
         waste += times * (capacity - sum(n * c for n, c in parts.items()))
 
-    stack = [choices()] if lengths else []
-    while stack:
-        parts = next(stack[-1], None)
-        nodes += 1
-        if nodes > NODES:
-            break
-        if parts is None:
-            stack.pop()
-            if used:
-                last = used.pop()
-                apply(dict(last.parts), -last.times)
-            continue
-        times = _take(counts, parts)
-        apply(parts, times)
-        used.append(Filling(sorted(parts.items(), reverse=True), times))
-        # Waste beyond what the volume bound leaves costs whole sequences.
-        if bound + max(0, -(-(waste - slack) // capacity)) >= best_size:
-            apply(parts, -times)
-            used.pop()
-            continue
-        if not lengths:
-            if size < best_size:
-                best, best_size = list(used), size
-            if best_size <= bound:
-                break
-            apply(parts, -times)
-            used.pop()
-            continue
-        stack.append(choices())
-    return best
+    # Nothing is left to undo when a round ends, so the next one, twice as wide, starts afresh.
+    while True:
+        stack = [choices()]
+        while stack:
+            parts, times = next(stack[-1], (None, 0))
+            nodes += 1
+            if nodes > NODES:
+                return best
+            if parts is None:
+                stack.pop()
+                if used:
+                    last = used.pop()
+                    apply(dict(last.parts), -last.times)
+                continue
+            apply(parts, times)
+            used.append(Filling(sorted(parts.items(), reverse=True), times))
+            # Waste beyond what the volume bound leaves costs whole sequences.
+            if bound + max(0, -(-(waste - slack) // capacity)) >= best_size:
+                apply(parts, -times)
+                used.pop()
+                continue
+            if not lengths:
+                if size < best_size:
+                    best, best_size = list(used), size
+                if best_size <= bound:
+                    return best
+                apply(parts, -times)
+                used.pop()
+                continue
+            stack.append(choices())
+        if width >= len(lengths) and max(counts.values()) >> halvings <= 1:
+            return best
+        width, halvings = 2 * width, halvings + 1
 
 
 #: Parts of an ASCII text between white space as the tokenizer cuts them, after lower-casing.

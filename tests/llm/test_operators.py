@@ -386,6 +386,17 @@ def test_packing_of_very_many_short_pieces(counts):
     assert sum(f.times for f in fillings) == packing.lower_bound(counts, 2048)
 
 
+def test_packing_widens_the_search_until_the_bound():
+    counts = {33: 1, 57: 2, 16: 1, 20: 2, 15: 1, 39: 2, 32: 2, 44: 2, 38: 1, 55: 1, 45: 2, 36: 1, 22: 1, 37: 1, 24: 1, 41: 1}
+    fillings = packing.plan(dict(counts), 100)
+    used = Counter()
+    for f in fillings:
+        assert sum(n * c for n, c in f.parts) <= 100
+        for n, c in f.parts:
+            used[n] += c * f.times
+    assert used == counts and sum(f.times for f in fillings) == packing.lower_bound(counts, 100) == 8
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 30), max_size=60))
 def test_best_fit_decreasing_by_piece(lengths):
