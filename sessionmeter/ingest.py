@@ -93,6 +93,11 @@ def _new(rejects: DataFrame, lines: DataFrame) -> DataFrame:
     return rejects.join(lines.filter("is_new").select("file", "line"), ["file", "line"], "left_semi")
 
 
+#: What tells rows of the tool log apart: the key has 64 bits, so what it is made of is compared too.
+TOOL_LOG_KEYS = {"tool_call": ("dedup_key", "source_file", "source_line", "start_ts"),
+                 "tool_call_event": ("dedup_key", "source_file", "source_line", "event_type", "ts")}
+
+
 def ingest_tool_log(tables: Tables, path: str, now_ms: int, options: IngestOptions = IngestOptions()) -> tuple[DataFrame, int]:
     """Read a tool log from its start; what is stored already is dropped by its keys."""
     lines, files = tool_log_lines(tables.spark, path)
@@ -101,7 +106,7 @@ def ingest_tool_log(tables: Tables, path: str, now_ms: int, options: IngestOptio
     calls, events = checkpointed(correlation.tool_calls(pairs)), checkpointed(correlation.tool_call_events(pairs))
     _finish_calls(tables, calls)
     for name, rows in (("tool_call", calls), ("tool_call_event", events)):
-        tables.append(name, merging.append_new(_near(tables, name, rows), rows, ("dedup_key",), order))
+        tables.append(name, merging.append_new(_near(tables, name, rows), rows, (TOOL_LOG_KEYS[name],), order))
     return next_ledger(files, now_ms), pairs.count()
 
 
@@ -110,14 +115,14 @@ def _finish_calls(tables: Tables, calls: DataFrame) -> None:
 
     Only the days of such calls are written anew.
     """
-    stored = _near(tables, "tool_call", calls)
-    waiting = stored.filter(F.col("end_ts").isNull()).select("dedup_key")
-    ended = checkpointed(calls.filter(F.col("end_ts").isNotNull()).join(waiting, "dedup_key", "left_semi"))
+    stored, key = _near(tables, "tool_call", calls), list(TOOL_LOG_KEYS["tool_call"])
+    waiting = stored.filter(F.col("end_ts").isNull()).select(*key)
+    ended = checkpointed(calls.filter(F.col("end_ts").isNotNull()).join(waiting, key, "left_semi"))
     if ended.isEmpty():
         return
     low, high = ended.agg(F.min("start_ts"), F.max("start_ts")).first()
     days = DateRange(low // DAY_MS * DAY_MS, high // DAY_MS * DAY_MS + DAY_MS - 1)
-    rest = tables.read("tool_call", days).join(ended, "dedup_key", "left_anti")
+    rest = tables.read("tool_call", days).join(ended, key, "left_anti")
     tables.rewrite("tool_call", checkpointed(rest.unionByName(ended)))
 
 

@@ -11,15 +11,16 @@ from ..schemas import CASCADE, SET_NULL
 from .ordered import first_per_key
 
 
-def append_new(target: DataFrame, batch: DataFrame, keys: tuple[str, ...] = ("dedup_key",),
+def append_new(target: DataFrame, batch: DataFrame, keys: tuple[str | tuple[str, ...], ...] = ("dedup_key",),
                order: list[Column] | None = None) -> DataFrame:
     """Rows of a batch whose keys are new, the first of each; to be appended to the target.
 
-    With several keys a row must be new in every one of them.
+    With several keys a row must be new in every one of them; a key may be several columns, none null.
     """
     order = order or [F.col("source_file"), F.col("source_line")]
     for key in keys:
-        batch = first_per_key(batch, [key], order).join(target.select(key), key, "left_anti")
+        names = [key] if isinstance(key, str) else list(key)
+        batch = first_per_key(batch, names, order).join(target.select(*names), names, "left_anti")
     return batch
 
 

@@ -88,6 +88,20 @@ def test_ingest_then_nothing_new_then_growth(world):
     assert tables.read("model_call").agg(F.sum("total_tokens")).first()[0] == 24
 
 
+def test_tool_calls_with_equal_short_hashes_are_kept_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(co, "_hash16", lambda *parts: F.lit("0" * 16))
+    tables, log = Tables(spark, str(tmp_path / "tables")), tmp_path / "tool.log"
+    log.write_text(TOOL_LOG + '2025-03-02 08:00:01.000 [info] FunctionCall: run {"cmd":"ls"}\n')
+    ingest(tables, LogSources(tool_log=str(log)), 1_746_200_000_000)
+    assert counts(tables, "tool_call", "tool_call_event") == {"tool_call": 2, "tool_call_event": 3}
+    with open(log, "a") as out:
+        out.write('2025-03-02 08:00:02.000 [info] ToolCall: run {"status":"failed","cmd":"ls"}\n')
+    ingest(tables, LogSources(tool_log=str(log)), 1_746_200_000_001)
+    assert sorted((r.command, r.status, r.duration_ms) for r in tables.read("tool_call").collect()) == [
+        ("ls", "failed", 1000), ("pwd", "ok", 200)]
+    assert tables.read("tool_call_event").count() == 4
+
+
 def test_read_range_and_backfill(spark, world):
     tables = world["tables"]
     ingest(tables, LogSources(sessions=str(world["logs"])), 5)
