@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, fingerprints, languages, licenses, packing, pii, sentencepieces, simhash, substrings, urls
+from . import (
+    embeddings, fingerprints, languages, licenses, packing, periodicruns, pii, sentencepieces, simhash, substrings,
+    tokencounts, turnrepair, urls,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -138,3 +141,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_embeddings")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_turn_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turnrepair.digest(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodicruns.digest(table(spark, sf_dir, "documents"))
