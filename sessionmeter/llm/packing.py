@@ -23,29 +23,24 @@ of ``capacity``; nothing is dropped.
 
 from __future__ import annotations
 
-import re
-import struct
-import unicodedata
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, as_bytes, slices, stored
+from .common import as_bytes, slices, stored
+from .wordtokens import word_tokenizer
 
 CAPACITY = 2048
 #: Effort of the search: nodes in all, completions tried at a node in the first round.
 NODES, BRANCHES = 20_000, 3
 #: Pieces of one length that one task ranks.
 BLOCK = 50_000
-#: Words, and parts of words, whose ids a worker remembers in one generation, about.
-WORDS, PARTS = 100_000, 200_000
 
 
 @dataclass
@@ -244,70 +239,6 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Filling]:
         width, halvings = 2 * width, halvings + 1
 
 
-#: Parts of an ASCII text between white space as the tokenizer cuts them, after lower-casing.
-ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-#: Signs at the end of a word; none of them begins a part with a letter in it.
-TAIL = re.compile(rb"(.+?)([.,;:!?)\]%*&#$|]+)", re.S)
-
-
-def word_parts(word: bytes) -> list[bytes]:
-    """Cut a run without white space where the tokenizer cuts it in any case."""
-    if word.isascii():
-        return ASCII_PARTS.findall(word.lower())
-    found = TAIL.fullmatch(word)
-    last = found[1].decode()[-1].lower() if found else ""
-    return list(found.groups()) if len(last) == 1 and last.isalpha() else [word]
-
-#: Byte-level vocabularies write printable Latin-1 bytes as themselves, the others as letters from U+0100 on.
-_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_LETTERS = {b: chr(b) for b in _PRINTABLE} | {
-    b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
-
-
-class WordTokenizer:
-    """Token ids (little-endian unsigned 32 bits) of texts with a tokenizer that drops white space.
-
-    Such a tokenizer never looks across white space, nor from letters into signs, so each part
-    is encoded once and remembered by the worker, up to a limit.
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words, self.parts = Remembered(WORDS), Remembered(PARTS)
-
-    def _encode(self, part: bytes) -> bytes:
-        """A part that is one word for the tokenizer goes straight to its model, in the letters that stand for bytes."""
-        if part.isascii() and part.isalnum():
-            found = [t.id for t in self.tokenizer.model.tokenize(part.decode())]
-        else:
-            text = part.decode()
-            low = text.lower()
-            if text.isalpha() and len(low) == len(text) and "Σ" not in text and unicodedata.is_normalized("NFC", text):
-                found = [t.id for t in self.tokenizer.model.tokenize("".join(map(BYTE_LETTERS.__getitem__, low.encode())))]
-            else:
-                found = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(found)}I", *found)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        fresh = self.words.missing(set().union(*words))
-        cut = [word_parts(w) for w in fresh]
-        parts = self.parts.missing(set().union(*cut))
-        self.parts.young.update(zip(parts, map(self._encode, parts), strict=True))
-        ids = self.parts.young.__getitem__
-        self.words.young.update((w, b"".join(map(ids, ps))) for w, ps in zip(fresh, cut, strict=True))
-        known = self.words.young.__getitem__
-        return [b"".join(map(known, ws)) for ws in words]
-
-
-@lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
 END = b"\0\0\0\0"
 
 

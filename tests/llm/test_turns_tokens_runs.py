@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -15,10 +16,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sessionmeter.llm import mergetables, periodicruns, queries, tokencounts, turnrepair
+from sessionmeter.llm import mergetables, periodicruns, queries, tokencounts, turnrepair, wordtokens
 
 from .test_operators import TEXTS, docs, nothing, prose, sha  # noqa: F401  fixtures
 
+WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
 TURNS = "conv_id long, turn long, role string, text string, code int, cost string, pass int"
 
@@ -250,3 +252,35 @@ def test_all_runs_are_found(pieces):
 
 def test_registered():
     assert {"op11_turn_repair", "op12_token_counts", "op13_periodic_runs"} <= set(queries.QUERIES)
+
+
+# --- word tokens of op7 ---
+
+@pytest.fixture(scope="module")
+def word_library():
+    return Tokenizer.from_file(WORD_MODEL)
+
+
+def _word_ids(texts):
+    return [np.frombuffer(x, "<u4").tolist() for x in wordtokens.WordTokenizer(WORD_MODEL).encode([t.encode() for t in texts])]
+
+
+def test_word_ids_with_special_tokens(word_library):
+    texts = ["<|endoftext|>", "a<|startoftext|>b", "!<|endoftext|>!", "x <|endoftext|> y", "<|endoftext|><|startoftext|>", "<|ENDOFTEXT|>",
+             "<|endof", "é<|endoftext|>", "", "'", "'l", "'ll", "it's'sx", "''s", "'reading", "ΑΣ", "é", "\0", "\0\0", "꟎ x",
+             "averyveryveryverylongword", "averyveryveryverylongworD averyveryveryverylongwore", "a" * 30_000]
+    assert _word_ids(texts) == [word_library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_word_ids_of_random_strings(word_library):
+    rng = random.Random(8)
+    alphabet = [*"etaoin srh  ETS\n\t\r\x0b\x0c\x1c\x85\xa0　.,'_-=0123456789éÉßẞ日🙂\x00İΣσ's", "<|endoftext|>", "<|startoftext|>", "<|", "'ll", "'RE", "é"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(25))) for _ in range(20_000)]
+    found = [ids for i in range(0, len(texts), 4000) for ids in _word_ids(texts[i:i + 4000])]
+    assert found == [word_library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_alike_mixed_keys_are_told_apart(monkeypatch, word_library):
+    monkeypatch.setattr(wordtokens, "_FACTORS", np.zeros(2, np.uint64))  # every key mixes to its size
+    texts = ["one two six ten", "red tan"]
+    assert _word_ids(texts) == [word_library.encode(t, add_special_tokens=False).ids for t in texts]
