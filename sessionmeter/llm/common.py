@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  used as pa.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a text table are handed to Python functions in slices of about this many bytes.
 SLICE_BYTES = 1 << 20
@@ -39,6 +40,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HELD = "held_columns"
+
+
+def packed(docs: DataFrame, *read: str) -> DataFrame:
+    """Only the columns an operator reads, and all others in one struct, so that no name clashes with what it adds."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in read]
+    return docs.select(*read, F.struct(*rest, F.lit(0).alias("_")).alias(HELD))
+
+
+def unpacked(done: DataFrame, docs: DataFrame, *read: str, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` back in order from what ``packed`` made of it, some of them computed anew."""
+    return done.select(*[(changed[c] if c in changed else F.col(c) if c in read else F.col(HELD)[c]).alias(c) for c in docs.columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

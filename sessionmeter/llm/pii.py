@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.staging import staged
+from .common import packed, unpacked
 
 #: Running sums work in blocks, so that a text with m matches costs about m * sqrt(m).
 BLOCK = 128
@@ -150,7 +151,7 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     Of overlapping spans the one that starts first counts, then the longer; what the other
     has beyond it is masked too.
     """
-    marked = find_pii(docs, kinds)
+    marked = find_pii(packed(docs, "text"), kinds)
     marked = staged(marked, pii=F.col("pii"))
     spans = F.array_sort(F.transform("pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("till"), s["kind"].alias("kind"))))
     mask = F.create_map(*[x for k in kinds for x in (F.lit(k.name), F.lit(k.mask))])
@@ -165,7 +166,7 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
                 F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
                 mask[s["kind"]]))).alias("parts")),
         lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, acc["at"] + 1)))
-    return marked.withColumn("text", F.when(F.size("pii") > 0, state).otherwise(text)).drop("pii")
+    return unpacked(marked, docs, "text", text=F.when(F.size("pii") > 0, state).otherwise(text))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -15,8 +15,9 @@ the words they spell), an anchor, and source coordinates.
 
 The result is exact up to 128-bit hashes. Null and empty texts and those shorter than a window
 repeat nothing. Equal rows repeat nothing of each other if they share their doc_id; rows of
-one doc_id with different texts are kept apart by a hash of the text. Rows without a doc_id
-are last in order. An empty table gives an empty one; other columns pass through.
+one doc_id with different texts are kept apart by the MD5 digest of the text. Rows without a doc_id
+are last in order. An empty table gives an empty one; other columns pass through, but for those
+named like the columns added (n_words, n_removed, kept), which are replaced.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from .common import slices, stored
 K = 12
 #: A piece has at most window - K + 1 windows; start and number travel in one long.
 PACK = 256
+#: What tells rows apart: doc_id, and two halves of a digest of the text.
+KEY = ("doc", "r1", "r2")
 #: Stands for a missing doc_id, after all others.
 LAST = (1 << 63) - 1
 
@@ -114,14 +117,14 @@ def _pieces_of(docs: DataFrame, window: int) -> DataFrame:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             found = [pieces(t.split() if t else [], window) for t in texts]
             each = np.array([len(f[0]) for f in found], np.int64)
-            doc, row = (np.repeat(batch.column(c).to_numpy(), each) for c in ("doc", "row"))
+            doc, r1, r2 = (np.repeat(batch.column(c).to_numpy(), each) for c in KEY)
             anchor, s1, s2, first, count = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(row), _longs(anchor), _longs(s1), _longs(s2), pa.array(first * PACK + count)],
-                names=["doc", "row", "anchor", "s1", "s2", "span"])
+                [pa.array(doc), pa.array(r1), pa.array(r2), _longs(anchor), _longs(s1), _longs(s2), pa.array(first * PACK + count)],
+                names=[*KEY, "anchor", "s1", "s2", "span"])
 
-    return docs.select("doc", "row", "text").mapInArrow(
-        work, "doc long, row int, anchor long, s1 long, s2 long, span long")
+    return docs.select(*KEY, "text").mapInArrow(
+        work, "doc long, r1 long, r2 long, anchor long, s1 long, s2 long, span long")
 
 
 def _windows_of(pending: DataFrame, window: int) -> DataFrame:
@@ -129,23 +132,21 @@ def _windows_of(pending: DataFrame, window: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            docs, rows, at, w1, w2 = [], [], [], [], []
-            for doc, row, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "row")),
-                                             batch.column("text").cast(pa.binary()).to_pylist(),
-                                             batch.column("spans").to_pylist(), strict=True):
+            at, w1, w2 = [], [], []
+            for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 places = np.concatenate([np.arange(s // PACK, s // PACK + s % PACK) for s in spans])
                 hashes = Spans(text.split())
-                docs.append(np.full(len(places), doc))
-                rows.append(np.full(len(places), row, np.int32))
                 at.append(places)
                 w1.append(hashes.name(places, window, 0))
                 w2.append(hashes.name(places, window, 1))
-            if docs:
-                docs, rows, at, w1, w2 = map(np.concatenate, (docs, rows, at, w1, w2))
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(rows), pa.array(at), _longs(w1), _longs(w2)],
-                                                 names=["doc", "row", "at", "w1", "w2"])
+            if at:
+                each = np.array([len(p) for p in at], np.int64)
+                keys = [pa.array(np.repeat(batch.column(c).to_numpy(), each)) for c in KEY]
+                at, w1, w2 = map(np.concatenate, (at, w1, w2))
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(at), _longs(w1), _longs(w2)], names=[*KEY, "at", "w1", "w2"])
 
-    return pending.select("doc", "row", "text", "spans").mapInArrow(work, "doc long, row int, at long, w1 long, w2 long")
+    return pending.select(*KEY, "text", "spans").mapInArrow(
+        work, "doc long, r1 long, r2 long, at long, w1 long, w2 long")
 
 
 NAME = ["s1", "s2"]
@@ -153,16 +154,16 @@ NAME = ["s1", "s2"]
 
 def _paths(seen: DataFrame) -> DataFrame:
     """Compact repeated pieces to nonbranching paths: name, path (two longs), words before it in the path."""
-    order = Window.partitionBy("doc", "row").orderBy("start")
+    order = Window.partitionBy(*KEY).orderBy("start")
     name = F.struct("s1", "s2")
     near = seen.select(
-        "doc", "row", "start", "count", "s1", "s2",
+        *KEY, "start", "count", "s1", "s2",
         F.when(F.lead("start").over(order) == F.col("start") + F.col("count"), F.lead(name).over(order)).alias("after"),
         F.when(F.lag("start").over(order) + F.lag("count").over(order) == F.col("start"), F.lag(name).over(order)).alias("before"))
     only = lambda c: F.when((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.min(c))
     edges = near.groupBy("s1", "s2").agg(
         only("after").alias("after"), only("before").alias("before"),
-        F.min(F.struct("doc", "row", "start", "count")).alias("source"))
+        F.min(F.struct(*KEY, "start", "count")).alias("source"))
     # A piece continues a path if its predecessor is the only one and has no other successor,
     # and if the first source of both has them one after the other.
     back = edges.select(F.col("after").alias("after_of"), F.struct("s1", "s2").alias("before"),
@@ -170,10 +171,11 @@ def _paths(seen: DataFrame) -> DataFrame:
     joined = edges.join(back, "before", "left").withColumn(
         "goes_on", F.coalesce((F.col("after_of") == F.struct("s1", "s2"))
                               & (F.col("source_before.doc") == F.col("source.doc"))
-                              & (F.col("source_before.row") == F.col("source.row"))
+                              & (F.col("source_before.r1") == F.col("source.r1"))
+                              & (F.col("source_before.r2") == F.col("source.r2"))
                               & (F.col("source_before.start") + F.col("source_before.count") == F.col("source.start")),
                               F.lit(False)))
-    source = Window.partitionBy("source.doc", "source.row").orderBy("source.start")
+    source = Window.partitionBy("source.doc", "source.r1", "source.r2").orderBy("source.start")
     begin = F.last(F.when(~F.col("goes_on"), F.struct(F.col("source.start").alias("start"), "s1", "s2")), ignorenulls=True).over(
         source.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return joined.select("s1", "s2", F.col("source.start").alias("origin"), begin.alias("begin")).select(
@@ -181,14 +183,17 @@ def _paths(seen: DataFrame) -> DataFrame:
         (F.col("origin") - F.col("begin.start")).alias("offset"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "row": F.hash("text")})
+def _keyed(docs: DataFrame, *others) -> DataFrame:
+    """The key and the text, beside other columns given."""
+    half = lambda k: F.coalesce(F.conv(F.substring(F.md5("text"), k, 16), 16, -10).cast("long"), F.lit(0))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), half(1).alias("r1"), half(17).alias("r2"),
+                       "text", *others)
 
 
 def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     """Maximal known runs of windows that a smaller document holds too.
 
-    doc, row (key of the text), start (word), count (windows; they cover count + window - 1
+    doc, r1, r2 (key of the text), start (word), count (windows; they cover count + window - 1
     words), first_doc (least document with the words), path (name of the compacted path; null
     for windows at branching places).
     """
@@ -203,41 +208,40 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
         "anchor", *NAME, "first_doc", (F.col("first_doc") < F.col("last_doc")).alias("repeated"),
         (F.col("names") > 1).alias("branching")))
     seen = stored(found.join(told, ["anchor", *NAME]).select(
-        "doc", "row", *NAME, F.floor(F.col("span") / PACK).alias("start"), (F.col("span") % PACK).alias("count"),
+        *KEY, *NAME, F.floor(F.col("span") / PACK).alias("start"), (F.col("span") % PACK).alias("count"),
         "first_doc", "repeated", "branching"))
     # Rows that repeat as a whole have the same pieces; one of each counts.
-    copies = seen.filter("repeated").repartition("doc", "row").dropDuplicates(["doc", "row", "start"])
+    copies = seen.filter("repeated").repartition(*KEY).dropDuplicates([*KEY, "start"])
     placed = copies.join(_paths(copies), NAME).select("*", (F.col("start") - F.col("offset")).alias("path_start"))
     # All pieces of one appearance of a path share path_start; together they cover it without a gap.
     path_spans = (placed.filter("first_doc < doc")
-                  .groupBy("doc", "row", "p1", "p2", "path_start").agg(
+                  .groupBy(*KEY, "p1", "p2", "path_start").agg(
                       F.min("start").alias("start"), F.max(F.col("start") + F.col("count")).alias("end"),
                       F.sum("count").alias("total"), F.min("first_doc").alias("first_doc"),
                       F.collect_list(F.struct("start", "count")).alias("parts"))
                   # Coordinates that do not add up keep their pieces apart.
-                  .select("doc", "row", F.explode(F.when(F.col("end") - F.col("start") == F.col("total"), F.array(F.struct(
+                  .select(*KEY, F.explode(F.when(F.col("end") - F.col("start") == F.col("total"), F.array(F.struct(
                       "start", F.col("total").alias("count")))).otherwise(F.col("parts"))).alias("part"), "first_doc", "p1", "p2")
-                  .select("doc", "row", "part.start", "part.count", "first_doc",
+                  .select(*KEY, "part.start", "part.count", "first_doc",
                           F.concat(F.hex("p1"), F.hex("p2")).alias("path")))
-    pending = (seen.filter("branching and first_doc = doc").groupBy("doc", "row")
+    pending = (seen.filter("branching and first_doc = doc").groupBy(*KEY)
                .agg(F.collect_set(F.col("start") * PACK + F.col("count")).alias("spans")))
-    windows = stored(_windows_of(keyed.select("doc", "row", "text").join(pending, ["doc", "row"]), window))
+    windows = stored(_windows_of(keyed.select(*KEY, "text").join(pending, [*KEY]), window))
     first = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc")).filter(
         "first_doc < last_doc").drop("last_doc")
     single = windows.join(first, ["w1", "w2"]).filter("first_doc < doc").select(
-        "doc", "row", F.col("at").alias("start"), F.lit(1).cast("long").alias("count"), "first_doc", F.lit(None).cast("string").alias("path"))
+        *KEY, F.col("at").alias("start"), F.lit(1).cast("long").alias("count"), "first_doc", F.lit(None).cast("string").alias("path"))
     return path_spans.unionByName(single)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """Adds n_words, n_removed and kept: the words no span of ``repeated_spans`` covers, joined by spaces."""
-    spans = repeated_spans(docs, window).groupBy("doc", "row").agg(
+    spans = repeated_spans(docs, window).groupBy(*KEY).agg(
         F.collect_list(F.col("start") * F.lit(1 << 32) + F.col("count")).alias("spans"))
-    keyed = _keyed(docs)
     extra = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
-    held = "held" + "_" * max([0, *(len(f.name) for f in extra)])  # clashes with no column
-    packed = keyed.select("doc", "row", "doc_id", "text", F.struct(*[F.col(f"`{f.name}`") for f in extra], F.lit(0)).alias(held))
-    joined = packed.join(spans, ["doc", "row"], "left").select("doc_id", "text", held, "spans")
+    held = "held"  # all other columns, so that none clashes with those used here
+    packed = _keyed(docs, "doc_id", F.struct(*[F.col(f"`{f.name}`") for f in extra], F.lit(0)).alias(held))
+    joined = packed.join(spans, list(KEY), "left").select("doc_id", "text", held, "spans")
     schema = joined.drop("spans").schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,7 @@ import sentencepiece
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sessionmeter.llm import (
@@ -539,3 +540,32 @@ def test_queries_with_sql(spark):
         df = queries.QUERIES[name](spark, sf_dir)
         assert sorted(df.columns) == sorted(columns)
         assert Counter(tuple(r) for r in df.select(*columns).collect()) == Counter(result.fetchall())
+
+
+def test_texts_with_equal_32_bit_hashes_stay_apart(spark):
+    """Rows that share their doc_id (or lack one) and the hash of their text, of different lengths."""
+    many = spark.range(300_000).select(F.concat(F.lit(prose(50, 60) + " "), F.when(F.col("id") % 2 == 0, F.lit(prose(51, 60) + " ")).otherwise(""),
+                                                F.col("id").cast("string")).alias("text"), (F.col("id") % 2).alias("kind"))
+    alike = many.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("texts")).filter("size(texts) > 1").limit(3).collect()
+    assert alike
+    for ids in [(1, None, None), (1, 2, 2)]:
+        for found in alike:
+            rows = list(zip(ids, [prose(50, 60) + " " + prose(51, 60), *found.texts[:2]], strict=True))
+            got = substrings.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+            want = plain_repeats(rows)
+            assert Counter(tuple(r) for r in got) == want
+
+
+def plain_repeats(rows):
+    words = [t.split() for _, t in rows]
+    rank = [(d is None, d or 0) for d, _ in rows]
+    first: dict[tuple, tuple] = {}
+    for w, k in zip(words, rank, strict=True):
+        for i in range(len(w) - 49):
+            key = tuple(w[i:i + 50])
+            first[key] = min(first.get(key, k), k)
+    out = Counter()
+    for (d, _), w, k in zip(rows, words, rank, strict=True):
+        gone = {j for i in range(len(w) - 49) if first[tuple(w[i:i + 50])] < k for j in range(i, i + 50)}
+        out[(d, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))] += 1
+    return out

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -19,6 +20,8 @@ from sessionmeter.llm.common import stored
 from .test_operators import SHARED, plain_components, plain_simhash, plain_spans, prose
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Further columns, named like those the operators add or use inside.
+CLASHING = ["row", "doc", "r1", "r2", "kept", "n_words", "n_removed", "score", "lang_pred", "pii", "held", "held_columns", "spans", "text_key", "fingerprint"]
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +52,18 @@ def test_columns_stay(steps):
         assert out.columns == COLUMNS, name
 
 
+def test_clashing_columns_stay(spark, steps):
+    """Every stage hands on columns whose names its operator uses, with the same values, and gives the same texts."""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, _, out = steps[0][name]
+        wide = docs.filter("doc_id % 3 <> 1 or doc_id > 1000").withColumns({c: F.concat_ws("/", F.lit(c), F.xxhash64("source", F.col("doc_id")).cast("string")) for c in CLASHING})
+        got = stage(spark, stored(wide), steps[1])
+        assert got.columns == [*COLUMNS, *CLASHING], name
+        wrong = got.filter(" or ".join(f"`{c}` is distinct from concat_ws('/', '{c}', cast(xxhash64(source, doc_id) as string))" for c in CLASHING))
+        assert wrong.count() == 0 and got.count() > 0, name
+    assert stage(spark, wide, steps[1]).count() >= got.count()
+
+
 def test_language_stage(steps):
     docs, rows, out = steps[0]["language"]
     model = languages.train(docs.filter(~languages.held_out(docs["doc_id"])))
@@ -123,4 +138,4 @@ def test_run_is_the_stages(spark, steps):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{n}" for n in range(1, 11)}
+    assert "pipeline" in names and {n.split("_")[0] for n in names if re.match(r"op\d+_", n)} == {f"op{n}" for n in range(1, 14)}
