@@ -2,7 +2,7 @@
 
 Every stage takes and returns the columns of documents; the last returns packed pieces. Null
 and empty texts fall at the first stage (no language); repeated rows, ties and columns beyond
-those of documents are treated as the operators' docstrings say; empty tables stay empty.
+those of documents pass through unchanged, whatever their names; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionmeter.llm import languages, packing, pii, simhash, substrings
-from sessionmeter.llm.common import stored
+from sessionmeter.llm.common import HELD, packed, stored, unpacked
 from sessionmeter.llm.queries import tokenizer_file
 
 #: Posterior probability below which no language is taken as recognised.
@@ -20,11 +20,10 @@ LEAST_SCORE = 0.5
 
 def recognise_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without letters or without a clear language go; ``lang`` becomes the language found."""
-    columns = docs.columns
     model = languages.train(docs.filter(~languages.held_out(F.col("doc_id"))))
-    judged = languages.predict(docs, model)
-    return judged.filter((F.col("lang_pred") != languages.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).withColumn(
-        "lang", F.col("lang_pred")).select(*columns)
+    judged = languages.predict(packed(docs, "text"), model)
+    clear = judged.filter((F.col("lang_pred") != languages.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return unpacked(clear, docs, "text", lang=F.col("lang_pred"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +33,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go; a text without any stays as written, one left without words goes."""
-    columns = docs.columns
-    cut = substrings.remove_repeats(docs)
-    return cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).withColumns({
-        "text": F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")),
-        "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")),
-    }).select(*columns)
+    cut = substrings.remove_repeats(packed(docs, "doc_id", "text"))
+    left = cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    shorter = F.col("n_removed") > 0
+    return unpacked(left, docs, "doc_id", "text", text=F.when(shorter, F.col("kept")).otherwise(F.col("text")),
+                    n_chars=F.when(shorter, F.length("kept").cast("long")).otherwise(F.col(HELD)["n_chars"]))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
