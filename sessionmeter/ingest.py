@@ -14,8 +14,9 @@ from .ranges import DateRange
 from .runtime import checkpointed
 from .sources.jsonl import parse_jsonl
 from .sources.ledger import latest_ledger, next_ledger
-from .sources.lines import changed_paths, desktop_lines, discover, read_lines, tool_log_lines
+from .sources.lines import discover, tool_log_lines
 from .sources.tables import DAY_OF, Tables
+from .sources.tail import changed_files, read_new
 
 
 @dataclass(frozen=True)
@@ -62,16 +63,30 @@ def _store(tables: Tables, name: str, batch: DataFrame, order: list[Column]) ->
     return rejects
 
 
-def ingest_sessions(tables: Tables, paths: list[str], now_ms: int, options: IngestOptions = IngestOptions(),
-                    remotes: DataFrame | None = None, ledger: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """Read session files; returns the ledger rows and the number of lines taken."""
-    lines, files = read_lines(tables.spark, paths, ledger=ledger)
+def _context_before(tables: Tables, changed: DataFrame) -> DataFrame:
+    """Session and models in force where reading goes on, for files that are not read from their start.
+
+    What a run left that broke off before its ledger lies behind that place and does not count.
+    """
+    places = changed.filter("from_line > 0").select("path", "begun_at", "from_line")
+    left = tables.read("carried_context").join(places, ["path", "begun_at"]).filter("line <= from_line")
+    return left.groupBy(F.col("path").alias("file"), "session_id").agg(
+        F.max("line").alias("line"), F.max_by("value", "line").alias("value"))
+
+
+def ingest_sessions(tables: Tables, changed: DataFrame, now_ms: int, options: IngestOptions = IngestOptions(),
+                    remotes: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Read what is new in session files (``tail.changed_files``); returns the ledger rows and the number of lines taken."""
+    lines, files = read_new(changed, now_ms)
     good, bad = parse_jsonl(lines)
     typed = checkpointed(records.typed_lines(good, options.keep_content))
-    context = records.with_context(typed).filter("is_new")
+    context = checkpointed(records.with_context(typed, _context_before(tables, changed)))
+    begun = files.select(F.col("path").alias("file"), "begun_at")
+    tables.append("carried_context", records.context_left(context).join(begun, "file").withColumnRenamed("file", "path"))
+    context = context.filter("is_new")
     # Rows arrive by time of their file, then by line.
     updates = checkpointed(next_ledger(files, now_ms))
-    file_times = updates.select(F.col("path").alias("source_file"), "mtime_ms")
+    file_times = changed.select(F.col("path").alias("source_file"), "mtime_ms")
     arrived = lambda rows: checkpointed(rows.join(file_times, "source_file"))
     arrival = F.struct("mtime_ms", "source_file", "source_line")
     order = [arrival]
@@ -126,10 +141,9 @@ def _finish_calls(tables: Tables, calls: DataFrame) -> None:
     tables.rewrite("tool_call", checkpointed(rest.unionByName(ended)))
 
 
-def ingest_desktop_logs(tables: Tables, paths: list[str], glob: str, now_ms: int,
-                        options: IngestOptions = IngestOptions(), ledger: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """Read desktop logs: stored records, worktree events and automation events."""
-    lines, files = desktop_lines(tables.spark, paths, glob, ledger=ledger)
+def ingest_desktop_logs(tables: Tables, changed: DataFrame, now_ms: int, options: IngestOptions = IngestOptions()) -> tuple[DataFrame, int]:
+    """Read what is new in desktop logs: stored records, worktree events and automation events."""
+    lines, files = read_new(changed, now_ms, whole_lines_only=True)
     found, bad = desktoplog.desktop_records(lines)
     safe = checkpointed(desktoplog.safe_records(found, now_ms, options.home))
     batches = (("desktop_log_event", safe.drop("said"), [F.col("file_path"), F.col("line_number")]),
@@ -159,17 +173,16 @@ def ingest(tables: Tables, sources: LogSources, now_ms: int, options: IngestOpti
         updates.append(checkpointed(result[0]))
         taken += result[1]
 
-    if sources.sessions:
-        paths = changed_paths(discover(spark, [sources.sessions], "*.jsonl"), seen)
-        if paths:
-            done(ingest_sessions(tables, paths, now_ms, options, sources.remotes, seen))
-    if sources.tool_log:
-        if changed_paths(discover(spark, [sources.tool_log], "*"), seen):
-            done(ingest_tool_log(tables, sources.tool_log, now_ms, options))
-    if sources.desktop_logs:
-        paths = changed_paths(discover(spark, list(sources.desktop_logs), sources.desktop_glob), seen)
-        if paths:
-            done(ingest_desktop_logs(tables, paths, sources.desktop_glob, now_ms, options, seen))
+    def changes(roots: list[str], glob: str) -> DataFrame | None:
+        found = checkpointed(changed_files(discover(spark, roots, glob), seen))
+        return None if found.isEmpty() else found
+
+    if sources.sessions and (changed := changes([sources.sessions], "*.jsonl")):
+        done(ingest_sessions(tables, changed, now_ms, options, sources.remotes))
+    if sources.tool_log and changes([sources.tool_log], "*"):
+        done(ingest_tool_log(tables, sources.tool_log, now_ms, options))
+    if sources.desktop_logs and (changed := changes(list(sources.desktop_logs), sources.desktop_glob)):
+        done(ingest_desktop_logs(tables, changed, now_ms, options))
     if sources.inventory is not None:
         tables.append("worktree_event", checkpointed(
             desktoplog.archived_events(tables.read("worktree_event"), sources.inventory, now_ms)))

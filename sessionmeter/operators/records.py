@@ -74,9 +74,21 @@ def typed_lines(good: DataFrame, keep_content: bool = False) -> DataFrame:
             ["is_new"] if "is_new" in good.columns else []))
 
 
-def with_context(typed: DataFrame) -> DataFrame:
+def _sets_session() -> Column:
+    return (F.when(F.col("kind") == "session_meta", F.coalesce("own_session", "meta_key"))
+            .when(F.col("kind") == "turn_context", F.col("own_session")))
+
+
+def _context_key() -> Column:
+    return F.when(F.col("kind") == "turn_context", F.coalesce("own_session", "running_session")).otherwise(F.col("running_session"))
+
+
+def with_context(typed: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Add the session in force before a line and that session's model.
 
+    ``earlier`` is what :func:`context_left` said of the lines before those given: ``file, line, session_id,
+    value``, a session in force (null session_id) or a session's model.
+
     Session and context lines set the session for the lines after them. A context line sets
     the model of the session it names, or of the session in force. Give a materialised frame:
     it is read once for the lines and again for the few columns that decide the context.
@@ -84,18 +96,33 @@ def with_context(typed: DataFrame) -> DataFrame:
     kind = F.col("kind")
     lines = typed.withColumn("meta_key", F.when(kind == "session_meta", dedup_key(F.col("file"), F.col("line"), {
         "sessionId": F.col("own_session"), **{n: F.col("meta")[n] for n in META}})))
-    sets = (F.when(kind == "session_meta", F.coalesce("own_session", "meta_key"))
-            .when(kind == "turn_context", F.col("own_session")))
-    narrow = staged(lines.filter(kind.isNotNull()), sets_session=sets, sets_model=F.col("turn.model")).select(
+    narrow = staged(lines.filter(kind.isNotNull()), sets_session=_sets_session(), sets_model=F.col("turn.model")).select(
         "file", "line", "kind", "own_session", "sets_session", "sets_model")
-    narrow = carry_forward(narrow, ["file"], "line", "sets_session", "running_session")
-    key = F.when(kind == "turn_context", F.coalesce("own_session", "running_session")).otherwise(F.col("running_session"))
-    narrow = carry_forward(narrow.withColumn("context_key", key), ["file", "context_key"], "line", "sets_model",
-                           "running_model")
+    if earlier is not None:
+        narrow = narrow.unionByName(earlier.filter("session_id is null").select(
+            "file", "line", F.col("value").alias("sets_session")), allowMissingColumns=True)
+    narrow = carry_forward(narrow, ["file"], "line", "sets_session", "running_session").withColumn("context_key", _context_key())
+    if earlier is not None:
+        narrow = narrow.unionByName(earlier.filter("session_id is not null").select(
+            "file", "line", F.col("session_id").alias("context_key"), F.col("value").alias("sets_model")), allowMissingColumns=True)
+    narrow = carry_forward(narrow, ["file", "context_key"], "line", "sets_model", "running_model").filter("kind is not null")
     return lines.join(narrow.select("file", "line", "running_session", "running_model"), ["file", "line"]).withColumn(
         "session_id", F.coalesce("own_session", "running_session"))
 
 
+def context_left(context: DataFrame) -> DataFrame:
+    """What the lines given leave in force behind them: ``file, line, session_id, value``.
+
+    One row per file with the last session (session_id null), one per file and session with its last model;
+    ``line`` is the line that said so.
+    """
+    said = context.select("file", "line", _sets_session().alias("session"), _context_key().alias("of"), F.col("turn.model").alias("model"))
+    each = said.select("file", "line", F.inline(F.array(
+        F.struct(F.lit(None).cast("string").alias("session_id"), F.col("session").alias("value")),
+        F.struct(F.col("of").alias("session_id"), F.when(F.col("of").isNotNull(), F.col("model")).alias("value"))))).filter("value is not null")
+    return each.groupBy("file", "session_id").agg(F.max("line").alias("line"), F.max_by("value", "line").alias("value"))
+
+
 META = ("ts", "cwd", "originator", "cli_version", "model_provider", "git_branch", "git_commit")
 
 

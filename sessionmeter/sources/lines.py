@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..runtime import checkpointed
+from .tail import FEW
+
 
 def discover(spark: SparkSession, roots: list[str], glob: str) -> DataFrame:
     """Files below the roots by name pattern: ``path, size, mtime_ms``. Contents are not read."""
@@ -16,18 +19,6 @@ def discover(spark: SparkSession, roots: list[str], glob: str) -> DataFrame:
                                 F.unix_millis("modificationTime").alias("mtime_ms")).orderBy("mtime_ms", "path"))
 
 
-def changed_paths(files: DataFrame, ledger: DataFrame) -> list[str]:
-    """Files that are new or differ in size or time from the ledger.
-
-    The names come to the driver, which lists all files anyway to plan the scan.
-    """
-    known = ledger.select("path", "byte_offset", F.col("mtime_ms").alias("known_mtime"))
-    fresh = files.join(known, "path", "left").filter(
-        F.col("byte_offset").isNull() | (F.col("size") != F.col("byte_offset"))
-        | ~F.col("mtime_ms").eqNullSafe(F.col("known_mtime")))
-    return [r.path for r in fresh.select("path").toLocalIterator()]
-
-
 def _raw(spark: SparkSession, paths: list[str], glob: str | None) -> DataFrame:
     reader = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n")
     if glob:
@@ -84,9 +75,10 @@ def read_lines(spark: SparkSession, paths: list[str], glob: str | None = None, w
     files = last.select("path", (F.col("size") - (left_over if whole_lines_only else F.lit(0))).alias("byte_offset"),
                         F.col("kept").alias("line_count"), "mtime_ms")
 
-    places = blocks.select("uri", "block", "path", "first_id", "base", "kept", "taken")
+    # One row per split, written once: its number is known, and the lines meet it without a shuffle of theirs.
+    places = checkpointed(blocks.select("uri", "block", "path", "first_id", "base", "kept", "taken"))
     line = F.col("base") + F.col("row_id") - F.col("first_id") + 1
-    lines = (raw.join(places, ["uri", "block"]).withColumn("line", line)
+    lines = (raw.join(F.broadcast(places) if places.count() <= FEW else places, ["uri", "block"]).withColumn("line", line)
              .filter(F.col("line") <= F.col("kept"))
              .select(F.col("path").alias("file"), "line", F.regexp_replace("value", "\r$", "").alias("value"),
                      "mtime_ms", (F.col("line") > F.col("taken")).alias("is_new")))

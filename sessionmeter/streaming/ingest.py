@@ -1,39 +1,31 @@
-"""Continuous ingest of new session files."""
+"""Continuous ingest: files of all sources while they grow."""
 
 from __future__ import annotations
 
 import time
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..ingest import IngestOptions, ingest_sessions
-from ..sources.ledger import latest_ledger
+from ..ingest import IngestOptions, LogSources, ingest
 from ..sources.tables import Tables
 
-_FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
-
-def start_ingest(tables: Tables, root: str, checkpoint: str, options: IngestOptions = IngestOptions(),
-                 remotes: DataFrame | None = None, trigger: dict | None = None, max_files: int = 10_000,
+def start_ingest(tables: Tables, sources: LogSources | str, checkpoint: str, options: IngestOptions = IngestOptions(),
+                 remotes: DataFrame | None = None, trigger: dict | None = None,
                  clock=lambda: int(time.time() * 1000)) -> StreamingQuery:
-    """Watch a folder and ingest the session files that appear in it.
+    """Watch the logs and ingest what is appended to them, or to new ones (a string names the session folder).
 
-    The stream carries file names only; every micro-batch runs the batch functions on its
-    files. A burst of changes within one trigger interval becomes one run, and a repeated
-    batch adds nothing. Files that grew later are the business of a batch ``ingest`` run.
+    Every trigger is a tick, and each tick's batch compares the files with the ledger and reads the byte ranges
+    behind its offsets: grown, shrunk and new files of all three kinds arrive without a batch run. The place reached is in
+    the ledger table, not in the stream's checkpoint, so it does not grow with the number of files, and batch
+    runs and the stream may take turns. A burst of changes within one interval becomes one run; a repeated batch adds nothing.
     """
-    names = (tables.spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", "*.jsonl")
-             .option("recursiveFileLookup", True).option("maxFilesPerTrigger", max_files).load(root)
-             .select(F.regexp_replace("path", "^file:/+", "/").alias("path")))
-
-    def run(batch: DataFrame, _: int) -> None:
-        paths = [r.path for r in batch.distinct().toLocalIterator()]
-        if paths:
-            ledger = latest_ledger(tables.read("ingest_state"))
-            updates, _taken = ingest_sessions(tables, paths, clock(), options, remotes, ledger)
-            tables.append("ingest_state", updates)
-
-    return (names.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    watched = LogSources(sessions=sources, remotes=remotes) if isinstance(sources, str) else sources
+    ticks = tables.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+
+    def run(_batch: DataFrame, _number: int) -> None:
+        ingest(tables, watched, clock(), options)
+
+    return (ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"processingTime": "500 milliseconds"})).start())

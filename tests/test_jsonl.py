@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sessionmeter.operators import records
 from sessionmeter.sources.jsonl import parse_jsonl
-from sessionmeter.sources.lines import changed_paths, discover, session_lines
+from sessionmeter.sources.lines import discover, session_lines
+from sessionmeter.sources.tail import changed_files, read_new
 
 DAY = 1_736_000_000_000
 
@@ -152,16 +153,22 @@ def test_incremental_lines(spark, tmp_path):
     from sessionmeter.sources.ledger import next_ledger
     write(tmp_path / "x.jsonl", [{"n": 1}, {"n": 2}])
     write(tmp_path / "y.jsonl", [{"n": 1}] * 3)
-    _, files = session_lines(spark, str(tmp_path))
+    found = lambda ledger: changed_files(discover(spark, [str(tmp_path)], "*.jsonl"), ledger)
+    nothing = spark.createDataFrame([], "path string, byte_offset long, line_count long, mtime_ms long, begun_at long")
+    _, files = read_new(found(nothing), 7)
     ledger = spark.createDataFrame(next_ledger(files, 1).collect(), next_ledger(files, 1).schema)
-    assert changed_paths(discover(spark, [str(tmp_path)], "*.jsonl"), ledger) == []
+    assert found(ledger).collect() == []
     with open(tmp_path / "x.jsonl", "a") as out:
         out.write('{"n":3}\n')
     write(tmp_path / "y.jsonl", [{"n": 9}])
-    lines, _ = session_lines(spark, str(tmp_path), ledger=ledger)
-    fresh = sorted((r.file[-7:], r.line) for r in lines.filter("is_new").collect())
-    assert fresh == [("x.jsonl", 3), ("y.jsonl", 1)]
-    assert sorted(p[-7:] for p in changed_paths(discover(spark, [str(tmp_path)], "*.jsonl"), ledger)) == ["x.jsonl", "y.jsonl"]
+    lines, files = read_new(found(ledger), 8)
+    assert sorted((r.file[-7:], r.line, r.value, r.is_new) for r in lines.collect()) == [
+        ("x.jsonl", 3, '{"n":3}', True), ("y.jsonl", 1, '{"n": 9}', True)]
+    assert sorted((r.path[-7:], r.line_count, r.begun_at) for r in files.collect()) == [("x.jsonl", 3, 7), ("y.jsonl", 1, 8)]
+    # A ledger that does not say where a file was begun: all is read, and what was taken is marked.
+    lines, _ = read_new(found(ledger.withColumn("begun_at", F.lit(None).cast("long"))), 9)
+    assert sorted((r.file[-7:], r.line, r.is_new) for r in lines.collect()) == [
+        ("x.jsonl", 1, False), ("x.jsonl", 2, False), ("x.jsonl", 3, True), ("y.jsonl", 1, True)]
 
 
 def test_line_numbers_across_splits(spark, tmp_path):
