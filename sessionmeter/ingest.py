@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from .functions.scalars import DAY_MS
 from .operators import correlation, desktoplog, merging, records
-from .operators.toollog import tool_log_events, tool_log_records
+from .operators.toollog import TIMED_LINE, tool_log_events, tool_log_records
 from .ranges import DateRange
 from .runtime import checkpointed
 from .sources.jsonl import parse_jsonl
 from .sources.ledger import latest_ledger, next_ledger
-from .sources.lines import discover, tool_log_lines
+from .sources.lines import discover
 from .sources.tables import DAY_OF, Tables
 from .sources.tail import changed_files, read_new
 
@@ -41,7 +41,7 @@ class IngestOptions:
 
 def _near(tables: Tables, name: str, batch: DataFrame) -> DataFrame:
     """Stored rows of the days a batch touches. Equal dedup keys imply equal times."""
-    ts = DAY_OF[name]
+    ts = "ts" if "ts" in batch.columns else DAY_OF[name]
     low, high = batch.agg(F.min(ts), F.max(ts)).first()
     return tables.read(name, DateRange(low, high)) if low is not None else tables.read(name).limit(0)
 
@@ -113,10 +113,33 @@ TOOL_LOG_KEYS = {"tool_call": ("dedup_key", "source_file", "source_line", "start
                  "tool_call_event": ("dedup_key", "source_file", "source_line", "event_type", "ts")}
 
 
-def ingest_tool_log(tables: Tables, path: str, now_ms: int, options: IngestOptions = IngestOptions()) -> tuple[DataFrame, int]:
-    """Read a tool log from its start; what is stored already is dropped by its keys."""
-    lines, files = tool_log_lines(tables.spark, path)
-    pairs = checkpointed(correlation.correlate(tool_log_events(tool_log_records(lines, options.tz))))
+def _pending_starts(tables: Tables, events: DataFrame) -> DataFrame:
+    """Stored starts that still wait for their end when the given events begin, as events."""
+    low = events.agg(F.min("ts")).first()[0]
+    if low is None:
+        return events.withColumn("carried", F.lit(True)).limit(0)
+    near = DateRange(low - correlation.WINDOW_MS, low + correlation.WINDOW_MS)
+    files = events.select(F.col("file").alias("source_file")).distinct()
+    waiting = tables.read("tool_call", near).filter("end_ts is null").join(files, "source_file", "left_semi").select("source_file", "source_line")
+    starts = tables.read("tool_call_event", near).filter("event_type = 'start'").join(waiting, ["source_file", "source_line"], "left_semi")
+    said = lambda name: F.get_json_object("payload", f"$.{name}")
+    given = {"file": F.col("source_file"), "line": F.col("source_line"), "ts": F.col("ts"), "rank": F.lit(0), "event_type": F.lit("start"),
+             "tool_name": F.col("tool_name"), "command": said("command"), "signature": said("signature")}
+    return starts.select(*[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in events.dtypes], F.lit(True).alias("carried"))
+
+
+def ingest_tool_log(tables: Tables, changed: DataFrame, now_ms: int, options: IngestOptions = IngestOptions()) -> tuple[DataFrame, int]:
+    """Read what is new in tool logs, from the last record on, which may have gone on.
+
+    New ends may belong to starts that earlier runs stored without one; those take part as they were left.
+    """
+    lines, files = read_new(changed, now_ms, whole_lines_only=True, hold=F.col("value").rlike(TIMED_LINE))
+    read = checkpointed(tool_log_events(tool_log_records(lines, options.tz)))
+    key = ["file", "line", "event_type", "ts"]
+    stored = _near(tables, "tool_call_event", read).select(F.col("source_file").alias("file"), F.col("source_line").alias("line"), "event_type", "ts")
+    fresh = checkpointed(read.join(stored, key, "left_anti"))
+    pairs = checkpointed(correlation.correlate(
+        fresh.withColumn("carried", F.lit(False)).unionByName(_pending_starts(tables, fresh))))
     order = [F.col("source_file"), F.col("source_line")]
     calls, events = checkpointed(correlation.tool_calls(pairs)), checkpointed(correlation.tool_call_events(pairs))
     _finish_calls(tables, calls)
@@ -179,8 +202,8 @@ def ingest(tables: Tables, sources: LogSources, now_ms: int, options: IngestOpti
 
     if sources.sessions and (changed := changes([sources.sessions], "*.jsonl")):
         done(ingest_sessions(tables, changed, now_ms, options, sources.remotes))
-    if sources.tool_log and changes([sources.tool_log], "*"):
-        done(ingest_tool_log(tables, sources.tool_log, now_ms, options))
+    if sources.tool_log and (changed := changes([sources.tool_log], "*")):
+        done(ingest_tool_log(tables, changed, now_ms, options))
     if sources.desktop_logs and (changed := changes(list(sources.desktop_logs), sources.desktop_glob)):
         done(ingest_desktop_logs(tables, changed, now_ms, options))
     if sources.inventory is not None:

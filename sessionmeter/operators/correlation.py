@@ -194,12 +194,16 @@ def segmented(events: DataFrame, window: int = WINDOW_MS, piece_ms: int = HOUR_M
 
 
 def correlate(events: DataFrame, window: int = WINDOW_MS, repeat: int = REPEAT_MS, piece_ms: int = HOUR_MS) -> DataFrame:
-    """Pairs ``s_*, e_*`` per file; a side is null for an event without a partner."""
+    """Pairs ``s_*, e_*`` per file; a side is null for an event without a partner.
+
+    A column ``carried`` marks starts that an earlier run left pending.
+    """
     if piece_ms <= window:
         raise ValueError("a piece must be longer than the matching window")
     place = ["file", "segment", "piece"]
     columns = [*place, *FIELDS, "carried"]
-    base = checkpointed(segmented(events, window, piece_ms).withColumn("carried", F.lit(False)).select(*columns))
+    base = checkpointed(segmented(events, window, piece_ms).withColumn(
+        "carried", F.coalesce("carried", F.lit(False)) if "carried" in events.columns else F.lit(False)).select(*columns))
     run = _runner(window, repeat, piece_ms)
     work = lambda df: (df.repartition(*place).sortWithinPartitions(*place, "ts", "rank", "line")
                        .mapInPandas(run, _RUN_SCHEMA))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 _DDL = {
-    "ingest_state": "path string not null, byte_offset bigint not null, line_count bigint, mtime_ms bigint, updated_at bigint not null, begun_at bigint",
+    "ingest_state": "path string not null, byte_offset bigint not null, line_count bigint, mtime_ms bigint, updated_at bigint not null, begun_at bigint, seen_size bigint",
     "carried_context": "path string not null, session_id string, value string not null, line bigint not null, begun_at bigint not null",
     "project": "id string not null, name string not null, root_path string, git_remote string, first_seen_ts bigint, last_seen_ts bigint",
     "project_ref": "id string not null, project_id string not null, branch string, commit string, cwd string, first_seen_ts bigint, last_seen_ts bigint",

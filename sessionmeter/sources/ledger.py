@@ -14,10 +14,10 @@ def latest_ledger(updates: DataFrame) -> DataFrame:
 
 
 def next_ledger(files: DataFrame, now_ms: int) -> DataFrame:
-    """Ledger rows for files just read: ``path, byte_offset, line_count, mtime_ms``, and ``begun_at`` if known."""
-    begun = F.col("begun_at") if "begun_at" in files.columns else F.lit(None).cast("bigint")
+    """Ledger rows for files just read: ``path, byte_offset, line_count, mtime_ms``, and ``begun_at, seen_size`` if known."""
+    known = [(F.col(c) if c in files.columns else F.lit(None).cast("bigint")).alias(c) for c in ("begun_at", "seen_size")]
     return files.select("path", "byte_offset", "line_count", "mtime_ms", F.lit(now_ms).cast("bigint").alias("updated_at"),
-                        begun.alias("begun_at"))
+                        *known)
 
 
 def without_path(ledger: DataFrame, paths: list[str]) -> DataFrame:

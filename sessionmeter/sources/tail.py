@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import checkpointed
@@ -38,11 +38,11 @@ def changed_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
     know to have been read from its start (``begun_at``) is read whole; the lines taken before are marked.
     """
     known = ledger.select("path", F.col("byte_offset").alias("known_bytes"), F.col("line_count").alias("known_lines"),
-                          F.col("mtime_ms").alias("known_mtime"), "begun_at")
-    shrank = F.col("size") < F.col("known_bytes")
+                          F.col("mtime_ms").alias("known_mtime"), "begun_at", F.coalesce("seen_size", "byte_offset").alias("seen_size"))
+    shrank = F.col("size") < F.col("seen_size")
     goes_on = F.coalesce(~shrank & F.col("begun_at").isNotNull(), F.lit(False))
     return files.join(known, "path", "left").filter(
-        F.col("known_bytes").isNull() | (F.col("size") != F.col("known_bytes")) | ~F.col("mtime_ms").eqNullSafe(F.col("known_mtime"))
+        F.col("known_bytes").isNull() | (F.col("size") != F.col("seen_size")) | ~F.col("mtime_ms").eqNullSafe(F.col("known_mtime"))
     ).select("path", "size", "mtime_ms", F.when(goes_on, F.col("begun_at")).alias("begun_at"),
              F.when(goes_on, F.col("known_bytes")).otherwise(F.lit(0)).cast("long").alias("from_byte"),
              F.when(goes_on, F.col("known_lines")).otherwise(F.lit(0)).cast("long").alias("from_line"),
@@ -111,28 +111,34 @@ def read_ranges(ranges: DataFrame, tasks: int, open_input: Callable = open_anywh
     return ranges.select("path", "start", "end", "size").repartition(tasks, "path", "start").mapInArrow(work, _RAW)
 
 
-def read_new(changed: DataFrame, now_ms: int, whole_lines_only: bool = False, block: int = BLOCK,
+def read_new(changed: DataFrame, now_ms: int, whole_lines_only: bool = False, hold: Column | None = None, block: int = BLOCK,
              open_input: Callable = open_anywhere) -> tuple[DataFrame, DataFrame]:
     """``(lines, files)``: new lines with their numbers in the file, and what the ledger should say.
 
     ``changed`` comes from :func:`changed_files`, materialised. Every byte behind the offsets is read once. A first fragment,
     behind an offset in the middle of a line, belongs to a line already taken and is skipped.
-    With ``whole_lines_only`` a last line without line end is left for the next run.
+    With ``whole_lines_only`` a last line without line end is left for the next run. With ``hold``, a condition on
+    ``value``, the next run goes on from the last line that meets it: what that line opened may not be complete yet.
     """
     ranges = byte_ranges(changed, block)
     amount = ranges.count()
     raw = checkpointed(read_ranges(ranges, max(1, min(amount, 8 * changed.sparkSession.sparkContext.defaultParallelism)), open_input))
     if whole_lines_only:
         raw = raw.filter("closed")
-    per_range = raw.groupBy("path", "start").agg(F.count("*").alias("lines"), F.max(F.col("at") + F.col("size")).alias("until"))
+    per_range = raw.groupBy("path", "start").agg(F.count("*").alias("lines"), F.max(F.col("at") + F.col("size")).alias("until"),
+                                                *([] if hold is None else [F.max(F.when(hold, F.struct("at", "n"))).alias("held")]))
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     places = checkpointed(per_range.join(changed.select("path", "from_line", "taken", "mtime_ms"), "path").withColumn(
         "base", F.col("from_line") + F.coalesce(F.sum("lines").over(before), F.lit(0))))
-    ends = places.groupBy("path").agg(F.max("until").alias("until"), F.sum("lines").alias("lines"))
+    if hold is None:
+        ends = places.groupBy("path").agg(F.max("until").alias("until"), (F.max("from_line") + F.sum("lines")).alias("lines"))
+    else:
+        ends = places.groupBy("path").agg(F.max(F.when(F.col("held").isNotNull(), F.struct(
+            F.col("held.at").alias("until"), (F.col("base") + F.col("held.n")).alias("lines")))).alias("last")).select("path", "last.*")
     files = changed.join(ends, "path", "left").select(
-        "path", (F.coalesce("until", "from_byte") if whole_lines_only else F.col("size")).alias("byte_offset"),
-        (F.col("from_line") + F.coalesce("lines", F.lit(0))).alias("line_count"), "mtime_ms",
-        F.coalesce("begun_at", F.lit(now_ms)).alias("begun_at"))
+        "path", (F.col("size") if hold is None and not whole_lines_only else F.coalesce("until", "from_byte")).alias("byte_offset"),
+        F.coalesce("lines", "from_line").alias("line_count"), "mtime_ms",
+        F.coalesce("begun_at", F.lit(now_ms)).alias("begun_at"), F.col("size").alias("seen_size"))
     small = places.select("path", "start", "base", "taken", "mtime_ms")
     line = F.col("base") + F.col("n") + 1
     lines = raw.join(F.broadcast(small) if amount <= FEW else small, ["path", "start"]).select(

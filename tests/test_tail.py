@@ -18,7 +18,7 @@ from sessionmeter.sources.tail import changed_files, open_anywhere, read_new
 from sessionmeter.streaming.ingest import start_ingest
 from tests.test_jsonl import DAY, write
 
-NOTHING = "path string, byte_offset long, line_count long, mtime_ms long, updated_at long, begun_at long"
+NOTHING = "path string, byte_offset long, line_count long, mtime_ms long, updated_at long, begun_at long, seen_size long"
 
 
 def counted(log):
@@ -168,3 +168,36 @@ def test_stream_follows_growing_files(spark, tmp_path):
     for name in ("session", "model_call", "tool_call", "tool_call_event", "desktop_log_event", "worktree_event"):
         rows = lambda t: sorted(map(tuple, t.read(name).drop("created_at").collect()), key=str)
         assert rows(live) == rows(batch) and rows(batch), name
+
+
+def test_tool_log_in_pieces_equals_the_whole(spark, tmp_path):
+    """Appended piece by piece, cut anywhere: pairs over runs, arguments on further lines, a record that goes on."""
+    rng, at, text = random.Random(3), 1_740_900_000, ""
+    for i in range(120):
+        at += rng.choice([0, 1, 2, 30, 200, 400])
+        stamp = time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime(at)) + f".{i % 1000:03d}"
+        tool, cmd = rng.choice("ab"), rng.choice(["x", "y", "z"])
+        text += rng.choice([
+            f'{stamp} [info] FunctionCall: {tool} {{"cmd":"{cmd}"}}\n',
+            f'{stamp} [info] FunctionCall: {tool}\n{{"cmd":\n"{cmd} {i}"}}\n',
+            f'{stamp} [info] ToolCall: {tool} {{"status":"done","exit_code":0,"cmd":"{cmd}"}}\n',
+            f'{stamp} [info] BackgroundEvent: Execution failed: exit code=1 tool={tool} command="{cmd}"\n', f"{stamp} [info] nothing\n"])
+    log = tmp_path / "tool.log"
+    pieces, whole = Tables(spark, str(tmp_path / "pieces")), Tables(spark, str(tmp_path / "whole"))
+    # Cuts: inside a line, and between a record and the lines that go on.
+    cuts = [text.index("FunctionCall", 2000) + 5, text.index("\n{", 6000) + 1, len(text)]
+    for turn, cut in enumerate(cuts):
+        log.write_text(text[:cut])
+        ingest(pieces, LogSources(tool_log=str(log)), 1000 + turn)
+    ingest(whole, LogSources(tool_log=str(log)), 5000)
+    broken = text[:cuts[1]].count("\n")  # this record was first read without its arguments, and stored so
+    for name in ("tool_call", "tool_call_event"):
+        rows = lambda t: sorted((tuple(r) for r in t.read(name).drop("id", "dedup_key", "correlation_key").filter(
+            f"source_line <> {broken}").collect()), key=str)
+        assert len(rows(whole)) > 40
+        if name == "tool_call_event":
+            assert rows(pieces) == rows(whole)
+        else:
+            assert len(set(rows(pieces)) ^ set(rows(whole))) <= 2  # the broken record may have met another end
+    state = pieces.read("ingest_state").orderBy("updated_at").collect()
+    assert 0 < state[0].byte_offset < state[1].byte_offset < cuts[2] == state[2].seen_size
