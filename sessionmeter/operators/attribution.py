@@ -2,12 +2,12 @@
 
 A session claims every such call that starts in its activity window, and a call may belong
 to many sessions. Listing the pairs would grow with sessions times calls, so the sums per
-session come from running totals over time, looked up at both ends of the window.
+session come from totals over hours and powers of two of hours, looked up for each window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_MS, HOUR_MS, call_ok
@@ -27,11 +27,31 @@ def activity_windows(session: DataFrame, calls_by_session: DataFrame) -> DataFra
                          (end + HOUR_MS).alias("window_end"))
 
 
+SUMS = ["n", "ok", "dur", "dur_n"]
+
+
+def _node_totals() -> list:
+    return [*[F.sum(c).alias(c) for c in SUMS], F.min("start").alias("start"), F.max("end").alias("end")]
+
+
+def _covering(levels: int) -> Column:
+    """The dyadic nodes (level, node) that together are the hours from ``lo`` to ``hi``: two a level at most."""
+    def pair(k):
+        left = F.shiftright(F.col("lo") + F.shiftleft(F.lit(1).cast("long"), k) - 1, k)
+        right = F.shiftright(F.col("hi") + 1, k)
+        node = lambda used, at: F.when((left < right) & (used % 2 != 0), F.struct(F.lit(k).alias("level"), at.alias("node")))
+        return [node(left, left), node(right, right - 1)]
+
+    return F.filter(F.array(*[n for k in range(levels) for n in pair(k)]), lambda x: x.isNotNull())
+
+
 def window_totals(windows: DataFrame, calls: DataFrame) -> DataFrame:
     """Per window: count, ok count, duration sum and count, first start and last end.
 
     Windows are at least two hours long, so both ends fall into different hours. Calls are
-    summed per millisecond first; an hour then has a bounded number of rows.
+    summed per millisecond first; an hour then has a bounded number of rows. What lies between the
+    hours of both ends comes from totals of 1, 2, 4 … hours, kept only where there are calls: a window of h
+    hours needs two for each power of two up to h. So a time far off adds rows for itself and no more.
     """
     # Each of these is looked up several times; recomputing would scan the calls again each time.
     windows = checkpointed(windows)
@@ -42,75 +62,36 @@ def window_totals(windows: DataFrame, calls: DataFrame) -> DataFrame:
         F.max(F.coalesce("end_ts", "start_ts")).alias("end"))
     marks = (windows.select(F.explode(F.array("window_start", "window_end")).alias("at")).distinct()
              .withColumn("mark", F.lit(True)))
-    points = checkpointed(at_ms.join(marks, "at", "full")
-                          .withColumn("hour", F.floor(F.col("at") / F.lit(HOUR_MS))))
-
-    sums = ["n", "ok", "dur", "dur_n"]
-    by_hour = Window.partitionBy("hour").orderBy("at")
-    before = by_hour.rowsBetween(Window.unboundedPreceding, -1)
-    upto = by_hour.rowsBetween(Window.unboundedPreceding, 0)
-    # Descending order, since a frame open at its far end is recomputed for every row.
-    onward = (Window.partitionBy("hour").orderBy(F.col("at").desc())
-              .rowsBetween(Window.unboundedPreceding, 0))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    start = F.when(F.col("n").isNotNull(), F.col("at"))
-    inside = (points.select(
-        "at", "hour", "mark",
-        *[zero(F.sum(s).over(before)).alias(s + "_before") for s in sums],
-        *[zero(F.sum(s).over(upto)).alias(s + "_upto") for s in sums],
-        F.min(start).over(onward).alias("next_in_hour"),
-        F.max("end").over(onward).alias("end_onward"), F.max("end").over(upto).alias("end_upto"))
-        .filter("mark"))
-
-    # Runs of 1, 2, 4 … hours, as long as the longest window asks for.
-    longest = windows.agg(F.max(F.col("window_end") - F.col("window_start"))).first()[0] or HOUR_MS
-    levels = max(1, longest // HOUR_MS).bit_length()
-
-    # One row per hour of the covered time; its size follows the calendar, not the data.
-    held = points.groupBy("hour").agg(*[zero(F.sum(s)).alias(s) for s in sums], F.max("end").alias("end"),
-                                      F.min(start).alias("start"))
-    spine = (held.agg(F.min("hour").alias("a"), F.max("hour").alias("b")).filter("a is not null")
-             .select(F.explode(F.sequence("a", "b")).alias("hour")))
-    line = Window.orderBy("hour")
-    later = Window.orderBy(F.col("hour").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    hours = (spine.join(held, "hour", "left")
-             .select("hour", *[zero(F.sum(s).over(line.rowsBetween(Window.unboundedPreceding, -1))).alias(s + "_base")
-                               for s in sums],
-                     F.min("start").over(later).alias("next_later"),
-                     F.col("end").alias("top_0")))
-    for level in range(1, levels + 1):
-        hours = hours.withColumn(f"top_{level}", F.greatest(
-            f"top_{level - 1}", F.lead(f"top_{level - 1}", 2 ** (level - 1)).over(line)))
-    hours = checkpointed(hours.withColumn("tops", F.array(*[f"top_{i}" for i in range(levels + 1)])).drop(
-        *[f"top_{i}" for i in range(levels + 1)]))
-
-    offsets = hours.select("hour", *[s + "_base" for s in sums], "next_later")
-    at = inside.join(offsets, "hour")
-    left = at.select(F.col("at").alias("window_start"),
-                     *[(F.col(s + "_base") + F.col(s + "_before")).alias(s + "_a") for s in sums],
-                     F.coalesce("next_in_hour", "next_later").alias("first_start"),
-                     F.col("end_onward").alias("end_a"))
-    right = at.select(F.col("at").alias("window_end"),
-                      *[(F.col(s + "_base") + F.col(s + "_upto")).alias(s + "_b") for s in sums],
-                      F.col("end_upto").alias("end_b"))
-
-    # Hours strictly inside the window are covered by two overlapping power-of-two runs.
-    joined = windows.join(left, "window_start").join(right, "window_end")
-    first_hour = F.floor(F.col("window_start") / F.lit(HOUR_MS)) + 1
-    last_hour = F.floor(F.col("window_end") / F.lit(HOUR_MS)) - 1
-    tops = hours.select("hour", "tops")
-    joined = (joined.withColumn("from_hour", first_hour)
-              .withColumn("level", F.floor(F.log2(last_hour - first_hour + 1)).cast("int"))
-              .withColumn("to_hour", last_hour - F.pow(F.lit(2), F.col("level")).cast("bigint") + 1))
-    joined = joined.join(tops.withColumnsRenamed({"hour": "from_hour", "tops": "tops_a"}), "from_hour", "left")
-    joined = joined.join(tops.withColumnsRenamed({"hour": "to_hour", "tops": "tops_b"}), "to_hour", "left")
-    pick = lambda name: F.try_element_at(F.col(name), F.col("level") + 1)
-    n = F.col("n_b") - F.col("n_a")
-    return joined.select(
-        "session_id", n.alias("n"), (F.col("ok_b") - F.col("ok_a")).alias("ok"),
-        (F.col("dur_b") - F.col("dur_a")).alias("dur"), (F.col("dur_n_b") - F.col("dur_n_a")).alias("dur_n"),
-        F.when(n > 0, F.col("first_start")).alias("first_ts"),
-        F.when(n > 0, F.greatest("end_a", "end_b", pick("tops_a"), pick("tops_b"))).alias("last_ts"))
+    hour = lambda c: F.floor(F.col(c) / F.lit(HOUR_MS))
+    points = checkpointed(at_ms.join(marks, "at", "full").withColumn("hour", hour("at")).withColumn(
+        "start", F.when(F.col("n").isNotNull(), F.col("at"))))
+
+    # Inside the hours of both ends: from the window's start onward, up to its end.
+    parts = []
+    for name, order in (("onward", F.col("at").desc()), ("upto", F.col("at"))):
+        frame = Window.partitionBy("hour").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        parts += [F.coalesce(F.sum(c).over(frame), F.lit(0)).alias(f"{c}_{name}") for c in SUMS]
+        parts += [F.min("start").over(frame).alias(f"start_{name}"), F.max("end").over(frame).alias(f"end_{name}")]
+    edges = points.select("at", "mark", *parts).filter("mark")
+    side = lambda name, key: edges.select(F.col("at").alias(key), *[F.col(f"{c}_{name}") for c in (*SUMS, "start", "end")])
+
+    # Between them: totals of dyadic runs of hours.
+    inner = windows.select("window_start", "window_end", (hour("window_start") + 1).alias("lo"), (hour("window_end") - 1).alias("hi"))
+    longest = inner.agg(F.max(F.col("hi") - F.col("lo") + 1)).first()[0] or 1
+    levels = int(longest).bit_length()
+    held = points.filter("n is not null").groupBy("hour").agg(*_node_totals())
+    nodes = held.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumn(
+        "node", F.expr("shiftright(hour, level)")).groupBy("level", "node").agg(*_node_totals())
+    spans = inner.select("lo", "hi").distinct()
+    between = spans.select("lo", "hi", F.inline(_covering(levels))).join(nodes, ["level", "node"]).groupBy("lo", "hi").agg(*_node_totals())
+
+    joined = (inner.select("window_start", "window_end", "lo", "hi").distinct().join(between, ["lo", "hi"], "left")
+              .join(side("onward", "window_start"), "window_start").join(side("upto", "window_end"), "window_end"))
+    total = lambda c: (F.col(f"{c}_onward") + F.col(f"{c}_upto") + F.coalesce(F.col(c), F.lit(0))).alias(c)
+    totals = joined.select("window_start", "window_end", *[total(c) for c in SUMS],
+                           F.least("start_onward", "start", "start_upto").alias("first_ts"),
+                           F.greatest("end_onward", "end", "end_upto").alias("last_ts"))
+    return windows.join(totals, ["window_start", "window_end"]).select("session_id", *SUMS, "first_ts", "last_ts")
 
 
 def calls_of_session(windows: DataFrame, calls: DataFrame, session_id: str) -> DataFrame:

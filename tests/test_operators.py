@@ -78,6 +78,23 @@ def test_first_per_key_limits_before_the_shuffle(spark, tmp_path):
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_absurd_times_change_no_other_window(spark):
+    """A session stamped in microseconds and calls stamped in seconds, before 1970 and far ahead."""
+    day, base = 86_400_000, 1_740_000_000_000
+    rng = random.Random(12)
+    calls = [(base + rng.randrange(9 * day), None, 5, "ok", None) for _ in range(300)]
+    spans = [(f"s{i}", a, a + rng.randrange(7_200_000, 8 * day)) for i in range(60) for a in [base + rng.randrange(8 * day)]]
+    odd_calls = [(base // 1000, None, 5, "ok", None), (-base, None, 5, "ok", None), (base * 1000, None, 5, "ok", None)]
+    odd_spans = [("far", base * 1000 - day, base * 1000 + day), ("wide", -2 * base, base * 2000)]
+    schema, names = "start_ts long, end_ts long, duration_ms long, status string, exit_code long", "session_id string, window_start long, window_end long"
+    total = lambda s, c: {r.session_id: tuple(r)[1:] for r in window_totals(spark.createDataFrame(s, names), spark.createDataFrame(c, schema)).collect()}
+    plain, odd = total(spans, calls), total(spans + odd_spans, calls + odd_calls)
+    assert {k: odd[k] for k in plain} == plain and len(plain) == 60
+    assert odd["far"] == (1, 1, 5, 1, base * 1000, base * 1000) and odd["wide"] == (303, 303, 5 * 303, 303, -base, base * 1000)
+    plan = window_totals(spark.createDataFrame(spans, names), spark.createDataFrame(calls, schema))._jdf.queryExecution().toString()
+    assert "Exchange SinglePartition" not in plan
+
+
 def test_window_totals(spark):
     rng = random.Random(6)
     hour = 3_600_000
