@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import HOUR_MS
+from ..runtime import checkpointed
 
 CHUNK = 65_536
+#: Rows of a key above which it is handled in buckets, and rows up to which a counted frame may be broadcast.
+HOT, FEW = 1_000_000, 100_000
 
 
 def carry_forward(df: DataFrame, keys: list[str], position: str, value: str, out: str,
@@ -40,17 +43,34 @@ def carry_forward(df: DataFrame, keys: list[str], position: str, value: str, out
 
 
 def with_next(df: DataFrame, keys: list[str], position: str, tie: str, out: str,
-              width: int = HOUR_MS) -> DataFrame:
-    """Position of the following row of the same key, ordered by position, then ``tie``."""
-    bucketed = df.withColumn("_bucket", F.floor(F.col(position) / F.lit(width)))
+              width: int = HOUR_MS, hot: int = HOT) -> DataFrame:
+    """Position of the following row of the same key, ordered by position, then ``tie``.
+
+    Keys with more than ``hot`` rows are found first, from the key columns alone; there are few of them,
+    whatever the size of the table. Their rows are cut into buckets of ``width``, and what follows a bucket comes
+    from a table with one row per bucket of a hot key. All other rows are shuffled once, by key, and meet no join.
+    """
+    heavy = checkpointed(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot).select(
+        *[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot")))
+    amount = heavy.count()
+    if amount == 0:
+        return df.withColumn(out, F.lead(position).over(Window.partitionBy(*keys).orderBy(position, tie)))
+
+    def met(left: DataFrame, right: DataFrame, names: list[str], small: bool) -> DataFrame:
+        same = F.lit(True)
+        for name in names:
+            same = same & left[name].eqNullSafe(right[f"_hot_{name}"])
+        return left.join(F.broadcast(right) if small else right, same, "left").drop(*[f"_hot_{n}" for n in names])
+
+    bucketed = met(df, heavy, keys, amount <= FEW).withColumn(
+        "_bucket", F.when(F.col("_hot"), F.floor(F.col(position) / F.lit(width))).otherwise(F.lit(0)))
     on = [*keys, "_bucket"]
-    firsts = bucketed.groupBy(*on).agg(F.min(position).alias("_first"))
-    after = (firsts.withColumn("_after", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_bucket")))
-             .filter(F.col("_after").isNotNull()).select(*on, "_after"))
-    inside = Window.partitionBy(*on).orderBy(position, tie)
-    return (bucketed.join(after, on, "left")
-            .withColumn(out, F.coalesce(F.lead(position).over(inside), F.col("_after")))
-            .drop("_bucket", "_after"))
+    firsts = bucketed.filter("_hot").groupBy(*on).agg(F.min(position).alias("_first"))
+    after = checkpointed(firsts.withColumn("_after", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_bucket"))).select(
+        *[F.col(c).alias(f"_hot_{c}") for c in on], "_after"))
+    inside = F.lead(position).over(Window.partitionBy(*on).orderBy(position, tie))
+    return met(bucketed.withColumn("_next", inside), after, on, after.count() <= FEW).withColumn(
+        out, F.coalesce("_next", "_after")).drop("_bucket", "_hot", "_next", "_after")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

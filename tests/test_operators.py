@@ -34,11 +34,16 @@ def test_carry_forward(spark, current):
     assert got == want
 
 
-def test_with_next(spark):
+@pytest.mark.parametrize("hot", [1_000_000, 100, 0])
+def test_with_next(spark, hot):
     rng = random.Random(2)
-    rows = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(4)}", rng.randrange(4000), i) for i in range(500)]
+    rows = [("hot" if rng.random() < 0.7 else rng.choice(["k0", "k1", "k2", None]), rng.randrange(4000), i) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, ts long, id long")
-    got = {r.id: r.nxt for r in with_next(df, ["k"], "ts", "id", "nxt", width=100).collect()}
+    found = with_next(df, ["k"], "ts", "id", "nxt", width=100, hot=hot)
+    assert set(found.columns) == {"k", "ts", "id", "nxt"}
+    facts = found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(k")
+    assert facts == 1, "the rows themselves are shuffled once"
+    got = {r.id: r.nxt for r in found.collect()}
     want = {}
     for key in {r[0] for r in rows}:
         ordered = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2]))
