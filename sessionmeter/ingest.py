@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions.scalars import DAY_MS
+from .functions.scalars import DAY_MS, day_text
 from .operators import correlation, desktoplog, merging, records
 from .operators.toollog import TIMED_LINE, tool_log_events, tool_log_records
+from .plans import upkeep
 from .ranges import DateRange
 from .runtime import checkpointed
 from .sources.jsonl import parse_jsonl
@@ -39,6 +40,44 @@ class IngestOptions:
     home: str | None = None
 
 
+class Touched:
+    """Days, per table, of all rows a run has read, stored already or not: a repeated run touches the same ones.
+
+    They are days of a calendar, however many rows there are.
+    """
+
+    def __init__(self):
+        self.days: dict[str, set[str]] = {}
+
+    def note(self, name: str, batch: DataFrame) -> None:
+        found = batch.select(day_text(F.col(DAY_OF[name])).alias("day")).distinct().collect()
+        self.days.setdefault(name, set()).update(r.day for r in found)
+
+    def of(self, *names: str) -> list[str]:
+        return sorted(set().union(*(self.days.get(n, ()) for n in names)))
+
+
+#: Rollups with a running balance: source table, column of the balance, counts (the first two add and take away).
+BALANCES = {
+    "worktree_daily": ("worktree_event", "active_count", {
+        "created_count": ["created"], "deleted_count": ["deleted", "archived"], "error_count": ["error"]}),
+    "automation_daily": ("automation_event", "backlog_peak", {
+        "runs_queued": ["queued"], "runs_completed": ["completed"], "runs_failed": ["failed"]}),
+}
+
+
+def refresh_rollups(tables: Tables, touched: Touched) -> None:
+    """Compute anew the touched days of the daily tables, and of balances the days after them; only their partitions are read and written."""
+    if days := touched.of("message", "model_call"):
+        dated = lambda name: tables.read(name, keep_day=True).filter(F.col("day").isin(days))
+        tables.write_days("daily_activity", upkeep.daily_activity_rollup(dated("message"), dated("model_call")))
+    for name, (source, balance, kinds) in BALANCES.items():
+        if days := touched.of(source):
+            events = tables.read(source, keep_day=True).filter(F.col("day") >= days[0])
+            last = tables.read(name).filter(F.col("date") < days[0]).orderBy(F.col("date").desc()).limit(1).collect()
+            tables.write_days(name, checkpointed(upkeep.balances_since(events, kinds, last[0][balance] if last else 0, balance)))
+
+
 def _near(tables: Tables, name: str, batch: DataFrame) -> DataFrame:
     """Stored rows of the days a batch touches. Equal dedup keys imply equal times."""
     ts = "ts" if "ts" in batch.columns else DAY_OF[name]
@@ -46,13 +85,15 @@ def _near(tables: Tables, name: str, batch: DataFrame) -> DataFrame:
     return tables.read(name, DateRange(low, high)) if low is not None else tables.read(name).limit(0)
 
 
-def _store(tables: Tables, name: str, batch: DataFrame, order: list[Column]) -> DataFrame | None:
+def _store(tables: Tables, name: str, batch: DataFrame, order: list[Column], touched: Touched | None = None) -> DataFrame | None:
     """Append what is new by dedup key and id; return rejects for ids that are taken.
 
     Ids that are the dedup key itself need no further look; only native ids are compared with
     the whole table.
     """
     batch = checkpointed(batch)
+    if touched is not None and name in ("message", "model_call"):
+        touched.note(name, batch)
     fresh = merging.append_new(_near(tables, name, batch), batch, ("dedup_key",), order)
     own, native = fresh.filter("id = dedup_key"), fresh.filter("id <> dedup_key")
     stored = tables.read(name).filter("id <> dedup_key").select("id", "dedup_key")
@@ -75,7 +116,7 @@ def _context_before(tables: Tables, changed: DataFrame) -> DataFrame:
 
 
 def ingest_sessions(tables: Tables, changed: DataFrame, now_ms: int, options: IngestOptions = IngestOptions(),
-                    remotes: DataFrame | None = None) -> tuple[DataFrame, int]:
+                    remotes: DataFrame | None = None, touched: Touched | None = None) -> tuple[DataFrame, int]:
     """Read what is new in session files (``tail.changed_files``); returns the ledger rows and the number of lines taken."""
     lines, files = read_new(changed, now_ms)
     good, bad = parse_jsonl(lines)
@@ -99,7 +140,7 @@ def ingest_sessions(tables: Tables, changed: DataFrame, now_ms: int, options: In
     for name, rows in (("message", records.messages(context)), ("model_call", records.model_calls(context)),
                        ("session_context", records.contexts(context))):
         valid, orphans = merging.split_valid(arrived(rows), known)
-        rejects = rejects.unionByName(_store(tables, name, valid, order)).unionByName(orphans)
+        rejects = rejects.unionByName(_store(tables, name, valid, order, touched)).unionByName(orphans)
     tables.append("reject", rejects.unionByName(_new(bad, lines)))
     return updates, typed.filter("is_new").count()
 
@@ -164,7 +205,8 @@ def _finish_calls(tables: Tables, calls: DataFrame) -> None:
     tables.rewrite("tool_call", checkpointed(rest.unionByName(ended)))
 
 
-def ingest_desktop_logs(tables: Tables, changed: DataFrame, now_ms: int, options: IngestOptions = IngestOptions()) -> tuple[DataFrame, int]:
+def ingest_desktop_logs(tables: Tables, changed: DataFrame, now_ms: int, options: IngestOptions = IngestOptions(),
+                        touched: Touched | None = None) -> tuple[DataFrame, int]:
     """Read what is new in desktop logs: stored records, worktree events and automation events."""
     lines, files = read_new(changed, now_ms, whole_lines_only=True)
     found, bad = desktoplog.desktop_records(lines)
@@ -174,6 +216,8 @@ def ingest_desktop_logs(tables: Tables, changed: DataFrame, now_ms: int, options
                ("automation_event", desktoplog.automation_events(safe, options.home), [F.col("ts")]))
     for name, rows, order in batches:
         rows = checkpointed(rows)
+        if touched is not None:
+            touched.note(name, rows)
         tables.append(name, merging.append_new(_near(tables, name, rows), rows, ("dedup_key",), order))
     tables.append("reject", _new(bad, lines))
     return next_ledger(files, now_ms), safe.count()
@@ -182,14 +226,14 @@ def ingest_desktop_logs(tables: Tables, changed: DataFrame, now_ms: int, options
 def ingest(tables: Tables, sources: LogSources, now_ms: int, options: IngestOptions = IngestOptions()) -> DataFrame:
     """Run all sources; one row ``files_processed, lines_ingested, errors``.
 
-    The ledger is written last. A run that breaks off is repeated whole, and its rows are
+    The daily tables follow the days the run read, and the ledger is written last. A run that breaks off is repeated whole, and its rows are
     recognised by their keys.
     """
     spark = tables.spark
     ledger = checkpointed(latest_ledger(tables.read("ingest_state")))
     seen = ledger.limit(0) if options.full else ledger
     rejects_before = tables.read("reject").count()
-    updates, taken = [], 0
+    updates, taken, touched = [], 0, Touched()
 
     def done(result):
         nonlocal taken
@@ -201,14 +245,16 @@ def ingest(tables: Tables, sources: LogSources, now_ms: int, options: IngestOpti
         return None if found.isEmpty() else found
 
     if sources.sessions and (changed := changes([sources.sessions], "*.jsonl")):
-        done(ingest_sessions(tables, changed, now_ms, options, sources.remotes))
+        done(ingest_sessions(tables, changed, now_ms, options, sources.remotes, touched))
     if sources.tool_log and (changed := changes([sources.tool_log], "*")):
         done(ingest_tool_log(tables, changed, now_ms, options))
     if sources.desktop_logs and (changed := changes(list(sources.desktop_logs), sources.desktop_glob)):
-        done(ingest_desktop_logs(tables, changed, now_ms, options))
+        done(ingest_desktop_logs(tables, changed, now_ms, options, touched))
     if sources.inventory is not None:
-        tables.append("worktree_event", checkpointed(
-            desktoplog.archived_events(tables.read("worktree_event"), sources.inventory, now_ms)))
+        archived = checkpointed(desktoplog.archived_events(tables.read("worktree_event"), sources.inventory, now_ms))
+        touched.note("worktree_event", archived)
+        tables.append("worktree_event", archived)
+    refresh_rollups(tables, touched)
     files = 0
     for rows in updates:
         tables.append("ingest_state", rows)

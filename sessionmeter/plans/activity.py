@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
+from functools import reduce
+from operator import or_
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,25 +14,58 @@ from ..functions.scalars import count_if, day_text, or_zero
 from ..ranges import DateRange
 
 
+#: Stretches of missing days up to which each is a condition of its own.
+FEW = 20
+COUNTS = ("message_count", "call_count", "token_total")
+
+
 def activity_daily(message: DataFrame, model_call: DataFrame, rng: DateRange, tz: str = "UTC",
                    rollup: DataFrame | None = None) -> DataFrame:
-    """Messages, calls and tokens per day; from the rollup table if that has days in range."""
+    """Messages, calls and tokens per day. With a rollup table, messages and calls are read only for the days it lacks."""
+    if rollup is not None:
+        return _with_rollup(message, model_call, rng, tz, rollup)
     said = rng.filter(message).groupBy(day_text(F.col("ts"), tz).alias("date")).agg(
         F.count("*").alias("message_count"))
     called = rng.filter(model_call).groupBy(day_text(F.col("ts"), tz).alias("date")).agg(
         F.count("*").alias("call_count"), or_zero(F.sum("total_tokens")).alias("token_total"))
-    days = said.join(called, "date", "full").select(
-        "date", *[or_zero(F.col(c)).alias(c) for c in ("message_count", "call_count", "token_total")])
-    if rollup is None:
-        return days
-    stored = rollup.select("date", "message_count", "call_count", "token_total")
+    return said.join(called, "date", "full").select("date", *[or_zero(F.col(c)).alias(c) for c in COUNTS])
+
+
+def _with_rollup(message: DataFrame, model_call: DataFrame, rng: DateRange, tz: str, rollup: DataFrame) -> DataFrame:
+    """Stored days and, from the facts, the stretches of days between them.
+
+    The dates stored are a calendar's worth at most and come to the driver, where they bound the scans: no day of the
+    range left, no scan; otherwise one range of times per stretch (of many stretches, their hull and the dates), which
+    reaches the Parquet scan.
+    """
+    stored = rollup.select("date", *COUNTS)
     if rng.start is not None:
         stored = stored.filter(F.col("date") >= day_text(F.lit(rng.start), tz))
     if rng.end is not None:
         stored = stored.filter(F.col("date") <= day_text(F.lit(rng.end), tz))
-    some = stored.limit(1).select(F.lit(1).alias("_any"))
-    computed = days.withColumn("_any", F.lit(1)).join(some, "_any", "left_anti").drop("_any")
-    return stored.unionByName(computed)
+    held = {r.date for r in stored.select("date").distinct().collect()}
+    gaps = _gaps(rng, sorted(held), tz)
+    if not gaps:
+        return stored
+    hull = DateRange(gaps[0].start, gaps[-1].end)
+    missing = reduce(or_, [g.contains(F.col("ts")) for g in gaps]) if len(gaps) <= FEW else ~day_text(F.col("ts"), tz).isin(held)
+    pruned = lambda df: hull.filter(df).filter(missing)
+    return stored.unionByName(activity_daily(pruned(message), pruned(model_call), DateRange(), tz))
+
+
+def _gaps(rng: DateRange, held: list[str], tz: str) -> list[DateRange]:
+    """Ranges of time in ``rng`` outside the dates held, in order."""
+    zone = ZoneInfo(tz)
+    begins = lambda day: int(datetime.combine(day, datetime.min.time(), zone).timestamp()) * 1000
+    out, start = [], rng.start
+    for day in map(date.fromisoformat, held):
+        before = begins(day) - 1
+        if start is None or start <= before:
+            out.append(DateRange(start, before))
+        start = begins(day + timedelta(days=1))
+    if rng.end is None or start is None or start <= rng.end:
+        out.append(DateRange(start, rng.end))
+    return out
 
 
 def activity_summary(daily: DataFrame, session: DataFrame, rng: DateRange,

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import DAY_MS, count_if
+from ..functions.scalars import DAY_MS, count_if, day_text
 from ..functions.text import any_matches
+from ..operators.ordered import clamped_balance
 from ..operators.pages import page
 from ..ranges import DateRange, Page
 from .activity import activity_daily
@@ -85,6 +86,20 @@ def automation_rollup(automation_event: DataFrame, rng: DateRange = DateRange(),
         F.col("failed").alias("runs_failed"), F.col("backlog").alias("backlog_peak"))
 
 
+def balances_since(events: DataFrame, kinds: dict[str, list[str]], seed: int, balance: str) -> DataFrame:
+    """Counts per UTC day and the running balance (first count less second, never below zero), going on from ``seed``.
+
+    ``events`` are those of whole days from some day on, ``seed`` the balance at the end of the day before.
+    """
+    days = events.groupBy(day_text(F.col("ts")).alias("date")).agg(
+        *[count_if(F.col("action").isin(*actions)).alias(name) for name, actions in kinds.items()])
+    up, down = list(kinds)[:2]
+    zero = [F.lit(0).cast("bigint").alias(n) for n in kinds]
+    given = days.sparkSession.range(1).select(F.lit(None).cast("string").alias("date"), *zero, F.lit(seed).cast("bigint").alias("delta"))
+    return clamped_balance(days.withColumn("delta", F.col(up) - F.col(down)).unionByName(given).withColumn("_all", F.lit(1)),
+                           ["_all"], "date", "delta", balance).select("date", *kinds, F.col(balance).cast("bigint").alias(balance))
+
+
 def refresh_days(rollup: DataFrame, fresh: DataFrame, dirty: DataFrame) -> DataFrame:
     """Replace the days listed in ``dirty`` by freshly computed ones."""
     days = dirty.select("date").distinct()

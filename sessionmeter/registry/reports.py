@@ -155,6 +155,13 @@ def _(spark, d):
     return activity.activity_daily(message, calls, v.RANGE, rollup=upkeep.daily_activity_rollup(message, calls))
 
 
+@query("activity_daily_from_half_rollup", "SELECT * FROM (" + _DAYS(0, 9_000_000_000_000) + ") WHERE date BETWEEN '1997-01-01' AND '1998-12-31'")
+def _(spark, d):
+    message, calls = v.message(spark, d), v.model_call(spark, d)
+    half = upkeep.daily_activity_rollup(message, calls).filter("date like '%-_0' or date like '%-_3' or date < '1997-06-01'")
+    return activity.activity_daily(message, calls, v.RANGE, rollup=half)
+
+
 def _activity_totals(a, b, side):
     return f"""SELECT 'messages' AS metric, CAST(sum(message_count) AS BIGINT) AS n, '{side}' AS side FROM ({_DAYS(a, b)})
         UNION ALL SELECT 'calls', CAST(sum(call_count) AS BIGINT), '{side}' FROM ({_DAYS(a, b)})

@@ -14,6 +14,9 @@ from ..schemas import SCHEMAS, conform, empty
 DAY_OF = {"session": "ts", "message": "ts", "model_call": "ts", "tool_call": "start_ts", "tool_call_event": "ts",
           "session_context": "ts", "desktop_log_event": "ts", "worktree_event": "ts", "automation_event": "ts"}
 
+# Tables with one row per day; a day is a partition and is written anew as a whole.
+ROLLUPS = ("daily_activity", "worktree_daily", "automation_daily")
+
 
 def _with_day(name: str) -> StructType:
     return StructType([*SCHEMAS[name].fields, StructField("day", StringType())])
@@ -55,6 +58,8 @@ class Tables:
         if self._folder(name)[1] is None:
             rows = empty(self.spark, name)
             return rows.withColumn("day", F.lit(None).cast("string")) if keep_day and name in DAY_OF else rows
+        if name in ROLLUPS:
+            return self.spark.read.schema(_with_day(name)).parquet(self._path(name)).drop("day")
         if name not in DAY_OF:
             versions = self._versions(name)
             path = f"{self._path(name)}/version={versions[-1]}" if versions else self._path(name)
@@ -88,3 +93,8 @@ class Tables:
         dated = conform(rows, name).withColumn("day", day_text(F.col(DAY_OF[name])))
         (dated.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("day").parquet(self._path(name)))
+
+    def write_days(self, name: str, rows: DataFrame) -> None:
+        """Write the given days of a rollup table, new or anew; other days stay."""
+        (conform(rows, name).withColumn("day", F.col("date")).coalesce(1).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self._path(name)))

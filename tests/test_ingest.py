@@ -174,3 +174,49 @@ def test_priced_reports_read_the_facts_once_and_only_their_days(spark, tmp_path)
     scans = plan.split("FileScan parquet")[1:]  # only the calls are stored here
     assert len(scans) == 1 and "day" in scans[0].split("PartitionFilters: [")[1].split("]")[0]
     assert sum(r["model_calls"] for r in out.collect()) == 2
+
+
+def test_rollups_are_kept(spark, tmp_path):
+    """Ingest fills the three daily tables; late rows change exactly their days, and balances the days behind them."""
+    from sessionmeter.plans.activity import activity_daily
+    from sessionmeter.plans.upkeep import automation_rollup, daily_activity_rollup, worktree_rollup
+
+    day, logs, desk = 86_400_000, tmp_path / "logs", tmp_path / "desk"
+    logs.mkdir()
+    desk.mkdir()
+    call = lambda at: {"type": "event_msg", "payload": {"type": "token_count", "ts": DAY + at, "session_id": "s1", "input_tokens": 5}}
+    write(logs / "a.jsonl", [{"type": "session_meta", "id": "s1", "ts": DAY}, call(0), call(day), call(5 * day)])
+    log = lambda n, *events: (desk / f"x-desktop-ab-1-t2-i3-000000-{n}.log").write_text(
+        "".join(f"2025-05-{d:02}T10:00:0{i}.000Z info [git] {what}\n" for i, (d, what) in enumerate(events)))
+    log(1, (1, "created worktree /a/b"), (3, "created worktree /a/c"), (3, "Automation queued"), (5, "deleted worktree /a/b"))
+    tables = Tables(spark, str(tmp_path / "tables"))
+    sources = LogSources(str(logs), None, (str(desk),))
+
+    def same():
+        full = {"daily_activity": daily_activity_rollup(tables.read("message"), tables.read("model_call")),
+                "worktree_daily": worktree_rollup(tables.read("worktree_event")),
+                "automation_daily": automation_rollup(tables.read("automation_event"))}
+        for name, frame in full.items():
+            kept = tables.read(name)
+            assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, frame.select(*kept.columns).collect())) != [], name
+
+    stamps = lambda name: {p.parent.name: p.stat().st_mtime_ns for p in (tmp_path / "tables" / name).glob("day=*/*.parquet")}
+    ingest(tables, sources, 1_746_200_000_000)
+    same()
+    before = {n: stamps(n) for n in ("daily_activity", "worktree_daily")}
+    with open(logs / "a.jsonl", "a") as out:
+        out.writelines(json.dumps(call(day + i)) + "\n" for i in range(3))
+    log(2, (3, "deleted worktree /a/c"), (2, "created worktree /a/d"))
+    ingest(tables, sources, 1_746_200_000_001)
+    same()
+    changed = {n: sorted(d for d, at in stamps(n).items() if before[n].get(d) != at) for n in before}
+    assert len(changed["daily_activity"]) == 1 and changed["worktree_daily"] == ["day=2025-05-02", "day=2025-05-03", "day=2025-05-05"]
+
+    message, calls, rollup = tables.read("message"), tables.read("model_call"), tables.read("daily_activity")
+    rng = DateRange(DAY // day * day, DAY // day * day + 2 * day - 1)
+    whole = activity_daily(message, calls, rng, rollup=rollup)
+    assert "model_call" not in whole._jdf.queryExecution().toString()
+    for stored in (rollup, rollup.limit(1), rollup.limit(0)):
+        rows = lambda f: sorted(map(tuple, f.select("date", "message_count", "call_count", "token_total").collect()))
+        assert rows(activity_daily(message, calls, rng, rollup=stored)) == rows(activity_daily(message, calls, rng)) != []
+        assert rows(activity_daily(message, calls, DateRange(), rollup=stored)) == rows(activity_daily(message, calls, DateRange()))
