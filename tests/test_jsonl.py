@@ -154,7 +154,7 @@ def test_incremental_lines(spark, tmp_path):
     write(tmp_path / "x.jsonl", [{"n": 1}, {"n": 2}])
     write(tmp_path / "y.jsonl", [{"n": 1}] * 3)
     found = lambda ledger: changed_files(discover(spark, [str(tmp_path)], "*.jsonl"), ledger)
-    nothing = spark.createDataFrame([], "path string, byte_offset long, line_count long, mtime_ms long, begun_at long")
+    nothing = spark.createDataFrame([], "path string, byte_offset long, line_count long, mtime_ms long, begun_at long, seen_size long")
     _, files = read_new(found(nothing), 7)
     ledger = spark.createDataFrame(next_ledger(files, 1).collect(), next_ledger(files, 1).schema)
     assert found(ledger).collect() == []
