@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -224,12 +225,12 @@ def ingest_desktop_logs(tables: Tables, changed: DataFrame, now_ms: int, options
 
 
 def ingest(tables: Tables, sources: LogSources, now_ms: int, options: IngestOptions = IngestOptions()) -> DataFrame:
-    """Run all sources; one row ``files_processed, lines_ingested, errors``.
+    """Run all sources; one row ``files_processed, lines_ingested, errors, duration_ms``.
 
     The daily tables follow the days the run read, and the ledger is written last. A run that breaks off is repeated whole, and its rows are
     recognised by their keys.
     """
-    spark = tables.spark
+    spark, began = tables.spark, time.monotonic()
     ledger = checkpointed(latest_ledger(tables.read("ingest_state")))
     seen = ledger.limit(0) if options.full else ledger
     rejects_before = tables.read("reject").count()
@@ -261,7 +262,8 @@ def ingest(tables: Tables, sources: LogSources, now_ms: int, options: IngestOpti
         files += rows.count()
     errors = tables.read("reject").count() - rejects_before
     return spark.range(1).select(F.lit(files).alias("files_processed"), F.lit(taken).alias("lines_ingested"),
-                                 F.lit(errors).alias("errors"))
+                                 F.lit(errors).alias("errors"),
+                                 F.lit(round((time.monotonic() - began) * 1000)).cast("bigint").alias("duration_ms"))
 
 
 def backfill(tables: Tables, remotes: DataFrame | None = None, everything: bool = False) -> None:

@@ -78,12 +78,12 @@ def worktree_daily(worktree_event: DataFrame, rng: DateRange, tz: str = "UTC", i
                    today: str | None = None) -> DataFrame:
     """Counts per day and the number active, never below zero.
 
-    A known inventory sets the point of ``today`` (adding it if nothing happened), when the
-    caller passes a day inside the range.
+    A known inventory sets the point of ``today`` (a day of the zone; added if nothing happened
+    then), unless the range has no moment of that day.
     """
     days = _series(_days(worktree_event, rng, _WORKTREE, tz, both=False), "created", "deleted", "active")
     rows = days.select("date", *_WORKTREE, F.col("active").cast("bigint"))
-    if inventory_count is not None and today is not None:
+    if inventory_count is not None and today is not None and rng.overlaps(DateRange.of_day(today, tz)):
         point = rows.sparkSession.range(1).select(F.lit(today).alias("date"))
         rows = rows.join(point.withColumn("now", F.lit(inventory_count)), "date", "full").select(
             "date", *[or_zero(F.col(k)).alias(k) for k in _WORKTREE],

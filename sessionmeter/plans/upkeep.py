@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_MS, count_if, day_text
@@ -12,12 +12,15 @@ from ..functions.text import any_matches
 from ..operators.ordered import clamped_balance
 from ..operators.pages import page
 from ..ranges import DateRange, Page
+from ..sources.tables import Tables
 from .activity import activity_daily
 from .balances import automation_daily, worktree_daily
 
 # Column holding the time of each fact table, and the first plausible millisecond value.
 TIMES = {"session": "ts", "model_call": "ts", "tool_call": "start_ts", "message": "ts"}
 EARLIEST_MS = 1_000_000_000_000
+# Tables a store must have.
+REQUIRED = (*TIMES, "daily_activity")
 
 
 def ingest_files(ledger: DataFrame, search: str | None = None, part: Page | None = None) -> DataFrame:
@@ -42,20 +45,34 @@ def log_status(desktop_log_event: DataFrame) -> DataFrame:
         (F.col("total") > 0).alias("has_logs"), "total")
 
 
-def ingest_report(ledger: DataFrame, lines: DataFrame, rejects: DataFrame) -> DataFrame:
-    """One row: files in the run, lines taken, lines rejected."""
+def ingest_report(ledger: DataFrame, lines: DataFrame, rejects: DataFrame, duration_ms: int | None = None) -> DataFrame:
+    """One row: files in the run, lines taken, lines rejected, and how long it took if that is known."""
     tag = lambda df: df.withColumn("k", F.lit(1))
-    return (tag(ledger.agg(F.count("*").alias("files_processed")))
-            .join(tag(lines.agg(F.count("*").alias("lines_ingested"))), "k")
-            .join(tag(rejects.agg(F.count("*").alias("errors"))), "k").drop("k"))
+    report = (tag(ledger.agg(F.count("*").alias("files_processed")))
+              .join(tag(lines.agg(F.count("*").alias("lines_ingested"))), "k")
+              .join(tag(rejects.agg(F.count("*").alias("errors"))), "k").drop("k"))
+    return report if duration_ms is None else report.withColumn("duration_ms", F.lit(duration_ms).cast("bigint"))
 
 
-def data_checks(tables: dict[str, DataFrame | None], now_ms: int) -> DataFrame:
-    """A row per fact table: size, time range, zero, implausible and future times, verdict."""
-    rows = []
-    for name, ts in TIMES.items():
-        df = tables.get(name)
+def data_checks(tables: dict[str, DataFrame | None], now_ms: int, required: tuple[str, ...] = ()) -> DataFrame:
+    """A row per table: size, time range, zero, implausible and future times, verdict.
+
+    A table that is None, or ``required`` and not given, has a row without figures and the verdict ``missing``.
+    Tables without a time of their own are only counted.
+    """
+    names = [*dict.fromkeys([*(n for n in TIMES if n in tables or n in required), *required])]
+    if not names:
+        raise ValueError("no table to check")
+    rows, spark = [], SparkSession.active()
+    for name in names:
+        df, ts = tables.get(name), TIMES.get(name)
+        nothing = {"min_ts": "bigint", "max_ts": "bigint", "zero_ts": "bigint", "early_ts": "bigint", "future_ts": "bigint"}
+        blank = [F.lit(None).cast(kind).alias(column) for column, kind in nothing.items()]
         if df is None:
+            rows.append(spark.range(1).select(F.lit(name).alias("table_name"), F.lit(None).cast("bigint").alias("row_count"), *blank))
+            continue
+        if ts is None:
+            rows.append(df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count", *blank))
             continue
         rows.append(df.agg(
             F.lit(name).alias("table_name"), F.count("*").alias("row_count"), F.min(ts).alias("min_ts"),
@@ -64,7 +81,13 @@ def data_checks(tables: dict[str, DataFrame | None], now_ms: int) -> DataFrame:
             count_if(F.col(ts) > now_ms + DAY_MS).alias("future_ts")))
     checks = reduce(DataFrame.unionByName, rows)
     bad = (F.col("early_ts") > 0) | (F.col("future_ts") > 0)
-    return checks.withColumn("verdict", F.when(F.col("row_count") == 0, "empty").when(bad, "suspicious").otherwise("ok"))
+    return checks.withColumn("verdict", F.when(F.col("row_count").isNull(), "missing").when(F.col("row_count") == 0, "empty")
+                             .when(bad, "suspicious").otherwise("ok"))
+
+
+def stored_checks(tables: Tables, now_ms: int) -> DataFrame:
+    """``data_checks`` of a table store: every required table has a row, whether it was ever written or not."""
+    return data_checks({n: tables.read(n) if tables.exists(n) else None for n in REQUIRED}, now_ms, REQUIRED)
 
 
 def daily_activity_rollup(message: DataFrame, model_call: DataFrame, rng: DateRange = DateRange(),

@@ -73,6 +73,18 @@ class DateRange:
         last = today.replace(hour=23, minute=59, second=59, microsecond=999000, tzinfo=zone)
         return cls(_ms(first), _ms(last))
 
+    @classmethod
+    def of_day(cls, day: str, tz: str = "UTC") -> "DateRange":
+        """A calendar day (``YYYY-MM-DD``) of a zone."""
+        first = datetime.fromisoformat(day)
+        bound = lambda moment: _ms(moment.replace(tzinfo=ZoneInfo(tz)))
+        return cls(bound(first), bound(first + timedelta(days=1)) - 1)
+
+    def overlaps(self, other: "DateRange") -> bool:
+        """Whether the two have a millisecond in common."""
+        reaches = lambda start, end: start is None or end is None or start <= end
+        return reaches(self.start, other.end) and reaches(other.start, self.end)
+
     def or_default(self, now: datetime, tz: str = "UTC") -> "DateRange":
         """This range when both bounds are known, else the last 30 days."""
         return self if self.bounded else DateRange.last_days(now, tz)

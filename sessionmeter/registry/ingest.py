@@ -446,6 +446,33 @@ def _(spark, d):
     return merging.split_unique(rows, rows.limit(0), [F.col("start_ts"), F.col("dedup_key")])[1].select("file", "line")
 
 
+def _calls_by_half(spark, d) -> DataFrame:
+    """Calls in pairs of one id; the pairs with an even id are stored, their other rows arrive again under other keys."""
+    return v.tool_call(spark, d).select(
+        F.floor(F.col("id").cast("bigint") / 2).cast("string").alias("id"), F.col("id").alias("dedup_key"), "start_ts",
+        F.col("start_ts").cast("string").alias("source_file"), F.col("id").cast("bigint").alias("source_line"))
+
+
+_HALVES = """SELECT CAST(CAST(id AS BIGINT) // 2 AS VARCHAR) AS id, id AS dedup_key, start_ts, CAST(id AS BIGINT) AS n,
+    CAST(id AS BIGINT) // 2 % 3 = 0 AND CAST(id AS BIGINT) % 2 = 0 AS stored FROM v_tool"""
+_STORED = "cast(id as bigint) % 3 = 0 and source_line % 2 = 0"
+
+
+@query("appended_calls_to_stored", f"""SELECT id, dedup_key FROM (SELECT *, bool_or(stored) OVER (PARTITION BY id) AS taken,
+    row_number() OVER (PARTITION BY id ORDER BY start_ts, dedup_key) AS rn FROM ({_HALVES})) WHERE NOT taken AND rn = 1""")
+def _(spark, d):
+    rows = _calls_by_half(spark, d)
+    return merging.append_new(rows.filter(_STORED), rows, ("dedup_key", "id"), [F.col("start_ts"), F.col("dedup_key")]).select("id", "dedup_key")
+
+
+@query("rejected_ids_of_stored", f"""SELECT CAST(start_ts AS VARCHAR) AS file, n AS line FROM (SELECT *, bool_or(stored) OVER (PARTITION BY id) AS taken,
+    row_number() OVER (PARTITION BY id ORDER BY start_ts, dedup_key) AS rn FROM ({_HALVES})) WHERE NOT stored AND (taken OR rn > 1)""")
+def _(spark, d):
+    # Stored rows read again are no rejects: they repeat their dedup key too.
+    rows = _calls_by_half(spark, d)
+    return merging.split_unique(rows, rows.filter(_STORED), [F.col("start_ts"), F.col("dedup_key")])[1].select("file", "line")
+
+
 @query("orphaned_messages", """SELECT 'c' AS file, turn AS line, count(*) AS n FROM conversations WHERE conv_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0) GROUP BY turn""")
 def _(spark, d):
     said = v.message(spark, d).select("id", "session_id", F.lit("c").alias("source_file"),
@@ -480,6 +507,37 @@ def _(spark, d):
     return merging.merge_refs(rows.drop("arrival").limit(0), rows)
 
 
+def _half_merged(merge, spark, d, **columns) -> DataFrame:
+    """Odd orders are merged first, into a stored table; the even ones then arrive on top of it."""
+    key, ts = F.col("o_orderkey"), v.millis_of(F.col("o_orderdate"))
+    rows = v.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("id"), *[c.alias(n) for n, c in columns.items()],
+                                              ts.alias("first_seen_ts"), ts.alias("last_seen_ts"), key.alias("arrival"))
+    stored = merge(rows.drop("arrival").limit(0), rows.filter("arrival % 2 = 1"))
+    return merge(stored, rows.filter("arrival % 2 = 0"))
+
+
+# Stored rows arrived first, so an even order counts as later than any odd one.
+_TURN = "o_orderkey + CASE WHEN o_orderkey % 2 = 0 THEN 1000000000000 ELSE 0 END"
+
+
+@query("merged_projects_with_stored", f"""SELECT CAST(o_custkey AS VARCHAR) AS id, arg_max(o_orderpriority, {_TURN}) AS name,
+    arg_max('p' || o_orderkey, {_TURN}) FILTER (o_orderkey % 3 = 0) AS root_path, arg_max('g' || o_orderkey, {_TURN}) FILTER (o_orderkey % 7 = 0) AS git_remote,
+    min(epoch_us(o_orderdate) // 1000) AS first_seen_ts, max(epoch_us(o_orderdate) // 1000) AS last_seen_ts FROM orders GROUP BY o_custkey""")
+def _(spark, d):
+    key = F.col("o_orderkey")
+    return _half_merged(merging.merge_projects, spark, d, name=F.col("o_orderpriority"),
+                        root_path=F.when(key % 3 == 0, _cat("p", key)), git_remote=F.when(key % 7 == 0, _cat("g", key)))
+
+
+@query("merged_refs_with_stored", f"""SELECT CAST(o_custkey AS VARCHAR) AS id, CAST(any_value(o_custkey % 10) AS VARCHAR) AS project_id, arg_max(o_orderstatus, {_TURN}) AS branch,
+    arg_max('c' || o_orderkey, {_TURN}) FILTER (o_orderkey % 3 = 0) AS "commit", '/w' AS cwd,
+    min(epoch_us(o_orderdate) // 1000) AS first_seen_ts, max(epoch_us(o_orderdate) // 1000) AS last_seen_ts FROM orders GROUP BY o_custkey""")
+def _(spark, d):
+    key = F.col("o_orderkey")
+    return _half_merged(merging.merge_refs, spark, d, project_id=(F.col("o_custkey") % 10).cast("string"), branch=F.col("o_orderstatus"),
+                        commit=F.when(key % 3 == 0, _cat("c", key)), cwd=F.lit("/w"))
+
+
 @query("deleted_sessions", """SELECT 'session' AS table_name, id, CAST(NULL AS VARCHAR) AS session_id FROM v_session WHERE CAST(id AS BIGINT) % 5 <> 0
     UNION ALL SELECT 'message', id, session_id FROM v_message WHERE CAST(session_id AS BIGINT) % 5 <> 0
     UNION ALL SELECT 'model_call', id, session_id FROM v_call WHERE CAST(session_id AS BIGINT) % 5 <> 0
@@ -545,6 +603,29 @@ def _(spark, d):
     return with_price(rows, price).select("p_partkey", "model", "input_price", "cache_price")
 
 
+@query("prices_shadowed", """SELECT p_partkey, CAST(CASE p_partkey % 3 WHEN 0 THEN p_retailprice WHEN 1 THEN NULL ELSE p_size END AS DOUBLE) AS input_price,
+    CAST(CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 2 THEN p_size END AS DOUBLE) AS cache_price FROM part""")
+def _(spark, d):
+    """A map of prices made of the parts, read as a price file.
+
+    Of three models one has an entry of its own, one has an entry without prices, which hides the provider's
+    entry behind it, and one is known under a provider's name alone and has no cache price.
+    """
+    from ..operators.pricing import with_price
+    from ..sources.prices import prices_of
+    key, size, price = F.col("p_partkey"), F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")
+    parts = v.table(spark, d, "part")
+    name = _cat("m-", key)
+    entry = lambda model, cost, cache: F.to_json(F.create_map(model, F.struct(
+        cost.alias("input_cost_per_token"), cost.alias("output_cost_per_token"), cache.alias("cache_read_input_token_cost"))))
+    unpriced = F.to_json(F.create_map(name, F.struct(F.lit("image_generation").alias("mode"))))
+    none = F.lit(None).cast("double")
+    own = parts.select(F.when(key % 3 == 0, entry(name, price, size)).when(key % 3 == 1, unpriced).alias("value")).filter("value is not null")
+    others = parts.filter(key % 3 > 0).select(entry(F.concat(F.lit("openai/"), name), size, none).alias("value"))
+    return with_price(parts.select("p_partkey", name.alias("model")), prices_of(own.unionByName(others))).select(
+        "p_partkey", "input_price", "cache_price")
+
+
 @query("refreshed_rollup", """SELECT date, CASE WHEN date LIKE '%-01' THEN n ELSE 0 END AS created_count FROM (SELECT strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS date,
     CAST(sum(CASE WHEN action = 'created' THEN 1 ELSE 0 END) AS BIGINT) AS n FROM v_worktree GROUP BY 1)""")
 def _(spark, d):

@@ -569,6 +569,12 @@ def _(spark, d):
     return balances.worktree_daily(v.worktree_event(spark, d), v.JUNE, inventory_count=42, today="1997-06-15")
 
 
+@query("worktree_daily_before_today", "SELECT * FROM z", {"z": _balance_sql("v_worktree", "created", "deleted", _WT, "active", JS, JE)})
+def _(spark, d):
+    # Today lies behind the range, so the inventory says nothing about it.
+    return balances.worktree_daily(v.worktree_event(spark, d), v.JUNE, inventory_count=42, today="1997-07-15")
+
+
 @query("worktree_list", f"""SELECT id, ts, action, worktree_path, repo_root, branch, status, error FROM v_worktree WHERE ts BETWEEN {JS} AND {JE}
     AND (worktree_path ILIKE '%U1_/W%' OR branch ILIKE '%U1_/W%' OR error ILIKE '%U1_/W%')""")
 def _(spark, d):
@@ -662,6 +668,15 @@ def _(spark, d):
                                "tool_call": v.tool_call(spark, d), "message": v.message(spark, d)}, v.NOW_MS)
 
 
+@query("data_checks_missing", f"""SELECT *, CASE WHEN row_count = 0 THEN 'empty' WHEN early_ts > 0 OR future_ts > 0 THEN 'suspicious' ELSE 'ok' END AS verdict FROM (
+    {_CHECK('session', 'v_session', 'ts')} UNION ALL {_CHECK('model_call', 'v_call', 'ts')}) UNION ALL SELECT name, NULL, NULL, NULL, NULL, NULL, NULL, 'missing'
+    FROM (VALUES ('tool_call'), ('message')) q(name) UNION ALL SELECT 'daily_activity', count(DISTINCT date), NULL, NULL, NULL, NULL, NULL, 'ok' FROM ({_DAYS(0, 9_000_000_000_000)})""")
+def _(spark, d):
+    given = {"session": v.session(spark, d), "model_call": v.model_call(spark, d), "message": None,
+             "daily_activity": upkeep.daily_activity_rollup(v.message(spark, d), v.model_call(spark, d))}
+    return upkeep.data_checks(given, v.NOW_MS, upkeep.REQUIRED)
+
+
 @query("daily_activity_rollup", _DAYS(0, 9_000_000_000_000))
 def _(spark, d):
     return upkeep.daily_activity_rollup(v.message(spark, d), v.model_call(spark, d))

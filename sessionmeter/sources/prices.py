@@ -15,7 +15,11 @@ def price_table(spark: SparkSession, path: str) -> DataFrame:
     price without finding one. A price that is null counts as missing. A missing cache price is
     later taken from the input price.
     """
-    text = spark.read.text(path, wholetext=True)
+    return prices_of(spark.read.text(path, wholetext=True))
+
+
+def prices_of(text: DataFrame) -> DataFrame:
+    """The same from rows of such JSON maps in ``value``."""
     entries = text.select(F.explode(F.from_json("value", _ENTRY)).alias("model", "p"))
     return entries.select("model", F.col("p.input_cost_per_token").alias("input_price"),
                           F.col("p.output_cost_per_token").alias("output_price"),

@@ -42,6 +42,10 @@ class Tables:
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return (fs, path) if fs.exists(path) else (fs, None)
 
+    def exists(self, name: str) -> bool:
+        """Whether the table was ever written."""
+        return self._folder(name)[1] is not None
+
     def _versions(self, name: str) -> list[int]:
         fs, path = self._folder(name)
         names = [s.getPath().getName() for s in fs.listStatus(path)] if path else []

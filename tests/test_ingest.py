@@ -12,6 +12,7 @@ from sessionmeter.ingest import IngestOptions, LogSources, backfill, ingest
 from sessionmeter.operators import correlation as co
 from sessionmeter.operators.pricing import with_price
 from sessionmeter.plans.overview import overview_daily
+from sessionmeter.plans.upkeep import stored_checks
 from sessionmeter.sources.prices import price_table
 from sessionmeter.sources.tables import Tables
 from sessionmeter.streaming.correlation import correlate_stream
@@ -52,8 +53,12 @@ def world(spark, tmp_path):
 
 def test_ingest_then_nothing_new_then_growth(world):
     tables, sources = world["tables"], world["sources"]
+    assert {r.verdict for r in stored_checks(tables, 1_746_200_000_000).collect()} == {"missing"}
     report = ingest(tables, sources, 1_746_200_000_000).first()
-    assert (report.files_processed, report.errors) == (4, 2)
+    assert (report.files_processed, report.errors) == (4, 2) and 0 < report.duration_ms < 600_000
+    checks = {r.table_name: (r.row_count, r.verdict) for r in stored_checks(tables, 1_746_200_000_000).collect()}
+    assert checks.keys() == {"session", "model_call", "tool_call", "message", "daily_activity"}
+    assert checks["session"] == (2, "ok") and checks["daily_activity"] == (tables.read("daily_activity").count(), "ok")
     want = {"session": 2, "message": 2, "model_call": 4, "tool_call": 1, "tool_call_event": 2, "project": 2,
             "desktop_log_event": 2, "worktree_event": 2, "automation_event": 1, "reject": 2, "ingest_state": 4}
     assert counts(tables, *want) == want

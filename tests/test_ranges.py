@@ -56,3 +56,12 @@ def test_filter_reaches_the_scan(spark, tmp_path):
     assert df.count() == 11
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(ts,10)" in plan and "LessThanOrEqual(ts,20)" in plan
+
+
+def test_a_day_of_a_zone_and_overlap():
+    assert DateRange.of_day("2025-01-02") == DateRange(ms(2025, 1, 2), ms(2025, 1, 3) - 1)
+    spring = DateRange.of_day("2025-03-30", "Europe/Berlin")  # 23 hours
+    assert spring == DateRange(ms(2025, 3, 29, 23), ms(2025, 3, 30, 22) - 1)
+    day = DateRange(10, 20)
+    assert [day.overlaps(DateRange(*r)) for r in ((20, 30), (21, 30), (None, 10), (None, 9), (None, None), (12, 13))] == [
+        True, False, True, False, True, True]
