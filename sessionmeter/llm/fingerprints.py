@@ -20,11 +20,13 @@ empty table gives an empty one; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, slices
@@ -158,34 +160,46 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
+def _constant(values: list[int | None], kind: str = "bigint") -> Column:
+    """An array column that is one literal of the plan, however long it is."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _count_up_to(bounds: list[int], value: Column) -> Column:
+    """Number of sorted bounds not above a value: first of every so many, then within those that follow."""
+    width = max(1, math.isqrt(len(bounds)))
+    reached = lambda among: F.size(F.filter(among, lambda b: b <= value))
+    whole = reached(_constant(bounds[width - 1::width])) * width
+    return whole + reached(F.slice(_constant(bounds), whole + 1, width))
+
+
 def _in_order(docs: DataFrame) -> tuple[DataFrame, int]:
     """Texts in ranges of doc_id, each range ending with the first text of the next one.
 
     Range bounds are quantiles of doc_id (their number is that of the shuffle partitions), and
-    one row per range tells where the next begins, so each text moves once. Rows without a
-    doc_id come first; rows with one doc_id go by their text.
+    one number per range tells where the next begins, so each text moves once. Both are array
+    literals: the plan does not grow with the number of ranges. Rows without a doc_id come
+    first; rows with one doc_id go by their text.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = rows.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)
+    bounds = rows.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
     bounds = sorted({int(b) for b in bounds})
-    # Count of bounds not above doc_id: where a binary search would put it.
-    place = F.when(F.col("doc_id").isNull(), 0)
-    place = place.otherwise(F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("doc_id")))) if bounds else F.lit(0)
-    rows = rows.withColumn("part", place)
-    firsts = sorted((r["part"], r["first"]) for r in rows.groupBy("part").agg(
-        F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first")).select("part", "first.doc_id").withColumnRenamed(
-            "doc_id", "first").collect())  # one row per range
-    copies = F.array(F.struct(F.col("part"), F.lit(False).alias("extra")))
-    for i, (part, first) in enumerate(firsts):
-        before = firsts[i - 1][0]
-        also = F.struct(F.lit(before).alias("part"), F.lit(True).alias("extra"))
-        copies = F.when((F.col("part") == part) & F.col("doc_id").eqNullSafe(F.lit(first).cast("long")), F.array(
-            F.struct(F.col("part"), F.lit(False).alias("extra")), also)).otherwise(copies)
-    out = rows.select("doc_id", "text", F.inline(copies))
     count = len(bounds) + 1
-    return out.repartitionById(count, F.col("part").cast("int")).sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "text"), count
+    place = F.when(F.col("doc_id").isNull(), 0).otherwise(_count_up_to(bounds, F.col("doc_id")) if bounds else F.lit(0))
+    # Generated, so that the place is computed once and not in every expression that names it.
+    rows = rows.select("*", F.explode(F.array(place)).alias("part"))
+    first = F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"]
+    firsts = dict(rows.groupBy("part").agg(first).collect())  # one row per range
+    filled = sorted(firsts)
+    before = dict(zip(filled, filled[-1:] + filled[:-1], strict=True))  # the last text is followed by the first
+    of = lambda found, kind="bigint": F.element_at(_constant([found.get(i) for i in range(count)], kind), F.col("part") + 1)
+    own = F.struct(F.col("part"), F.lit(False).alias("extra"))
+    also = F.struct(of(before, "int").alias("part"), F.lit(True).alias("extra"))
+    begins = of(firsts).eqNullSafe(F.col("doc_id"))
+    out = rows.select("doc_id", "text", F.inline(F.when(begins, F.array(own, also)).otherwise(F.array(own))))
+    return out.repartitionById(count, F.col("part")).sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "text"), count
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:

@@ -70,8 +70,15 @@ def test_empty_tables(spark, nothing):
     assert urls.judge_urls(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES).collect() == []
 
 
-def test_edited_fingerprints(docs):
-    found = sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.edited_pairs(docs).collect()), key=str)
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_edited_fingerprints(spark, docs, parts):
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        pairs = fingerprints.edited_pairs(docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    found = sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in pairs.collect()), key=str)
     rows = sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     texts = [t or "" for _, t in rows]
     want = sorted(((d, len(t), sha(fingerprints.edited(t, texts[(i + 1) % len(texts)])))
@@ -79,6 +86,23 @@ def test_edited_fingerprints(docs):
     assert found == want
 
 
+def test_the_order_of_many_ranges_is_a_small_plan(spark):
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    sizes = []
+    try:
+        for parts in (50, 3000):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            rows = spark.range(20_000).selectExpr("id * 7 doc_id", "'t' text")
+            ordered, count = fingerprints._in_order(rows)
+            assert count > 0.9 * parts
+            plan = ordered._jdf.queryExecution().analyzed()
+            # Every expression is named in the text of the plan; the two constant texts of numbers are taken out.
+            sizes.append(len(re.sub(r"null|[0-9,]+", "", plan.toString())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert abs(sizes[0] - sizes[1]) < 200
+
+
 def test_fingerprints_follow_likeness(docs):
     by = {}
     for r in fingerprints.fingerprints(docs).collect():
