@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_MS, HOUR_MS, call_ok
+from ..ranges import DateRange
 from ..runtime import checkpointed
 
 
@@ -97,10 +98,11 @@ def window_totals(windows: DataFrame, calls: DataFrame) -> DataFrame:
 def calls_of_session(windows: DataFrame, calls: DataFrame, session_id: str) -> DataFrame:
     """Calls of one session: its own, and those without a session inside its window.
 
-    The window is one row, so the residual comparison runs against a broadcast of it.
+    The window is one row, read first, so its bounds reach the scan of the calls (and choose its days).
     """
     one = windows.filter(F.col("session_id") == session_id).agg(
-        F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end"))
-    open_calls = calls.filter(F.col("session_id").isNull()).join(
-        F.broadcast(one), F.col("start_ts").between(F.col("window_start"), F.col("window_end")), "left_semi")
-    return calls.filter(F.col("session_id") == session_id).unionByName(open_calls)
+        F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end")).first()
+    own = calls.filter(F.col("session_id") == session_id)
+    if one["window_start"] is None:
+        return own
+    return own.unionByName(DateRange(*one).filter(calls.filter(F.col("session_id").isNull()), "start_ts"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.git import canonical_name, merge_key
 from ..functions.scalars import call_ok, cost, count_if, day_text, or_zero, ratio, uncached
 from ..functions.text import contains_ignoring_case
-from ..operators.ordered import first_per_key
+from ..operators.ordered import FEW, first_per_key
 from ..operators.pages import page
 from ..operators.pricing import with_price
 from ..ranges import DateRange, Page
+from ..runtime import checkpointed
 from .usage import calls_per_session_model
 
 SORT_KEYS = {"last_seen": "last_seen_ts", "first_seen": "first_seen_ts", "name": "name",
@@ -131,23 +134,40 @@ def _in_group(df: DataFrame, group: DataFrame) -> DataFrame:
     return df.join(group.select(F.col("id").alias("project_id")), "project_id", "left_semi")
 
 
+def _few_or_all(found: DataFrame) -> DataFrame:
+    """A stored frame, marked for a broadcast if it has few rows."""
+    kept = checkpointed(found)
+    return F.broadcast(kept) if kept.count() <= FEW else kept
+
+
+def _group_sessions(session: DataFrame, group: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Sessions of a group, found once, and a function that cuts facts down to theirs before anything is summed.
+
+    If they are many, facts are shuffled by session, which is how they are summed too.
+    """
+    own = _few_or_all(_in_group(session, group).select("id", "project_id", "ts"))
+    ids = own.select(F.col("id").alias("session_id"))
+    return own, lambda facts: facts.join(ids, "session_id", "left_semi")
+
+
 def project_branches(group: DataFrame, project_ref: DataFrame, session: DataFrame,
                      rng: DateRange = DateRange()) -> DataFrame:
     """Refs of a project group with session count and commit, newest first.
 
     A session belongs to the ref it names, or, naming none, to every ref of its project whose
-    branch is open or its own. Both kinds are counted before they meet the refs, so nothing
-    fans out.
+    branch is open or its own. Sessions of other groups are left out first, and both kinds are
+    counted before they meet the refs, so nothing fans out.
     """
-    refs = _in_group(project_ref, group)
+    refs = _few_or_all(_in_group(project_ref, group))
     sessions = rng.filter(session)
     facts = [F.count("*").alias("n"), F.max("git_commit").alias("newest")]
-    named = sessions.filter(F.col("project_ref_id").isNotNull()).groupBy(F.col("project_ref_id").alias("id")).agg(*facts)
-    loose = sessions.filter(F.col("project_ref_id").isNull() & F.col("project_id").isNotNull())
+    known = refs.select(F.col("id").alias("project_ref_id"))
+    named = sessions.join(known, "project_ref_id", "left_semi").groupBy(F.col("project_ref_id").alias("id")).agg(*facts)
+    loose = _in_group(sessions.filter(F.col("project_ref_id").isNull()), group)
     any_branch = loose.groupBy("project_id").agg(*facts)
     by_branch = loose.filter(F.col("git_branch").isNotNull()).groupBy(
         "project_id", F.col("git_branch").alias("branch")).agg(*facts)
-    counted = (named.join(refs.select("id"), "id").select("id", "n", "newest")
+    counted = (named.select("id", "n", "newest")
                .unionByName(refs.filter(F.col("branch").isNull()).join(any_branch, "project_id").select("id", "n", "newest"))
                .unionByName(refs.join(by_branch, ["project_id", "branch"]).select("id", "n", "newest"))
                .groupBy("id").agg(F.sum("n").alias("n"), F.max("newest").alias("newest")))
@@ -159,7 +179,8 @@ def project_branches(group: DataFrame, project_ref: DataFrame, session: DataFram
 def project_models(group: DataFrame, session: DataFrame, model_call: DataFrame, price: DataFrame,
                    rng: DateRange = DateRange()) -> DataFrame:
     """Tokens and cost per model of a project group."""
-    usage = _model_usage(_in_group(session, group), model_call, rng)
+    own, theirs = _group_sessions(session, group)
+    usage = _model_usage(own, theirs(model_call), rng)
     named = F.when(F.col("model") != "", F.col("model"))
     return with_price(usage, price).select(
         F.coalesce(named, F.lit("Unknown")).alias("model"), F.col("total_tokens").alias("tokens"),
@@ -176,13 +197,13 @@ def project_header(project_id: str, group: DataFrame, session: DataFrame, model_
                    tool_call: DataFrame, price: DataFrame, rng: DateRange = DateRange()) -> DataFrame:
     """The one row that heads a project's detail view."""
     tag = lambda df: df.withColumn("k", F.lit(1))
-    own = _in_group(session, group)
-    usage = with_price(_model_usage(own, model_call, rng), price).agg(
+    own, theirs = _group_sessions(session, group)
+    usage = with_price(_model_usage(own, theirs(model_call), rng), price).agg(
         or_zero(F.sum("calls")).alias("model_call_count"), or_zero(F.sum("total_tokens")).alias("total_tokens"),
         or_zero(F.sum("input_tokens")).alias("input_tokens"),
         or_zero(F.sum("cached_input_tokens")).alias("cached_input_tokens"),
         F.coalesce(F.sum(_usage_cost()), F.lit(0.0)).alias("estimated_cost"))
-    tools = _tool_usage(own, tool_call, rng, "project_id").agg(
+    tools = _tool_usage(own, theirs(tool_call), rng, "project_id").agg(
         or_zero(F.sum("tool_call_count")).alias("tool_call_count"), or_zero(F.sum("ok_count")).alias("ok_count"))
     span = group.agg(F.count("*").alias("members"), F.min("first_seen_ts").alias("first_seen_ts"),
                      F.max("last_seen_ts").alias("last_seen_ts"))

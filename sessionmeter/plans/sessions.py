@@ -162,10 +162,9 @@ def session_medians(session: DataFrame, model_call: DataFrame, price: DataFrame,
              .agg(F.sum(cost(F.col("fresh"), F.col("cached"), F.col("produced"))).alias("cost")))
     facts = (rng.filter(session).select(F.col("id").alias("session_id"), day_text(F.col("ts")).alias("date"))
              .join(usage, "session_id", "left").join(spent, "session_id", "left")
-             .select(F.explode(F.array("date", F.lit("all"))).alias("date"), or_zero(F.col("calls")).alias("calls"),
-                     or_zero(F.col("tokens")).alias("tokens"), F.coalesce("cost", F.lit(0.0)).alias("cost"), "duration"))
+             .select("date", or_zero(F.col("calls")).alias("calls"), or_zero(F.col("tokens")).alias("tokens"), F.coalesce("cost", F.lit(0.0)).alias("cost"), "duration"))
     measures = ["calls", "tokens", "cost", "duration"]
-    medians = exact_medians(facts, "date", measures)
+    medians = exact_medians(facts, "date", measures, total="all")
     return medians.groupBy(F.when(F.col("date") != "all", F.col("date")).alias("date")).agg(*[
         F.coalesce(F.max(F.when(F.col("measure") == m, F.col("median"))), F.lit(0.0)).alias(f"median_{m}")
         for m in measures])

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from sessionmeter.functions import git, text
 from sessionmeter.functions.scalars import day_text
-from sessionmeter.operators.attribution import window_totals
+from sessionmeter.operators.attribution import calls_of_session, window_totals
 from sessionmeter.operators.medians import exact_medians
 from sessionmeter.operators.ordered import carry_forward, clamped_balance, first_per_key, with_next
 from sessionmeter.operators.pages import page, top_k
+from sessionmeter.plans.projects import project_models
 from sessionmeter.ranges import Page
 
 
@@ -75,6 +76,42 @@ def test_exact_medians(spark):
     assert got == {g: statistics.median([x for k, x in rows if k == g and x is not None]) for g in ("a", "b", "c", "one")}
 
 
+def test_medians_of_very_many_values_in_one_bin(spark):
+    """40,000 values within 0.01 % of each other, and a tail beside them: ranges are cut until ten values are left."""
+    rng = random.Random(6)
+    rows = [("dense", 1 + rng.random() / 10_000) for _ in range(39_999)] + [("dense", 1.00005 - 1e-15)]
+    rows += [("wide", rng.choice([-1, 1]) * 10 ** rng.uniform(-300, 300)) for _ in range(2001)] + [("same", 3.0)] * 500 + [("same", 3.0000000000000004)] * 500
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r["median"] for r in exact_medians(df, "g", ["x"], total="all", ranked=10).collect()}
+    want = {g: statistics.median([x for k, x in rows if k == g]) for g in ("dense", "wide", "same")}
+    assert got == {**want, "all": statistics.median([x for _, x in rows])}
+    assert exact_medians(df.limit(0), "g", ["x"], total="all").collect() == []
+
+
+def test_a_groups_facts_are_cut_down_before_they_are_summed(spark):
+    project = spark.createDataFrame([("p", "n", "/r", None, 1, 2)], "id string, name string, root_path string, git_remote string, first_seen_ts long, last_seen_ts long")
+    session = spark.createDataFrame([("s", "p", 5), ("t", "q", 6)], "id string, project_id string, ts long")
+    calls = spark.createDataFrame([(s, "m", 5, 1, 1, 1, 1, 1) for s in ("s", "s", "t")], "session_id string, model string, ts long, input_tokens long, "
+                                  "cached_input_tokens long, output_tokens long, reasoning_tokens long, total_tokens long")
+    price = spark.createDataFrame([("m", 1.0, 1.0, 1.0)], "model string, input_price double, output_price double, cache_price double")
+    found = project_models(project, session, calls, price)
+    assert [tuple(r) for r in found.collect()] == [("m", 2, 6.0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftSemi") > plan.rindex("Aggregate [session_id")
+
+
+def test_a_sessions_window_reaches_the_scan(spark, tmp_path):
+    path, hour = str(tmp_path / "calls"), 3_600_000
+    rows = [("a", "s", 50 * hour), ("b", None, 51 * hour), ("c", None, 90 * hour), ("d", "t", 51 * hour)]
+    spark.createDataFrame(rows, "id string, session_id string, start_ts long").write.parquet(path)
+    windows = spark.createDataFrame([("s", 26 * hour, 75 * hour), ("t", 80 * hour, 99 * hour)], "session_id string, window_start long, window_end long")
+    found = calls_of_session(windows, spark.read.parquet(path), "s")
+    assert {r.id for r in found.collect()} == {"a", "b"}
+    scans = found._jdf.queryExecution().executedPlan().toString().replace("\n", " ")
+    assert f"GreaterThanOrEqual(start_ts,{26 * hour})" in scans and "Join" not in scans
+    assert {r.id for r in calls_of_session(windows, spark.read.parquet(path), "nobody").collect()} == set()
+
+
 def test_first_per_key_limits_before_the_shuffle(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(1000).selectExpr("'same' as k", "id").write.parquet(path)
