@@ -15,25 +15,31 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _wrapped(text: Column) -> Column:
+def wrapped_json(text: Column) -> Column:
+    """A text read as the first element of an array whose second element is the end mark.
+
+    The parser stops after the first complete value; only if all of the text is one value, the mark is in its place.
+    """
     return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
 
 
-def _complete(wrapped: Column) -> Column:
-    return F.try_variant_get(wrapped, "$[1]", "string") == _END
+def whole_json(wrapped: Column) -> Column:
+    """Whether all of a wrapped text is one JSON value."""
+    return F.coalesce(F.try_variant_get(wrapped, "$[1]", "string") == _END, F.lit(False))
 
 
-def parse_json(text: Column) -> Column:
-    """The JSON value of a whole text, null unless all of it is one JSON value.
+def unwrapped_json(wrapped: Column) -> Column:
+    """The value of a wrapped text that is whole."""
+    return F.try_variant_get(wrapped, "$[0]", "variant")
 
-    The parser stops after the first complete value, so the text is read as the first
-    element of an array whose second element must then be the end mark.
-    """
-    return let(_wrapped(text), lambda w: F.when(_complete(w), F.try_variant_get(w, "$[0]", "variant")))
+
+def parse_json(text: Column) -> Column:
+    """The JSON value of a whole text, null unless all of it is one JSON value."""
+    return let(wrapped_json(text), lambda w: F.when(whole_json(w), unwrapped_json(w)))
 
 
 def is_json(text: Column) -> Column:
-    return F.coalesce(_complete(_wrapped(text)), F.lit(False))
+    return whole_json(wrapped_json(text))
 
 
 def field(doc: Column, path: str) -> Column:
@@ -41,6 +47,14 @@ def field(doc: Column, path: str) -> Column:
     return F.try_variant_get(doc, "$." + path, "variant")
 
 
+def members(doc: Column, *names: str, path: str = "$") -> Column:
+    """Named members of an object as a struct of values, read in one pass; null unless it is an object.
+
+    A member is SQL null when the key is absent, variant null for JSON null.
+    """
+    return F.try_variant_get(doc, path, "struct<" + ", ".join(f"`{n}`: variant" for n in names) + ">")
+
+
 def first_where(values: list[Column], test) -> Column:
     return F.get(F.filter(F.array(*values), test), F.lit(0))
 
@@ -50,18 +64,18 @@ def holds(value: Column) -> Column:
     return value.isNotNull() & ~F.is_variant_null(value)
 
 
-def some(value: Column) -> Column:
-    """The value unless it is JSON null."""
-    return first_where([value], holds)
+def present(value: Column) -> Column:
+    """A plain column's value unless it is JSON null."""
+    return F.when(~F.is_variant_null(value), value)
 
 
-def fields(doc: Column, *paths: str) -> list[Column]:
-    return [field(doc, p) for p in paths]
+def first_present(*values: Column) -> Column:
+    """First of several plain columns which holds something other than null."""
+    return F.coalesce(*[present(v) for v in values])
 
 
-def first_of(doc: Column, *paths: str) -> Column:
-    """First of several keys which holds something other than null."""
-    return first_where(fields(doc, *paths), holds)
+def fields(doc: Column, *paths: str) -> list[Column]:
+    return [field(doc, p) for p in paths]
 
 
 def kind(value: Column) -> Column:
@@ -77,12 +91,13 @@ def is_number(value: Column) -> Column:
 
 
 def is_container(value: Column) -> Column:
-    return kind(value).rlike("^(OBJECT|ARRAY)")
+    return (F.try_variant_get(value, "$", "struct<>").isNotNull()
+            | F.try_variant_get(value, "$", "array<variant>").isNotNull())
 
 
-def container_of(doc: Column, *paths: str) -> Column:
-    """First of several keys which holds an object or array."""
-    return first_where(fields(doc, *paths), is_container)
+def first_container(*values: Column) -> Column:
+    """First of several plain columns which holds an object or array."""
+    return F.coalesce(*[F.when(is_container(v), v) for v in values])
 
 
 def raw_text(value: Column) -> Column:
@@ -90,22 +105,26 @@ def raw_text(value: Column) -> Column:
     return let(value, lambda v: F.when(is_text(v), F.try_variant_get(v, "$", "string")))
 
 
-def _plain_text(v: Column) -> Column:
+def is_whole(value: Column) -> Column:
+    return kind(value) == "BIGINT"
+
+
+def _whole(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "bigint")
+
+
+def text_of(v: Column) -> Column:
+    """As :func:`to_text`, of a plain column."""
     number = F.try_variant_get(v, "$", "double")
     whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
-    return (F.when(is_text(v), F.nullif(F.try_variant_get(v, "$", "string"), F.lit("")))
-            .when(is_number(v), F.when(whole, number.cast("bigint").cast("string"))
-                  .otherwise(F.try_variant_get(v, "$", "string"))))
+    text = F.try_variant_get(v, "$", "string")
+    return (F.when(is_text(v), F.when(strip(text) != "", text)).when(is_whole(v), _whole(v).cast("string"))
+            .when(is_number(v), F.when(whole, number.cast("bigint").cast("string")).otherwise(text)))
 
 
 def to_text(value: Column) -> Column:
     """A non-blank string, or a number as text; anything else is null."""
-    return let(let(value, _plain_text), lambda text: F.when(strip(text) != "", text))
-
-
-def to_texts(*values: Column) -> Column:
-    """First of several values which has a text."""
-    return F.coalesce(*[to_text(v) for v in values])
+    return let(value, text_of)
 
 
 def text_number(text: Column) -> Column:
@@ -114,10 +133,15 @@ def text_number(text: Column) -> Column:
     return let(strip(text), lambda t: F.when(t == "", F.lit(0.0)).when(t.rlike(plain), t.try_cast("double")))
 
 
+def number_of(v: Column) -> Column:
+    """As :func:`to_number`, of a plain column."""
+    return (F.when(is_whole(v), _whole(v).cast("double")).when(is_number(v), F.try_variant_get(v, "$", "double"))
+            .when(is_text(v), text_number(F.try_variant_get(v, "$", "string"))))
+
+
 def to_number(value: Column) -> Column:
     """A finite number, or a string holding one; else null."""
-    return let(value, lambda v: F.when(is_number(v), F.try_variant_get(v, "$", "double"))
-               .when(is_text(v), text_number(F.try_variant_get(v, "$", "string"))))
+    return let(value, number_of)
 
 
 def instant(text: Column) -> Column:
@@ -128,7 +152,13 @@ def instant(text: Column) -> Column:
     return let(strip(text), read)
 
 
+def instant_of(v: Column) -> Column:
+    """As :func:`to_instant`, of a plain column."""
+    return (F.when(is_whole(v), F.floor(_whole(v).cast("double")).cast("bigint"))
+            .when(is_number(v), F.floor(F.try_variant_get(v, "$", "double")).cast("bigint"))
+            .when(is_text(v), instant(F.try_variant_get(v, "$", "string"))))
+
+
 def to_instant(value: Column) -> Column:
     """Milliseconds from a number or a text."""
-    return let(value, lambda v: F.when(is_number(v), F.floor(F.try_variant_get(v, "$", "double")).cast("bigint"))
-               .when(is_text(v), instant(F.try_variant_get(v, "$", "string"))))
+    return let(value, instant_of)

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dedup_key
 from ..functions.staging import staged
-from ..functions.variants import (container_of, field, fields, first_of, first_where, holds, let, raw_text,
-                                  to_instant, to_number, to_text, to_texts)
+from ..functions.variants import (field, first_container, first_present, instant_of, let, members, number_of, raw_text,
+                                  text_of)
 from ..runtime import checkpointed
 from .ordered import carry_forward
 
 TIME_KEYS = ("ts", "timestamp", "time", "created_at", "createdAt")
 SESSION_KEYS = ("session_id", "sessionId", "session.id", "session.session_id", "id")
+TYPE_KEYS = ("type", "kind", "event_type", "eventType")
 ROLES = ("user", "assistant", "system")
 
 # Key synonyms of the token counts.
@@ -30,48 +31,85 @@ TOKEN_KEYS = {
 }
 
 
-def line_type(doc: Column) -> Column:
-    return F.lower(to_texts(*fields(doc, "type", "kind", "event_type", "eventType")))
-
-
-def session_id(doc: Column) -> Column:
-    return to_text(first_of(doc, *SESSION_KEYS))
-
-
-def timestamp(doc: Column) -> Column:
-    return to_instant(first_of(doc, *TIME_KEYS))
+# Key synonyms of a session line's fields.
+META_KEYS = {
+    "cwd": ("cwd", "working_dir", "workingDirectory", "project", "repo"),
+    "originator": ("originator", "user", "actor", "owner"),
+    "cli_version": ("cli_version", "cliVersion", "version", "client_version", "clientVersion"),
+    "model_provider": ("model_provider", "modelProvider", "provider"),
+    "git_branch": ("git_branch", "gitBranch", "git.branch"),
+    "git_commit": ("git_commit", "gitCommit", "git.commit", "git.sha"),
+}
+META = ("ts", *META_KEYS)
+PARTS = {"session_meta": ("session_meta", "meta", "session", "payload"), "turn_context": ("context", "turn_context", "payload"),
+         "response_item": ("item",), "event_msg": ("payload", "event.payload", "message.payload")}
+_COUNTS = tuple(key for keys in TOKEN_KEYS.values() for key in keys)
+#: Keys that are read of a line and of the object holding its fields.
+_SHARED = (*TYPE_KEYS, *SESSION_KEYS, *TIME_KEYS, *_COUNTS, "model", "model_name", "model_provider", "role", "content", "message",
+           "message_id", "duration_ms")
+_heads = lambda *paths: tuple(dict.fromkeys(p.partition(".")[0] for p in paths))
+TOP = _heads(*_SHARED, *[path for paths in PARTS.values() for path in paths])
+BODY = _heads(*_SHARED, *[path for paths in META_KEYS.values() for path in paths], "modelId", "info", "usage")
+
+
+def _read(of: str, *paths: str) -> list[Column]:
+    """Values by path; the first keys are members of a struct."""
+    def one(path):
+        head, _, rest = path.partition(".")
+        return field(F.col(of)[head], rest) if rest else F.col(of)[head]
+    return [one(p) for p in paths]
 
 
 def routed(good: DataFrame) -> DataFrame:
-    """Add ``kind``, the extractor a line belongs to, and ``body``, the object holding its fields.
+    """Add ``kind``, the extractor a line belongs to, and the members of ``top``, the line, and ``body``, the object
+    holding its fields.
 
-    ``part`` is the nested object, null where the fields stand in the line itself.
+    ``part`` is the nested object, null where the fields stand in the line itself. Steps are plain projections, which
+    are compiled; the optimizer keeps them apart, since each result is named more than once.
     """
-    doc, kind = F.col("doc"), F.col("kind")
-    chain = F.lit(None).cast("string")
-    for name in reversed(("session_meta", "turn_context", "response_item", "event_msg")):
+    chain, part = F.lit(None).cast("string"), F.lit(None).cast("variant")
+    for name in reversed(tuple(PARTS)):
         chain = F.when(F.col("type").contains(name), F.lit(name)).otherwise(chain)
-    part = (F.when(kind == "session_meta", container_of(doc, "session_meta", "meta", "session", "payload"))
-            .when(kind == "turn_context", container_of(doc, "context", "turn_context", "payload"))
-            .when(kind == "response_item", container_of(doc, "item"))
-            .when(kind == "event_msg", container_of(doc, "payload", "event.payload", "message.payload")))
-    typed = staged(good, type=line_type(doc))
-    return staged(typed.withColumn("kind", chain).drop("type"), part=part).withColumn("body", F.coalesce("part", "doc"))
+        part = F.when(F.col("kind") == name, first_container(*_read("top", *PARTS[name]))).otherwise(part)
+    lines = good.withColumn("top", members(F.col("doc"), *TOP))
+    lines = lines.withColumn("type", F.lower(F.coalesce(*[text_of(v) for v in _read("top", *TYPE_KEYS)])))
+    lines = lines.withColumn("kind", chain).drop("type").withColumn("part", part)
+    return lines.withColumn("body", members(F.coalesce("part", "doc"), *BODY)).drop("doc")
 
 
 def typed_lines(good: DataFrame, keep_content: bool = False) -> DataFrame:
     """Everything the JSON of a line says, as typed columns; the document itself is dropped.
 
-    ``meta``, ``turn``, ``message`` and ``call`` are structs, each filled for its kind of line.
+    ``meta``, ``turn``, ``message`` and ``call`` are structs, each filled for its kind of line. Values are picked
+    in one step and converted in the next, so that each is looked up once.
     """
-    kind = F.col("kind")
-    return staged(
-        routed(good), own_session=F.coalesce(session_id(F.col("body")), session_id(F.col("doc"))),
-        meta=F.when(kind == "session_meta", _meta_fields()), turn=F.when(kind == "turn_context", _turn_fields()),
-        message=F.when(kind == "response_item", _message_fields(keep_content)),
-        call=F.when((kind == "event_msg") & F.col("part").isNotNull(), _call_fields())).select(
-        "file", "line", "mtime_ms", "kind", "own_session", "meta", "turn", "message", "call", *(
-            ["is_new"] if "is_new" in good.columns else []))
+    kind, kept = F.col("kind"), ["file", "line", "mtime_ms", "kind", *(["is_new"] if "is_new" in good.columns else [])]
+    told = F.lower(F.coalesce(*[text_of(v) for v in _read("body", "type", "event_type", "kind")])).contains("token_count")
+    lines = routed(good).withColumn("told", F.when((kind == "event_msg") & F.col("part").isNotNull(), told))
+    counted = lambda value, path="$": F.when(F.col("told"), members(value, *_COUNTS, path=path))
+    lines = lines.withColumns({
+        "last": counted(F.col("body")["info"], "$.last_token_usage"), "total": counted(F.col("body")["info"], "$.total_token_usage"),
+        "usage": counted(F.col("body")["usage"])})
+    picked = lines.select(
+        *kept, first_present(*_read("body", *SESSION_KEYS)).alias("own"), first_present(*_read("top", *SESSION_KEYS)).alias("outer"),
+        first_present(*_read("body", *TIME_KEYS)).alias("time"), first_present(*_read("top", *TIME_KEYS)).alias("outer_time"),
+        F.when(kind == "session_meta", _meta_values()).alias("meta"), F.when(kind == "turn_context", _turn_values()).alias("turn"),
+        F.when(kind == "response_item", _message_values()).alias("message"), F.when(F.col("told"), _call_values()).alias("call"))
+    ts = F.coalesce(instant_of(F.col("time")), instant_of(F.col("outer_time")), F.col("mtime_ms")).alias("ts")
+    filled = lambda name, *values: F.when(F.col(name).isNotNull(), F.struct(*values)).alias(name)
+    content = message_text(F.col("message")["content"]) if keep_content else F.lit(None).cast("string")
+    counts = [F.coalesce(number_of(F.col("call")[n]), F.lit(0)).cast("bigint").alias(n) for n in TOKEN_KEYS]
+    return picked.select(
+        "file", "line", "mtime_ms", "kind", F.coalesce(text_of(F.col("own")), text_of(F.col("outer"))).alias("own_session"),
+        filled("meta", ts, *_texts("meta", *META_KEYS)), filled("turn", *_texts("turn", "model", "model_provider")),
+        filled("message", F.lower(text_of(F.col("message")["role"])).alias("role"), ts, *_texts("message", "native_id"),
+               content.alias("content")),
+        filled("call", ts, *_texts("call", "model"), number_of(F.col("call")["took"]).cast("bigint").alias("took"),
+               *_texts("call", "native_id"), *counts), *kept[4:])
+
+
+def _texts(of: str, *names: str) -> list[Column]:
+    return [text_of(F.col(of)[n]).alias(n) for n in names]
 
 
 def _sets_session() -> Column:
@@ -123,29 +161,15 @@ def context_left(context: DataFrame) -> DataFrame:
     return each.groupBy("file", "session_id").agg(F.max("line").alias("line"), F.max_by("value", "line").alias("value"))
 
 
-META = ("ts", "cwd", "originator", "cli_version", "model_provider", "git_branch", "git_commit")
-
-
-def _meta_fields() -> Column:
-    """Fields of session lines, needed early because the id may be the record's own key."""
-    body, doc = F.col("body"), F.col("doc")
-    one = lambda *keys: to_text(first_of(body, *keys))
-    values = (F.coalesce(timestamp(body), timestamp(doc), F.col("mtime_ms")),
-              one("cwd", "working_dir", "workingDirectory", "project", "repo"),
-              one("originator", "user", "actor", "owner"),
-              one("cli_version", "cliVersion", "version", "client_version", "clientVersion"),
-              one("model_provider", "modelProvider", "provider"),
-              one("git_branch", "gitBranch", "git.branch"),
-              one("git_commit", "gitCommit", "git.commit", "git.sha"))
-    return F.struct(*[value.alias(name) for name, value in zip(META, values)])
+def _meta_values() -> Column:
+    return F.struct(*[first_present(*_read("body", *paths)).alias(n) for n, paths in META_KEYS.items()])
 
 
-def _turn_fields() -> Column:
-    body, doc = F.col("body"), F.col("doc")
-    model = first_where(fields(body, "model", "model_name", "modelId") + fields(doc, "model"), holds)
-    provider = first_where(fields(body, "model_provider", "modelProvider", "provider", "model.provider")
-                           + fields(doc, "model_provider"), holds)
-    return F.struct(to_text(model).alias("model"), to_text(provider).alias("model_provider"))
+def _turn_values() -> Column:
+    model = first_present(*_read("body", "model", "model_name", "modelId"), *_read("top", "model"))
+    provider = first_present(*_read("body", "model_provider", "modelProvider", "provider", "model.provider"),
+                             *_read("top", "model_provider"))
+    return F.struct(model.alias("model"), provider.alias("model_provider"))
 
 
 def message_text(content: Column) -> Column:
@@ -157,36 +181,25 @@ def message_text(content: Column) -> Column:
     return let(content, lambda c: F.coalesce(raw_text(c), joined(c), held(c)))
 
 
-def _message_fields(keep_content: bool) -> Column:
-    item, doc = F.col("body"), F.col("doc")
-    role = to_text(first_where(fields(item, "role") + fields(doc, "role", "payload.role"), holds))
-    said = first_where(fields(item, "content") + fields(doc, "content", "payload.content")
-                       + fields(item, "message.content") + fields(doc, "message.content"), holds)
-    native = first_where(fields(item, "message_id", "id") + fields(doc, "message_id"), holds)
-    content = message_text(said) if keep_content else F.lit(None).cast("string")
-    return F.struct(F.lower(role).alias("role"),
-                    F.coalesce(timestamp(item), timestamp(doc), F.col("mtime_ms")).alias("ts"),
-                    to_text(native).alias("native_id"), content.alias("content"))
+def _message_values() -> Column:
+    role = first_present(*_read("body", "role"), *_read("top", "role", "payload.role"))
+    said = first_present(*_read("body", "content"), *_read("top", "content", "payload.content"),
+                         *_read("body", "message.content"), *_read("top", "message.content"))
+    native = first_present(*_read("body", "message_id", "id"), *_read("top", "message_id"))
+    return F.struct(role.alias("role"), native.alias("native_id"), said.alias("content"))
 
 
-def _call_fields() -> Column:
-    """Fields of a token-count message, null for other events.
+def _call_values() -> Column:
+    """Values of a token-count message.
 
     The first source which has one of a count's keys decides it, even if the value is unusable.
     """
-    doc, payload = F.col("doc"), F.col("part")
-    either = lambda key: first_where([field(payload, key), field(doc, key)], holds)
-    paths = [(payload, "info.last_token_usage."), (payload, "info.total_token_usage."), (payload, "usage."),
-             (payload, ""), (doc, "")]
-    counts = {name: to_number(F.coalesce(*[field(source, prefix + key) for source, prefix in paths for key in keys]))
+    either = lambda key: first_present(*_read("body", key), *_read("top", key))
+    counts = {name: F.coalesce(*[F.col(source)[key] for source in ("last", "total", "usage", "body", "top") for key in keys])
               for name, keys in TOKEN_KEYS.items()}
-    model = first_where(fields(payload, "model") + fields(doc, "model", "model_name"), holds)
-    row = F.struct(F.coalesce(timestamp(payload), timestamp(doc), F.col("mtime_ms")).alias("ts"),
-                   to_text(model).alias("model"), to_number(either("duration_ms")).cast("bigint").alias("took"),
-                   to_text(either("id")).alias("native_id"),
-                   *[F.coalesce(c, F.lit(0)).cast("bigint").alias(n) for n, c in counts.items()])
-    told = F.lower(to_texts(*fields(payload, "type", "event_type", "kind"))).contains("token_count")
-    return F.when(told, row)
+    return F.struct(first_present(*_read("body", "model"), *_read("top", "model", "model_name")).alias("model"),
+                    either("duration_ms").alias("took"), either("id").alias("native_id"),
+                    *[c.alias(n) for n, c in counts.items()])
 
 
 def _sourced(df: DataFrame, *columns) -> DataFrame:

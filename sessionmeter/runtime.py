@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 # allowDuplicateKeys: a repeated JSON key keeps its last value instead of failing.
 # LAST_WIN: the same for key=value arguments.
+# hugeMethodLimit: the JVM compiles no method above 8,000 bytes; Spark then evaluates the steps in smaller ones.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -15,6 +16,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 # Checkpoint files go when nothing refers to them; read when the session's context starts.
 CLEANING = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
