@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import git, text as tx
+from ..functions.staging import staged
 from ..operators import correlation, desktoplog, merging, records
 from ..operators.toollog import tool_log_events, tool_log_records
 from ..sources.jsonl import parse_jsonl
@@ -46,7 +47,8 @@ def session_log(spark, d) -> DataFrame:
                              provider=F.col("model_provider"))))
     place = lambda k: (F.concat(F.lit("log-"), (k % 500).cast("string")), F.floor(k / 500) * 128)
     file, base = place(key)
-    heads = orders.select(file.alias("file"), base.alias("line"), meta.alias("value"))
+    # Lines are staged: a filter on them would else repeat all of their JSON, in methods too long to be compiled.
+    heads = staged(orders, value=meta).select(file.alias("file"), base.alias("line"), "value")
 
     calls = v.table(spark, d, "lineitem")
     from pyspark.sql import Window
@@ -72,7 +74,7 @@ def session_log(spark, d) -> DataFrame:
                  info=_struct(total_token_usage=_struct(input_tokens=i, cached_prompt_tokens=c, output_tokens=o,
                  reasoning_tokens=r)), id=_cat("call-", F.col("l_orderkey"), "-", F.col("rn"))))))
     file, base = place(F.col("l_orderkey"))
-    events = calls.select(file.alias("file"), (base + F.col("rn") * 2).alias("line"), event.alias("value"))
+    events = staged(calls, value=event).select(file.alias("file"), (base + F.col("rn") * 2).alias("line"), "value")
     context = _json(type=kind("turn_context"), turn_context=_struct(model_name=F.col("l_returnflag"), provider=F.lit("acme")))
     contexts = calls.filter("l_returnflag <> 'N'").select(file.alias("file"), (base + F.col("rn") * 2 - 1).alias("line"),
                                                           context.alias("value"))
