@@ -135,8 +135,10 @@ def delete_cascade(tables: dict[str, DataFrame], table: str, ids: DataFrame) ->
     for child, column in SET_NULL.get(table, {}).items():
         if child in out:
             order = out[child].columns
-            marked = out[child].join(gone.select(F.col("id").alias(column), F.lit(True).alias("_gone")), column, "left")
-            out[child] = marked.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(*order)
+            # Rows without a reference have none to lose; in the join they would all meet in one task.
+            free, bound = out[child].filter(F.col(column).isNull()), out[child].filter(F.col(column).isNotNull())
+            marked = bound.join(gone.select(F.col("id").alias(column), F.lit(True).alias("_gone")), column, "left")
+            out[child] = free.unionByName(marked.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(*order))
     return out
 
 
