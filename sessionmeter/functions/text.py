@@ -52,9 +52,12 @@ def extract(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def strip_escapes(text: Column) -> Column:
+    plain = text
     for pattern in ESCAPES:
-        text = F.regexp_replace(text, pattern, "")
-    return text
+        plain = F.regexp_replace(plain, pattern, "")
+    # Every sequence begins with one of two characters; replacing also mends broken UTF-8.
+    whole = ~text.contains("\u001b") & ~text.contains("\u009b") & F.is_valid_utf8(text)
+    return F.when(whole, text).otherwise(plain)
 
 
 def redact(text: Column, home: str | None = None) -> Column:

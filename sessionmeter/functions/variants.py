@@ -100,9 +100,14 @@ def first_container(*values: Column) -> Column:
     return F.coalesce(*[F.when(is_container(v), v) for v in values])
 
 
+def text_in(v: Column) -> Column:
+    """As :func:`raw_text`, of a plain column."""
+    return F.when(is_text(v), F.try_variant_get(v, "$", "string"))
+
+
 def raw_text(value: Column) -> Column:
     """The value if it is a string, even a blank one."""
-    return let(value, lambda v: F.when(is_text(v), F.try_variant_get(v, "$", "string")))
+    return let(value, text_in)
 
 
 def is_whole(value: Column) -> Column:
@@ -129,8 +134,17 @@ def to_text(value: Column) -> Column:
 
 def text_number(text: Column) -> Column:
     """Number written as text; blank is 0, anything else that is no number is null."""
+    return let(strip(text), _stripped_number)
+
+
+def number_in(text: Column) -> Column:
+    """As :func:`text_number`, of a plain column."""
+    return _stripped_number(strip(text))
+
+
+def _stripped_number(t: Column) -> Column:
     plain = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-    return let(strip(text), lambda t: F.when(t == "", F.lit(0.0)).when(t.rlike(plain), t.try_cast("double")))
+    return F.when(t == "", F.lit(0.0)).when(t.rlike(plain), t.try_cast("double"))
 
 
 def number_of(v: Column) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.staging import staged
 from ..functions.text import extract, signature, strip, strip_escapes
-from ..functions.variants import (field, fields, first_where, holds, is_json, is_number, is_text, kind, let, parse_json,
-                                  raw_text, text_number)
+from ..functions.variants import (first_present, is_json, is_number, is_text, members, number_in, text_in, unwrapped_json,
+                                  whole_json, wrapped_json)
 from ..runtime import checkpointed
 from .ordered import carry_forward
 
@@ -39,22 +39,25 @@ STATUS_WORDS = {
     "exit": ("ok", "success", "succeeded", "complete", "completed", "done", "finished", "exit"),
     "failure": ("fail", "failed", "failure", "error", "errored"),
 }
-LINE_WORDS = {"failure": "failed|error", "exit": "completed|finished|success", "start": "started|running|pending"}
+LINE_WORDS = {"failure": ("failed", "error"), "exit": ("completed", "finished", "success"),
+              "start": ("started", "running", "pending")}
 
 
-def log_instant(text: Column, tz: str = "UTC") -> Column:
-    """Milliseconds of the first time in a line: ISO, else date and time in the zone of the log."""
+def _named(text: Column, pattern: str) -> Column:
+    """First match of a group that is never empty."""
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+
+
+def log_instant(iso: Column, plain: Column, tz: str = "UTC") -> Column:
+    """Milliseconds of the first time in a line: ISO, else date and time in the zone of the log. Both are plain columns."""
     def local(stamp):
         wall = stamp.try_cast("timestamp_ntz")
         utc = wall if tz == "UTC" else F.convert_timezone(F.lit(tz), F.lit("UTC"), wall)
         return F.timestamp_diff("MILLISECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), utc)
 
-    def iso(stamp):
-        zoned = F.regexp_replace(stamp, r"([+-]\d{2})(\d{2})$", "$1:$2")
-        return F.when(stamp.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & stamp.contains("T") & stamp.rlike(r":\d{2}(\.\d+)?(Z|[+-])"),
-                      F.unix_millis(zoned.try_cast("timestamp"))).otherwise(local(stamp))
-
-    return F.coalesce(let(extract(text, ISO_TIME), iso), let(extract(text, PLAIN_TIME), local))
+    zoned = F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    is_zoned = iso.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & iso.contains("T") & iso.rlike(r":\d{2}(\.\d+)?(Z|[+-])")
+    return F.coalesce(F.when(is_zoned, F.unix_millis(zoned.try_cast("timestamp"))).otherwise(local(iso)), local(plain))
 
 
 def _after(text: Column, mark: str) -> Column:
@@ -67,14 +70,20 @@ def _clean_prefix(rest: Column) -> Column:
 
 
 def _without_parentheses(text: Column) -> Column:
-    return let(text, lambda t: F.when(t.startswith("(") & t.endswith(")"),
-                                      strip(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t))
+    return F.when(text.startswith("(") & text.endswith(")"), strip(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
 
 
 def _opens_json(text: Column) -> Column:
     return text.startswith("{") | text.startswith("[")
 
 
+def _has_word(text: Column, words: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for word in words:
+        found = found | text.contains(word)
+    return found
+
+
 def tool_log_records(lines: DataFrame, tz: str = "UTC", max_lines: int = MAX_LINES) -> DataFrame:
     """Records ``file, line, ts, mark, text, tool_name, args`` from ``file, line, value``.
 
@@ -83,21 +92,27 @@ def tool_log_records(lines: DataFrame, tz: str = "UTC", max_lines: int = MAX_LIN
     """
     clean = staged(lines.select("file", "line", "value"), text=strip_escapes(F.col("value"))).drop("value")
     text = F.col("text")
-    mark = (F.when(text.rlike(TOOL_MARK), "tool").when(text.rlike(FUNCTION_MARK), "function")
-            .when(text.rlike(BACKGROUND_MARK) & F.lower(text).rlike("failed|error"), "background"))
-    starts = staged(clean, mark=mark).filter(F.col("mark").isNotNull())
-    named = F.when(F.col("mark") == "tool", extract(text, TOOL_MARK)).when(
-        F.col("mark") == "function", extract(text, FUNCTION_MARK))
+    # The plain search spares most lines the pattern.
+    mark = (F.when(text.contains("ToolCall:") & text.rlike(TOOL_MARK), "tool")
+            .when(text.contains("FunctionCall:") & text.rlike(FUNCTION_MARK), "function")
+            .when(text.contains("BackgroundEvent:") & text.rlike(BACKGROUND_MARK)
+                  & _has_word(F.lower(text), LINE_WORDS["failure"]), "background"))
+    starts = clean.filter(mark.isNotNull()).withColumn("mark", mark)
+    named = F.when(F.col("mark") == "tool", _named(text, TOOL_MARK)).when(
+        F.col("mark") == "function", _named(text, FUNCTION_MARK))
     rest = F.when(F.col("mark") == "tool", _after(text, TOOL_MARK)).when(
         F.col("mark") == "function", _after(text, FUNCTION_MARK))
-    starts = staged(starts, ts=log_instant(text, tz), tool_name=named, rest=_clean_prefix(rest)).filter(
-        F.col("ts").isNotNull())
-    starts = staged(starts, given=_without_parentheses(F.col("rest")))
-    starts = staged(starts, open_ended=F.coalesce(
+    # Plain projections are compiled; a column that the next one names more than once is not copied into it.
+    starts = starts.withColumns({"iso": _named(text, ISO_TIME), "plain": _named(text, PLAIN_TIME), "tool_name": named,
+                                 "rest": _clean_prefix(rest)})
+    starts = starts.withColumns({"ts": log_instant(F.col("iso"), F.col("plain"), tz),
+                                 "given": _without_parentheses(F.col("rest"))}).drop("iso", "plain")
+    starts = starts.withColumn("open_ended", F.coalesce(
         (F.col("rest") == "") | (_opens_json(F.col("given")) & ~is_json(F.col("given"))), F.lit(False)))
 
-    # Records are few among the lines, those that go on fewer; both are used more than once.
-    starts = checkpointed(starts)
+    # Records are few among the lines, those that go on fewer; both are used more than once. A filter before would
+    # be computed apart from the column it names.
+    starts = checkpointed(starts).filter(F.col("ts").isNotNull())
     longer = checkpointed(_continued(starts.filter("open_ended"), clean.filter(~text.rlike(TIMED_LINE)), max_lines))
     starts = starts.join(longer.select("file", "line", "long_args", "consumed"), ["file", "line"], "left")
     starts = starts.join(_consumed_lines(longer.filter("consumed > 0").select("file", "line", "consumed")),
@@ -107,13 +122,20 @@ def tool_log_records(lines: DataFrame, tz: str = "UTC", max_lines: int = MAX_LIN
 
 
 def _continued(starts: DataFrame, more: DataFrame, max_lines: int) -> DataFrame:
-    """Arguments of records that go on: the shortest run of lines that completes the JSON."""
-    wanted = starts.select("file", "line", "rest", "given", F.explode(F.sequence(F.lit(1), F.lit(max_lines))).alias("i"))
-    found = (wanted.withColumn("at", F.col("line") + F.col("i"))
-             .join(more.select("file", F.col("line").alias("at"), F.col("text").alias("next_text")), ["file", "at"], "left")
+    """Arguments of records that go on: the shortest run of lines that completes the JSON.
+
+    Lines meet as blocks of ``max_lines``, of which a record reaches into two at most.
+    """
+    block = lambda line: F.floor(line / F.lit(max_lines))
+    blocks = more.filter(F.col("text").isNotNull()).groupBy("file", block(F.col("line")).alias("at")).agg(
+        F.collect_list(F.struct("line", F.col("text").alias("next_text"))).alias("lines"))
+    reach = F.sequence(block(F.col("line") + 1), block(F.col("line") + max_lines))
+    below = F.transform("lines", lambda x: F.struct((x["line"] - F.col("line")).cast("int").alias("i"), x["next_text"].alias("next_text")))
+    found = (starts.select("file", "line", "rest", "given", F.explode(reach).alias("at"))
+             .join(blocks, ["file", "at"], "left")
              .groupBy("file", "line").agg(
                  F.first("rest").alias("rest"), F.first("given").alias("given"),
-                 F.sort_array(F.collect_list(F.when(F.col("next_text").isNotNull(), F.struct("i", "next_text")))).alias("near")))
+                 F.sort_array(F.flatten(F.collect_list(F.filter(below, lambda x: x["i"].between(1, max_lines))))).alias("near")))
     # Lines in an unbroken row after the record; a timed line ends it.
     run = F.transform(F.filter("near", lambda x, j: x["i"] == j + 1), lambda x: x["next_text"])
     found = staged(found, run=run)
@@ -156,54 +178,57 @@ def _consumed_lines(eaters: DataFrame) -> DataFrame:
 
 def _number(value: Column) -> Column:
     """A number, or a non-blank string holding one."""
-    return let(value, lambda v: F.when(is_number(v), F.try_variant_get(v, "$", "double")).when(
-        is_text(v), _text_as_number(F.try_variant_get(v, "$", "string"))))
+    return F.when(is_number(value), F.try_variant_get(value, "$", "double")).when(
+        is_text(value), _text_as_number(F.try_variant_get(value, "$", "string")))
 
 
 def _text_as_number(text: Column) -> Column:
-    return let(text, lambda t: F.when(strip(t) != "", text_number(t)))
+    return F.when(strip(text) != "", number_in(text))
 
 
 def _filled(text: Column) -> Column:
-    return let(text, lambda t: F.when(strip(t) != "", t))
+    return F.when(strip(text) != "", text)
 
 
 def _unquoted(text: Column) -> Column:
-    quoted = lambda t, q: t.startswith(q) & t.endswith(q)
-    return let(text, lambda t: F.when(quoted(t, '"') | quoted(t, "'"),
-                                      F.substring(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0)))).otherwise(t))
+    quoted = lambda q: text.startswith(q) & text.endswith(q)
+    return F.when(quoted('"') | quoted("'"), F.substring(text, F.lit(2), F.greatest(F.length(text) - 2, F.lit(0)))).otherwise(text)
 
 
 def _with_arguments(records: DataFrame) -> DataFrame:
     """Add the named arguments, from JSON if the text is JSON, else from key=value pairs."""
-    text = strip(F.col("args"))
+    text = F.col("_text")
     boxed = (text.startswith("{") & text.endswith("}")) | (text.startswith("[") & text.endswith("]"))
-    df = staged(records, doc=F.when(boxed, parse_json(text)))
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(KEY_VALUE), F.lit(1)).alias("k"),
-                         F.regexp_extract_all(text, F.lit(KEY_VALUE), F.lit(2)).alias("v"))
-    df = staged(df, pairs=F.when(F.col("doc").isNull(), pairs))
+    df = records.withColumn("_text", strip(F.col("args"))).withColumn("_boxed", F.when(boxed, wrapped_json(text)))
+    df = df.withColumn("_doc", F.when(whole_json(F.col("_boxed")), unwrapped_json(F.col("_boxed"))))
     # A repeated key counts with its last value.
-    last = lambda key: F.get(F.transform(F.reverse(F.filter("pairs", lambda p: p["k"] == key)), lambda p: p["v"]), F.lit(0))
-    pair = lambda keys: F.coalesce(*[_unquoted(last(k)) for k in keys])
-    doc = F.when(kind(F.col("doc")).startswith("OBJECT"), F.col("doc"))
-    any_of = lambda keys: first_where(fields(F.col("object"), *keys), holds)
-    number = lambda keys: F.coalesce(_number(any_of(keys)), _text_as_number(pair(keys))).cast("bigint")
-    text_of = lambda keys: F.coalesce(_filled(raw_text(any_of(keys))), _filled(pair(keys)))
-    df = staged(df, object=doc)
-    command = F.coalesce(*[_filled(raw_text(field(F.col("object"), k))) for k in COMMAND],
-                         *[_filled(_unquoted(last(k))) for k in COMMAND])
-    return staged(df, command=command, exit_code=number(EXIT_CODE), duration_ms=number(DURATION),
-                  stdout_bytes=number(STDOUT), stderr_bytes=number(STDERR), error=text_of(ERROR),
-                  status=text_of(STATUS)).drop("doc", "pairs", "object")
-
-
-def event_type(status: Column, line: Column, exit_code: Column, error: Column, duration: Column) -> Column:
-    """Start, exit or failure: by the status word, words of the line, exit code, error, duration."""
+    pairs = F.map_from_arrays(F.regexp_extract_all(text, F.lit(KEY_VALUE), F.lit(1)),
+                              F.regexp_extract_all(text, F.lit(KEY_VALUE), F.lit(2)))
+    keys = dict(exit_code=EXIT_CODE, duration_ms=DURATION, stdout_bytes=STDOUT, stderr_bytes=STDERR, error=ERROR, status=STATUS)
+    wanted = [k for names in (*keys.values(), COMMAND) for k in names]
+    df = df.withColumns({"_object": members(F.col("_doc"), *wanted),
+                         "_pairs": F.when(F.col("_doc").isNull() & text.contains("="), pairs)})
+    member = lambda key: F.col("_object")[key]
+    pair = lambda key: _unquoted(F.col("_pairs")[key])
+    # Values are picked first and converted in the next step.
+    picked = {f"_{n}": first_present(*map(member, names)) for n, names in keys.items()}
+    paired = {f"_{n}_pair": F.coalesce(*map(pair, names)) for n, names in keys.items()}
+    commands = {f"_{k}": text_in(member(k)) for k in COMMAND}
+    df = df.withColumns({**picked, **paired, **commands, **{f"_{k}_pair": pair(k) for k in COMMAND}})
+    number = lambda n: F.coalesce(_number(F.col(f"_{n}")), _text_as_number(F.col(f"_{n}_pair"))).cast("bigint")
+    text_of = lambda n: F.coalesce(_filled(text_in(F.col(f"_{n}"))), _filled(F.col(f"_{n}_pair")))
+    command = F.coalesce(*[_filled(F.col(f"_{k}")) for k in COMMAND], *[_filled(F.col(f"_{k}_pair")) for k in COMMAND])
+    df = df.withColumns({"command": command, **{n: text_of(n) if n in ("error", "status") else number(n) for n in keys}})
+    return df.select(*[c for c in df.columns if not c.startswith("_")])
+
+
+def event_type(status: Column, lowered: Column, exit_code: Column, error: Column, duration: Column) -> Column:
+    """Start, exit or failure: by the status word, words of the line in small letters, exit code, error, duration."""
     chain = F.when(F.lower(status).isin(*STATUS_WORDS["start"]), "start")
     for name in ("exit", "failure"):
         chain = chain.when(F.lower(status).isin(*STATUS_WORDS[name]), name)
     for name in ("failure", "exit", "start"):
-        chain = chain.when(F.lower(line).rlike(LINE_WORDS[name]), name)
+        chain = chain.when(_has_word(lowered, LINE_WORDS[name]), name)
     return (chain.when(exit_code == 0, "exit").when(exit_code.isNotNull(), "failure").when(error.isNotNull(), "failure")
             .when(duration.isNotNull(), "exit").otherwise("start"))
 
@@ -216,20 +241,22 @@ def tool_log_events(records: DataFrame) -> DataFrame:
     nothing = {n: F.lit(None).cast("bigint") for n in ("exit_code", "duration_ms", "stdout_bytes", "stderr_bytes")}
     argued = _with_arguments(records.filter(F.col("mark") != "background"))
     is_call = F.col("mark") == "function"
-    calls = staged(
-        argued, rank=F.when(is_call, 0).otherwise(1),
-        event_type=F.when(is_call, "start").otherwise(event_type(F.col("status"), F.col("text"), F.col("exit_code"),
-                                                                 F.col("error"), F.col("duration_ms"))),
-        signature=signature(F.col("tool_name"), F.coalesce("command", "args")))
+    argued = argued.withColumns({"_lowered": F.when(~is_call, F.lower("text")), "_said": F.coalesce("command", "args")})
+    calls = argued.withColumns({
+        "rank": F.when(is_call, 0).otherwise(1),
+        "event_type": F.when(is_call, "start").otherwise(event_type(
+            F.col("status"), F.col("_lowered"), F.col("exit_code"), F.col("error"), F.col("duration_ms"))),
+        "signature": signature(F.col("tool_name"), F.col("_said"))})
     text = F.col("text")
     code = F.coalesce(extract(text, r"(?i)exit\s*code\s*=?\s*(-?\d+)"), extract(text, r"(?i)code\s*=?\s*(-?\d+)"))
-    failed = staged(
-        records.filter(F.col("mark") == "background").drop("tool_name"),
-        rank=F.lit(2), event_type=F.lit("failure"), tool_name=extract(text, r"(?i)tool\s*=?\s*([A-Za-z0-9_.:-]+)"),
-        command=_unquoted(strip(extract(text, r"""(?i)command\s*=?\s*("[^"]+"|'[^']+'|[^,]+)$"""))),
-        error=F.nullif(strip(extract(text, r"(?i)(Execution failed:|Error:|Failed:)(.*)$", 2)), F.lit("")),
-        **{**nothing, "exit_code": code.try_cast("bigint")})
-    failed = staged(failed, signature=signature(F.col("tool_name"), F.coalesce("command", "text")))
+    failed = records.filter(F.col("mark") == "background").withColumns({
+        "tool_name": extract(text, r"(?i)tool\s*=?\s*([A-Za-z0-9_.:-]+)"),
+        "_command": strip(extract(text, r"""(?i)command\s*=?\s*("[^"]+"|'[^']+'|[^,]+)$""")),
+        "error": F.nullif(strip(extract(text, r"(?i)(Execution failed:|Error:|Failed:)(.*)$", 2)), F.lit("")),
+        **{**nothing, "exit_code": code.try_cast("bigint")}})
+    failed = failed.withColumn("command", _unquoted(F.col("_command"))).withColumn("_said", F.coalesce("command", "text"))
+    failed = failed.withColumns({"rank": F.lit(2), "event_type": F.lit("failure"),
+                                 "signature": signature(F.col("tool_name"), F.col("_said"))})
     names = ["file", "line", "ts", "rank", "event_type", "tool_name", "command", "signature", *nothing, "error"]
     # A start carries nothing about how the call went.
     ended = F.col("event_type") != "start"

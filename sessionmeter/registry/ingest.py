@@ -262,7 +262,9 @@ def _(spark, d):
 def tool_log(spark, d) -> DataFrame:
     """Events as log lines in sixteen files; one kind spreads its arguments over three lines."""
     kind, key, k = F.col("event_type"), F.col("event_id"), F.col("k")
-    events = v.table(spark, d, "events").select(
+    # A column file holds many more rows to a split than a log has lines.
+    spread = v.table(spark, d, "events").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    events = spread.select(
         "*", F.regexp_extract("props", "([0-9]+)", 1).cast("bigint").alias("k"), F.round(F.col("value") * 100).cast("bigint").alias("took"))
     stamp = F.substring(F.col("ts").cast("string"), 1, 23)
     first = (F.when(kind == "view", _cat(stamp, ' [info] FunctionCall: view {"cmd":"run ', k, '"}'))

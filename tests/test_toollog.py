@@ -140,3 +140,36 @@ def test_arguments_of_many_lines(spark):
     lines = spark.createDataFrame([("f", i + 1, v) for i, v in enumerate(rows)], "file string, line bigint, value string")
     found = {r.line: r.args for r in tool_log_records(lines, max_lines=60).collect()}
     assert found[1] == "\n".join(body) and found[len(rows)] == "{}"
+
+
+def test_arguments_are_compiled(spark):
+    """No step of the events is a generator or a lambda, which Spark would interpret row by row."""
+    records = spark.createDataFrame([("f", 1, 5, "tool", "ToolCall: a code=1", "a", "code=1 code=2 cmd='x y'"),
+                                     ("f", 2, 6, "tool", "ToolCall: a", "a", '{"code":3,"exitCode":null,"cmd":" ","command":"z"}')],
+                                    "file string, line bigint, ts bigint, mark string, text string, tool_name string, args string")
+    events = tool_log_events(records)
+    plan = events._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "lambdafunction" not in plan
+    rows = {r["line"]: r for r in events.collect()}
+    assert (rows[1]["exit_code"], rows[1]["command"]) == (2, "x y")
+    assert (rows[2]["exit_code"], rows[2]["command"]) == (3, "z")
+
+
+def test_lines_of_the_sample_log_are_dealt_to_many_tasks(spark, tmp_path):
+    spark.sql("select id as event_id, timestamp'2024-01-01' as ts, id as user_id, 'view' as event_type, 1.0d as value,"
+              " '{\"k\": 1}' as props from range(100)").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    from sessionmeter.registry.ingest import tool_log
+    lines = tool_log(spark, str(tmp_path))
+    assert lines.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert lines.count() == 100
+
+
+def test_arguments_reach_over_a_block_of_lines(spark):
+    """Lines are met in blocks; a record reaches over the edge of its own, and a line that comes twice counts once."""
+    head = lambda n: ("f", n, "2024-01-01 00:00:00 ToolCall: t {")
+    body = lambda n, k: [("f", n + i, "") for i in range(1, k)] + [("f", n + k, "}")]
+    rows = [r for n, k in ((0, 20), (40, 21), (100, 22), (203, 1)) for r in [head(n), *body(n, k)]]
+    rows += [("f", 204, "}")]
+    found = {r["line"]: r["args"] for r in tool_log_records(spark.createDataFrame(rows, "file string, line bigint, value string")).collect()}
+    assert [found[n].count("\n") for n in (0, 40, 100, 203)] == [20, 21, 21, 1]
+    assert [found[n].endswith("}") for n in (0, 40, 100, 203)] == [True, True, False, True]
