@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import extract, strip
@@ -37,10 +37,18 @@ def repo_name(url: Column, strict: bool = False) -> Column:
     The strict form wants an http(s) remote with an owner; the other takes any URL.
     """
     plain = normalize_git_url(url)
-    path = F.regexp_replace(_path(plain), "^/+|/+$", "")
+    path = _inner_path(plain)
     if strict:
         parts = F.filter(F.split(path, "/"), lambda p: p != "")
         return F.when(plain.rlike(_HTTP) & (F.size(parts) >= 2), F.element_at(parts, -1))
+    return _last_part(path)
+
+
+def _inner_path(plain: Column) -> Column:
+    return F.regexp_replace(_path(plain), "^/+|/+$", "")
+
+
+def _last_part(path: Column) -> Column:
     last = F.substring_index(path, "/", -1)
     return F.when(last != "", last)
 
@@ -76,5 +84,19 @@ def merge_key(name: Column, remote: Column) -> Column:
 
 def canonical_name(name: Column, remote: Column) -> Column:
     """Name under which repositories and plain folders are brought together."""
-    named = F.lower(strip(F.coalesce(name, F.lit(""))))
-    return F.coalesce(repo_name(remote), F.when(named != "", named), F.lit("unknown"))
+    return _name_or_unknown(repo_name(remote), F.lower(strip(F.coalesce(name, F.lit("")))))
+
+
+def _name_or_unknown(repo: Column, named: Column) -> Column:
+    return F.coalesce(repo, F.when(named != "", named), F.lit("unknown"))
+
+
+def with_canonical_name(df: DataFrame, out: str) -> DataFrame:
+    """Add :func:`canonical_name` of ``name`` and ``git_remote``.
+
+    As one expression it holds the normalised remote dozens of times; here every step is a column of its own.
+    """
+    named = df.withColumns({"_plain": normalize_git_url(F.col("git_remote")),
+                            "_named": F.lower(strip(F.coalesce("name", F.lit(""))))})
+    named = named.withColumn("_path", _inner_path(F.col("_plain")))
+    return named.withColumn(out, _name_or_unknown(_last_part(F.col("_path")), F.col("_named"))).drop("_plain", "_named", "_path")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.git import canonical_name, merge_key
+from ..functions.git import canonical_name, merge_key, with_canonical_name
 from ..functions.scalars import call_ok, cost, count_if, day_text, or_zero, ratio, uncached
 from ..functions.text import contains_ignoring_case
 from ..operators.ordered import FEW, first_per_key
@@ -124,8 +124,12 @@ def projects_totals(project: DataFrame, session: DataFrame, model_call: DataFram
 
 
 def project_group(project: DataFrame, project_id: str) -> DataFrame:
-    """All project rows that share the canonical name of one id."""
-    named = project.withColumn("canonical", canonical_name(F.col("name"), F.col("git_remote")))
+    """All project rows that share the canonical name of one id.
+
+    Names take many patterns a row, and a file of projects has few splits, so the rows are dealt out first.
+    """
+    tasks = int(project.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = with_canonical_name(project.repartition(tasks), "canonical")
     wanted = named.filter(F.col("id") == project_id).select("canonical")
     return named.join(wanted, "canonical", "left_semi")
 
@@ -197,6 +201,7 @@ def project_header(project_id: str, group: DataFrame, session: DataFrame, model_
                    tool_call: DataFrame, price: DataFrame, rng: DateRange = DateRange()) -> DataFrame:
     """The one row that heads a project's detail view."""
     tag = lambda df: df.withColumn("k", F.lit(1))
+    group = _few_or_all(group)
     own, theirs = _group_sessions(session, group)
     usage = with_price(_model_usage(own, theirs(model_call), rng), price).agg(
         or_zero(F.sum("calls")).alias("model_call_count"), or_zero(F.sum("total_tokens")).alias("total_tokens"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionmeter.operators import merging, records
 from sessionmeter.registry import ingest as logs
@@ -61,3 +62,18 @@ def test_rows_without_reference_meet_no_join(spark):
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [("a", None), ("b", "2"), ("c", None), ("c", None)]))
     plan = optimized(out)
     assert "Union" in plan and "isnotnull(session_id" in plan
+
+
+def test_canonical_names_are_steps(spark):
+    """A group's names are dealt to all tasks, and the normalised remote is one column, not dozens of copies."""
+    from sessionmeter.functions.git import canonical_name, with_canonical_name
+    from sessionmeter.plans.projects import project_group
+    rows = [("1", "A", "git@h.org:o/Repo.git"), ("2", " repo ", None), ("3", None, "https://h.org/x/repo/"), ("4", "b", "https://h.org/"),
+            ("5", None, None), ("6", "Repo", ""), ("7", "", "ssh://git@h.org/o/other")]
+    project = spark.createDataFrame(rows, "id string, name string, git_remote string")
+    both = with_canonical_name(project, "stepwise").withColumn("whole", canonical_name(F.col("name"), F.col("git_remote")))
+    assert [r["stepwise"] for r in both.collect()] == [r["whole"] for r in both.collect()]
+    group = project_group(project, "1")
+    assert sorted(r["id"] for r in group.collect()) == ["1", "2", "3", "6"]
+    assert optimized(group).count("^ssh://git@") <= 4 and "RepartitionByExpression" in optimized(group).replace(
+        "Repartition ", "RepartitionByExpression ")
