@@ -398,6 +398,23 @@ def test_sentencepiece_any_text(library, text):
     assert decoded.decode() == library.decode(ids) == pieces.decode(ids).decode()
 
 
+@pytest.mark.parametrize("few", [0, 16, 10**9])
+def test_sentencepiece_searches_together(library, monkeypatch, few):
+    """New parts are searched in rounds, not piece by piece in Python; by rounds or one by one the ids are the library's."""
+    monkeypatch.setattr(sentencepieces, "FEW", few, raising=False)
+    pieces = sentencepieces.Pieces(PIECE_MODEL)
+    calls, compatible = [], pieces.compatible
+    monkeypatch.setattr(pieces, "compatible", lambda *pair: calls.append(pair) or compatible(*pair))
+    rng = np.random.default_rng(few % 7)
+    kinds = [list("etaoinsrh  "), list("ab"), list("  \n="), list("日本語的是é🙂\x00\x01▁ "),
+             [library.id_to_piece(i).replace("▁", " ") for i in range(300, 30000, 17)]]
+    texts = [prose(few % 5, 2000), "", *["".join(rng.choice(kinds[i % 5], rng.integers(1, 50))) for i in range(1000)]]
+    for text, (count, shown, decoded) in zip(texts, pieces.round_trips([t.encode() for t in texts]), strict=True):
+        ids = library.encode(text, add_eos=True)
+        assert [int(i) for i in shown.split()] == ids and count == len(ids) and decoded.decode() == library.decode(ids)
+    assert len(calls) < 1000
+
+
 def test_packing_digest(docs):
     tokenizer = Tokenizer.from_file(WORD_MODEL)
     rows = packing.pack_documents(docs, WORD_MODEL).collect()
